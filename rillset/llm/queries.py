@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillset.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillset.llm.pii import digest, find_pii
+
+    return digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillset.llm.bpe import encode_documents
 
@@ -47,6 +59,70 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op1_sql() -> str:
+    from rillset.llm.licenses import TEMPLATES, THRESHOLD, bigrams_of
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, bigrams_of(v)))}])" for k, v in TEMPLATES.items())
+    return f"""
+WITH t(license, want) AS (VALUES {rows}),
+cut AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines,
+               string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n') AS paragraphs FROM documents),
+seg AS (SELECT doc_id, unnest(list_concat(lines,
+            CASE WHEN len(paragraphs) > 1 THEN list_filter(paragraphs, lambda p: contains(p, chr(10))) ELSE [] END,
+            CASE WHEN len(lines) > 1 THEN [text] ELSE [] END)) AS s FROM cut),
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(s), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM seg),
+b AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS have FROM w WHERE len(w) > 1),
+d AS (SELECT doc_id, license, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) AS dice FROM b, t),
+m AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS k,
+             count(*) OVER (PARTITION BY doc_id) AS n FROM d WHERE dice >= {THRESHOLD})
+SELECT c.doc_id, m.license, coalesce(m.dice, 0.0)::DOUBLE AS dice, coalesce(m.n, 0) AS n_matches
+FROM documents c LEFT JOIN m ON m.doc_id = c.doc_id AND m.k = 1
+"""
+
+
+#: The same spans from the patterns as the task gives them, by another route.
+PLAIN_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+}
+
+
+def op2_sql() -> str:
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    letters = "upper(v[5:] || v[:4])"
+    checks = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(v, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0",
+        "card": f"len({digits}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(len({digits})), lambda i: CASE WHEN i % 2 = 0 THEN {digits}[-(i + 1)]::INT "
+        f"ELSE (2 * {digits}[-(i + 1)]::INT) // 10 + (2 * {digits}[-(i + 1)]::INT) % 10 END)) % 10 = 0",
+        "phone": f"len({digits}) BETWEEN 8 AND 15",
+        "iban": f"list_reduce(list_concat([0], list_transform(string_split({letters}, ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN ascii(c) - 55 + 1000 ELSE ascii(c) - 48 END)), "
+        "lambda a, x: CASE WHEN x >= 1000 THEN (a * 100 + x - 1000) % 97 ELSE (a * 10 + x) % 97 END) = 1",
+    }
+    parts, names = [], list(PLAIN_PATTERNS)
+    for k, kind in enumerate(names):
+        pattern = PLAIN_PATTERNS[kind]
+        parts.append(
+            f"SELECT doc_id, {k} AS k, '{kind}' AS kind, s, s + len(v) AS e, v FROM ("
+            f"SELECT doc_id, m[i] AS v, list_sum(list_transform(p[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: len(x))), 0) AS s FROM ("
+            f"SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM ("
+            f"SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM texts WHERE regexp_matches(text, '{pattern}')))) WHERE {checks[kind]}"
+        )
+    union = " UNION ALL ".join(parts)
+    label = "string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY k, s)"
+    return f"""
+WITH texts AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), found AS ({union}),
+g AS (SELECT doc_id, {label} AS spans, {label} FILTER (WHERE k < 4) AS base,
+             {', '.join(f"count(*) FILTER (WHERE kind = '{x}') AS n_{x}" for x in names[:4])} FROM found GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{x}, 0)::BIGINT AS n_{x}' for x in names[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -55,8 +131,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op7_exact_dedup": op7_exact_dedup, "op8_packing": op8_packing, "op10_token_files": op10_token_files}
+    return {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op5_bpe": op5_bpe, "op7_exact_dedup": op7_exact_dedup, "op8_packing": op8_packing, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op1_licenses": op1_sql(), "op2_pii": op2_sql(), "op7_exact_dedup": OP7_SQL}
