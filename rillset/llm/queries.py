@@ -32,6 +32,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillset.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillset.llm.bpe import encode_documents
 
@@ -131,7 +137,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op5_bpe": op5_bpe, "op7_exact_dedup": op7_exact_dedup, "op8_packing": op8_packing, "op10_token_files": op10_token_files}
+    return {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op3_embedding_dedup": op3_embedding_dedup, "op5_bpe": op5_bpe, "op7_exact_dedup": op7_exact_dedup, "op8_packing": op8_packing, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
