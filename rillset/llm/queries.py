@@ -38,6 +38,12 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillset.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillset.llm.bpe import encode_documents
 
@@ -56,6 +62,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillset.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillset.llm.common import scratch_path
     from rillset.llm.token_files import read_token_files, write_token_files
@@ -137,7 +149,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_licenses": op1_licenses, "op2_pii": op2_pii, "op3_embedding_dedup": op3_embedding_dedup, "op5_bpe": op5_bpe, "op7_exact_dedup": op7_exact_dedup, "op8_packing": op8_packing, "op10_token_files": op10_token_files}
+    found = [op1_licenses, op2_pii, op3_embedding_dedup, op4_toxicity, op5_bpe, op7_exact_dedup, op8_packing, op9_quality, op10_token_files]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
