@@ -50,6 +50,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillset.llm.ngram_join import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillset.llm.exact_dedup import exact_groups
 
@@ -149,7 +155,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_licenses, op2_pii, op3_embedding_dedup, op4_toxicity, op5_bpe, op7_exact_dedup, op8_packing, op9_quality, op10_token_files]
+    found = [op1_licenses, op2_pii, op3_embedding_dedup, op4_toxicity, op5_bpe, op6_ngram_join, op7_exact_dedup, op8_packing, op9_quality, op10_token_files]
     return {f.__name__: f for f in found}
 
 
