@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from rillset.llm.blocks import ask_and_answer, mix64, to_blocks
 from rillset.llm.common import n_parts, select_text
-from rillset.llm.tokens import WordEncoder, flatten, split_words, spread
+from rillset.llm.tokens import WordEncoder, split_words, spread
 
 #: Words decoded at a time.
 PART_WORDS = 1 << 19
@@ -78,7 +78,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         encoder = WordEncoder.of(tokenizer)
         lists = [_unzip(x).decode().split("\n") for x in asked]
         coded = pa.array([w for x in lists for w in x], pa.large_string()).dictionary_encode()
-        ids, starts, lengths = flatten(encoder.encode_words(coded.dictionary.to_pylist()), encoder.dtype)
+        ids, lengths = encoder.encode_words(coded.dictionary)
+        starts = np.cumsum(lengths) - lengths
         index, at, out = coded.indices.to_numpy(), 0, []
         for x in lists:
             got, ends = spread(ids, starts, lengths, index[at : at + len(x)], np.arange(len(x) + 1))
