@@ -1,18 +1,84 @@
-"""The corpus pipeline; stages follow as their operators are there."""
+"""The corpus pipeline: toxic documents go, copies and near copies go, personal data is masked, the rest is packed.
+
+Each stage gets all rows that its predecessor kept, with the columns of documents, and is written as Parquet in the shared
+folder before the next one reads it: a lost executor costs the stage at hand, nothing before it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillset.llm.common import materialize
+from rillset.llm.exact_dedup import exact_groups
+from rillset.llm.ngram_join import similar_groups
+from rillset.llm.packing import pack_documents
+from rillset.llm.pii import mask_pii, with_spans
+from rillset.llm.queries import table, tokenizer_path
+from rillset.llm.toxicity import drop_toxic
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with one of the ids; a null id stands for rows without one."""
+    chosen = ids.select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of the corpus at sf_dir."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row of the largest doc_id stays; rows that repeat both id and text become one."""
+    kept = exact_groups(docs).where("kept")
+    return _only(docs, kept).dropDuplicates(["doc_id", "text"])
+
 
-STAGES: list[tuple[str, Callable]] = []
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect the one of the smallest doc_id stays; those without words stay."""
+    kept = similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _only(docs, kept)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data is masked by its kind; n_chars follows. No row goes."""
+    found = with_spans(docs, "text", "__spans")
+    hit = F.size("__spans") > 0
+    masked = found.withColumn("__masked", mask_pii(F.col("text"), F.col("__spans")))
+    new = {"text": F.col("__masked"), "n_chars": F.when(hit, F.length("__masked").cast("long")).otherwise(F.col("n_chars"))}
+    return masked.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Power-of-two pieces of every document."""
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("ngram_join", ngram_join),
+    ("pii", pii),
+    ("packing", packing),
+]
+#: A classifier and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents at sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

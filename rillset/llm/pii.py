@@ -116,6 +116,15 @@ def _spans(kind: str, parts: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(found, score)).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string,score:double>>"))
 
 
+def with_spans(df: DataFrame, text_col: str = "text", out: str = "spans", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
+    """df with one more column: the confirmed spans of its text column, an array of (kind, start, end, value, score)."""
+    columns, plain = [F.col(f"`{c}`") for c in df.columns], "__pii_plain"
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    marked = df.select(*columns, F.translate(text, OPEN + CLOSE, OTHER + OTHER).alias(plain))
+    marked = marked.select(*columns, *[_marked(F.col(plain), PATTERNS[k]).alias(f"__pii_{k}") for k in kinds])
+    return marked.select(*columns, F.concat(*[_spans(k, F.col(f"__pii_{k}")) for k in kinds]).alias(out))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """One row per row: doc_id, text and spans, an array of (kind, start, end, value, score) by kind as listed, then start.
 
@@ -124,11 +133,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
     CONTEXT_CHARS raise a span's score and never drop it. A null text counts as empty and has no spans; repeated rows are
     scanned each; an empty table gives no rows.
     """
-    base = select_text(docs, id_col, text_col)
-    marked = base.withColumn("plain", F.translate("text", OPEN + CLOSE, OTHER + OTHER))
-    for kind in kinds:
-        marked = marked.withColumn(f"m_{kind}", _marked(F.col("plain"), PATTERNS[kind]))
-    return marked.select("doc_id", "text", F.concat(*[_spans(k, F.col(f"m_{k}")) for k in kinds]).alias("spans"))
+    return with_spans(select_text(docs, id_col, text_col), "text", "spans", kinds)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -17,15 +17,16 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillset.llm.common import select_text
+from rillset.llm.common import materialize, select_text
 from rillset.llm.labels import fitting_rows, remainder
 from rillset.llm.textstats import byte_counts, coded_words
-from rillset.llm.tokens import chunks
+from rillset.llm.tokens import CHUNK_BYTES, chunks
 
 MOST_ROWS = 30_000
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
@@ -235,8 +236,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> T
 
     base = select_text(docs).where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
     cast = base.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(cast_votes, "votes array<bigint>, x array<double>, n long, h long")
-    from rillset.llm.common import materialize
-
     cast = materialize(cast, "votes")
     seen = cast.groupBy("votes").agg(F.sum("n").alias("n")).toArrow()
     patterns = np.array(seen.column("votes").to_pylist(), dtype=np.int64).reshape(-1, m)
@@ -245,12 +244,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> T
     label_model = LabelModel(patterns[order], counts[order], float(rate))
     # rows with a hit are few and each matters, so both kinds get their share of the bound
     total = F.element_at("x", LEXICONS + 1)
-    rows = cast.where(total > 0).orderBy("h").limit(most // 2).union(cast.where(total == 0).orderBy("h").limit(most // 2)).select("votes", "x", "n").toArrow()
+    rows = cast.where(total > 0).orderBy("h").limit(most // 2).union(cast.where(total == 0).orderBy("h").limit(most // 2)).select("votes", "x").toArrow()
     x = np.array(rows.column("x").to_pylist()).reshape(rows.num_rows, -1)
-    n, votes = rows.column("n").to_numpy().astype(float), np.array(rows.column("votes").to_pylist(), dtype=np.int64).reshape(-1, m)
+    votes = np.array(rows.column("votes").to_pylist(), dtype=np.int64).reshape(-1, m)
     posterior = label_model.posterior(votes)
-    weight = np.sqrt(n / n.sum() * len(n))[:, None] if len(n) else n
-    del weight
     order = np.lexsort((*x.T, posterior))
     return ToxicityModel(voters, label_model, fit_linear(x[order], posterior[order]))
 
@@ -270,3 +267,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, id
     scored = select_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores below CUT; a null text stays."""
+    model = fit_toxicity(docs, labels, most)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        # some texts at a time, by their length
+        sizes = np.cumsum(texts.str.len().to_numpy()) // CHUNK_BYTES
+        parts = [model.score(pa.array(texts[sizes == k], pa.string())) for k in np.unique(sizes)]
+        return pd.Series(np.concatenate([*parts, np.zeros(0)]))
+
+    return docs.where(score(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) < CUT)
