@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +46,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def tidy() -> None:
+    """Give memory that a task no longer uses back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run: Callable[..., Iterable]) -> Callable[..., Iterator]:
+    """A function of batches that tidies up behind its last one."""
+
+    @functools.wraps(run)
+    def whole(*batches: Iterable) -> Iterator:
+        try:
+            yield from run(*batches)
+        finally:
+            tidy()
+
+    return whole
+
+
+def tidied_group(run: Callable) -> Callable:
+    """A function of a group's tables that tidies up behind it. Its parameters are named by position."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            tidy()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            tidy()
+
+    return one if run.__code__.co_argcount == 1 else two

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rillset.llm.common import select_text
+from rillset.llm.common import select_text, tidied
 from rillset.llm.tokens import WordEncoder, chunks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -39,6 +39,7 @@ def pack_documents(
     if max_len < 1 or max_len & (max_len - 1) or max_len > 1 << 15:
         raise ValueError("max_len must be a power of two up to 32768")
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, counter = WordEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
         for b in chunks(batches):

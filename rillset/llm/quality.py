@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillset.llm.common import select_text
+from rillset.llm.common import select_text, tidied
 from rillset.llm.labels import fitting_rows, remainder
 from rillset.llm.textstats import byte_counts, coded_words, distinct_share
 from rillset.llm.tokens import chunks
@@ -88,6 +88,7 @@ def _logistic(d: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> QuadraticDiscriminant | None:
     """Fit on at most `most` labelled rows outside the held-out fold; None where a class has fewer than two of them."""
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             x = statistics(b.column(1))
@@ -112,6 +113,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, id_
     """
     model = fit_quality(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, most)
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             score = model.score(statistics(b.column(1))) if model else np.full(b.num_rows, 0.5)

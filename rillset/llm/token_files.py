@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillset.llm.common import n_parts, select_text
+from rillset.llm.common import n_parts, select_text, tidied
 from rillset.llm.tokens import WordEncoder, chunks
 
 SEQ_LEN = 2048
@@ -60,6 +60,7 @@ def write_token_files(
     spark = docs.sparkSession
     n = shards or n_parts(spark)
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
         schema, part = _schema(encoder.dtype, seq_len), TaskContext.get().partitionId()
@@ -108,6 +109,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     named = files.select(F.regexp_extract("path", r"(part-[0-9]+-[0-9a-f]+)\.(tokens|docs)\.arrow$", 1).alias("shard"), F.regexp_extract("path", r"\.(tokens|docs)\.arrow$", 1).alias("kind"), "content")
     whole = named.groupBy("shard").pivot("kind", ["tokens", "docs"]).agg(F.first("content")).join(F.broadcast(before), "shard")
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

@@ -17,16 +17,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillset.llm.common import materialize, select_text
+from rillset.llm.common import materialize, select_text, tidied
 from rillset.llm.labels import fitting_rows, remainder
 from rillset.llm.textstats import byte_counts, coded_words
-from rillset.llm.tokens import CHUNK_BYTES, chunks
+from rillset.llm.tokens import chunks
 
 MOST_ROWS = 30_000
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
@@ -36,6 +35,8 @@ LEAST_DOCS, LEAST_PRECISION = 4, 0.9
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_~/\\"
 #: A text of so many words without a hit gets a clean vote.
 LONG = 5
+#: Features are rounded to this part of one, so that equal documents can be counted.
+GRID = 50
 
 
 def terms_of(word: str) -> list[str]:
@@ -70,8 +71,9 @@ def _counts_of_terms(texts: pa.Array, toxic: np.ndarray) -> dict[str, list[int]]
 def mine_terms(docs: DataFrame, chosen: DataFrame) -> list[str]:
     """At most MOST_ENTRIES terms of high precision for toxic documents, most frequent first, none inside another."""
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 16 << 20):
+        for b in chunks(batches):
             found = _counts_of_terms(b.column(1), b.column(0).to_numpy(zero_copy_only=False) == 1)
             # a batch's terms that no toxic document of it has matter only as counts against others, so all are kept
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["term", "clean", "toxic"])
@@ -130,8 +132,8 @@ class LabelModel:
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, correlated: float = 0.3, rounds: int = 60):
         self.groups = [[j] for j in range(patterns.shape[1])]
         sign = patterns.sum(1)
+        # correlations are read off a majority vote: EM without groups would take a correlated pair for the class itself
         posterior = np.where(sign > 0, 0.9, np.where(sign < 0, 0.05, prior))
-        posterior = self._fit(patterns, counts, posterior, rounds)
         residual = np.zeros((patterns.shape[1],) * 2)
         for weight in (posterior, 1 - posterior):  # covariance of votes within a class
             w = counts * weight
@@ -187,12 +189,12 @@ class LabelModel:
         return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Logistic regression on soft labels, by damped Newton steps."""
-    w = np.zeros(x.shape[1])
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
+    """Logistic regression on soft labels of weighted rows, by damped Newton steps."""
+    w, weight = np.zeros(x.shape[1]), weight / max(1e-9, weight.mean())
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w = w + step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-7:
             break
@@ -224,18 +226,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> T
     voters = Voters(terms)
     m = len(voters.names)
 
+    @tidied
     def cast_votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             hits = voters.hits(b.column(0))
-            votes, x = voters.votes(*hits), voters.features(*hits)
+            votes, x = voters.votes(*hits), np.rint(voters.features(*hits) * GRID).astype(np.int64)
             # documents of equal votes and features are one row with a count
-            key = np.concatenate([votes, np.round(x * 50)], axis=1)
-            own, first, count = np.unique(key, axis=0, return_index=True, return_counts=True)
-            order = b.column(1).to_numpy()[first]
-            yield pa.RecordBatch.from_arrays([pa.array(list(votes[first].astype(np.int64)), pa.list_(pa.int64())), pa.array(list(x[first]), pa.list_(pa.float64())), pa.array(count.astype(np.int64)), pa.array(order)], ["votes", "x", "n", "h"])
+            own, first, count = np.unique(np.concatenate([votes, x], axis=1), axis=0, return_index=True, return_counts=True)
+            lists = [pa.array(list(t[first].astype(np.int64)), pa.list_(pa.int64())) for t in (votes, x)]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array(count.astype(np.int64))], ["votes", "x", "n"])
 
     base = select_text(docs).where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    cast = base.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(cast_votes, "votes array<bigint>, x array<double>, n long, h long")
+    cast = base.select("text").mapInArrow(cast_votes, "votes array<bigint>, x array<bigint>, n long").groupBy("votes", "x").agg(F.sum("n").alias("n"))
     cast = materialize(cast, "votes")
     seen = cast.groupBy("votes").agg(F.sum("n").alias("n")).toArrow()
     patterns = np.array(seen.column("votes").to_pylist(), dtype=np.int64).reshape(-1, m)
@@ -244,12 +246,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> T
     label_model = LabelModel(patterns[order], counts[order], float(rate))
     # rows with a hit are few and each matters, so both kinds get their share of the bound
     total = F.element_at("x", LEXICONS + 1)
-    rows = cast.where(total > 0).orderBy("h").limit(most // 2).union(cast.where(total == 0).orderBy("h").limit(most // 2)).select("votes", "x").toArrow()
-    x = np.array(rows.column("x").to_pylist()).reshape(rows.num_rows, -1)
-    votes = np.array(rows.column("votes").to_pylist(), dtype=np.int64).reshape(-1, m)
+    by_hash = [F.xxhash64("votes", "x"), "votes", "x"]
+    rows = cast.where(total > 0).orderBy(*by_hash).limit(most // 2).union(cast.where(total == 0).orderBy(*by_hash).limit(most // 2)).toArrow()
+    x = np.array(rows.column("x").to_pylist()).reshape(rows.num_rows, -1) / GRID
+    n, votes = rows.column("n").to_numpy().astype(float), np.array(rows.column("votes").to_pylist(), dtype=np.int64).reshape(-1, m)
     posterior = label_model.posterior(votes)
-    order = np.lexsort((*x.T, posterior))
-    return ToxicityModel(voters, label_model, fit_linear(x[order], posterior[order]))
+    order = np.lexsort((n, *x.T, posterior))
+    return ToxicityModel(voters, label_model, fit_linear(x[order], posterior[order], n[order]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,6 +263,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, id
     """
     model = fit_toxicity(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, most)
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1)) if model else np.zeros(b.num_rows))], ["doc_id", "score"])
@@ -275,11 +279,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, text_c
     if model is None:
         return docs
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        # some texts at a time, by their length
-        sizes = np.cumsum(texts.str.len().to_numpy()) // CHUNK_BYTES
-        parts = [model.score(pa.array(texts[sizes == k], pa.string())) for k in np.unique(sizes)]
-        return pd.Series(np.concatenate([*parts, np.zeros(0)]))
+    place = docs.columns.index(text_col)
+
+    @tidied
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            yield b.filter(pa.array(model.score(pc.fill_null(b.column(place), "")) < CUT))
 
-    return docs.where(score(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) < CUT)
+    return docs.mapInArrow(run, docs.schema)
