@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rillset.llm.common import tidied, tidied_group
+
 FLUSH_BYTES = 24 << 20
 
 
@@ -35,9 +37,35 @@ def unpack(blobs: Iterable[bytes]) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
 
 
+def even_labels(n: int) -> list[int]:
+    """n integers that Spark's hash partitioning deals to n partitions, one each (Murmur3 of an int, seed 42, modulo n)."""
+
+    def murmur(x: int) -> int:
+        mask = 0xFFFFFFFF
+        k = x * 0xCC9E2D51 & mask
+        k = ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
+        h = 42 ^ k
+        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+        h ^= 4
+        h = (h ^ h >> 16) * 0x85EBCA6B & mask
+        h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+        h ^= h >> 16
+        return h - (1 << 32) if h >> 31 else h
+
+    found: dict[int, int] = {}
+    x = 0
+    while len(found) < n:
+        found.setdefault(murmur(x) % n, x)
+        x += 1
+    return [found[k] for k in range(n)]
+
+
 def to_blocks(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, text) rows as (block, blob), dealt by block; every block that has documents has at least one blob."""
 
+    labels = np.array(even_labels(n))
+
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -49,7 +77,7 @@ def to_blocks(docs: DataFrame, n: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0]))
             for a, b in zip(starts, [*starts[1:], len(order)]):
                 part = table.take(pa.array(order[a:b])).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array([int(block[order[a]])], pa.int32()), pa.array([pack(part)], pa.binary())], ["block", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(labels[block[order[a]]])], pa.int32()), pa.array([pack(part)], pa.binary())], ["block", "blob"])
 
         for batch in batches:
             held.append(batch)
@@ -63,17 +91,20 @@ def to_blocks(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "block int, blob binary")
 
 
-def ask_and_answer(blocks: DataFrame, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
+def ask_and_answer(blocks: DataFrame, n: int, ask: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
     """A keyed look-up for whole blocks, with two small shuffles of keys instead of one of all occurrences.
 
-    ask(table of documents) gives (slice, bytes) pairs: a block's distinct keys, cut by a hash of the key.
+    n is the number of blocks and of slices. ask(table of documents) gives (slice, bytes) pairs: a block's distinct keys, cut by a hash of the key.
     answer(list of bytes) gets what all blocks ask of one slice and returns a reply for each, in order.
     finish(table of documents, {slice: reply}) gives the block's result as an Arrow table of the schema.
     """
 
+    labels = even_labels(n)
+    slice_of = {label: k for k, label in enumerate(labels)}
+
     def ask_block(table: pa.Table) -> pa.Table:
         block, asked = table.column("block")[0].as_py(), list(ask(unpack(table.column("blob").to_pylist())))
-        return pa.table({"slice": pa.array([k for k, _ in asked], pa.int32()), "block": pa.array([block] * len(asked), pa.int32()), "keys": pa.array([b for _, b in asked], pa.binary())})
+        return pa.table({"slice": pa.array([labels[k] for k, _ in asked], pa.int32()), "block": pa.array([block] * len(asked), pa.int32()), "keys": pa.array([b for _, b in asked], pa.binary())})
 
     def answer_slice(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("block").to_numpy(), kind="stable")
@@ -81,9 +112,9 @@ def ask_and_answer(blocks: DataFrame, ask: Callable, answer: Callable, finish: C
         return pa.table({"block": table.column("block"), "slice": table.column("slice"), "reply": pa.array(answer(table.column("keys").to_pylist()), pa.binary())})
 
     def finish_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        replies = dict(zip(right.column("slice").to_pylist(), right.column("reply").to_pylist()))
+        replies = {slice_of[k]: reply for k, reply in zip(right.column("slice").to_pylist(), right.column("reply").to_pylist())}
         return finish(unpack(left.column("blob").to_pylist()), replies)
 
-    asked = blocks.groupBy("block").applyInArrow(ask_block, "slice int, block int, keys binary")
-    replies = asked.groupBy("slice").applyInArrow(answer_slice, "block int, slice int, reply binary")
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish_block, schema)
+    asked = blocks.groupBy("block").applyInArrow(tidied_group(ask_block), "slice int, block int, keys binary")
+    replies = asked.groupBy("slice").applyInArrow(tidied_group(answer_slice), "block int, slice int, reply binary")
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidied_group(finish_block), schema)

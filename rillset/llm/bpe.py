@@ -124,7 +124,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         return pa.table(columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<bigint>, decoded string" if with_ids else "")
-    return ask_and_answer(to_blocks(rows, n), ask, answer, finish, schema)
+    return ask_and_answer(to_blocks(rows, n), n, ask, answer, finish, schema)
 
 
 def _pieces(encoder: WordEncoder) -> pa.Array:
