@@ -144,14 +144,16 @@ class Program:
             return self.sources[node.rdd().id()].log.only_inserts
         return kind in ("Project", "Filter", "Union", "Sort") and all(map(self._only_inserts, children))
 
-    def only_adds(self, node: Any) -> bool:
+    def only_adds(self, node: Any, node_is_root: bool = True) -> bool:
         """Whether the step's change of the node has insertions alone, or is compact as it is."""
         kind, children = self.c.kind(node), self.c.children(node)
         if kind == "LogicalRDD":
             log = self.sources[node.rdd().id()].log
             return all(s.least > 0 for s in log.staged)
         if kind in ("Project", "Filter", "Union", "Sort", "Generate", "Expand"):
-            return all(map(self.only_adds, children))
+            return all(self.only_adds(x, False) for x in children)
+        if node_is_root and kind in ("Aggregate", "Window", "Join", *ORDERED) and not (kind == "Join" and self.how(node) in ("Inner", "Cross")):
+            return True
         return kind == "Join" and self.how(node) in ("Inner", "Cross") and self._only_inserts(children[0]) and self._only_inserts(children[1])
 
     def _restrict(self, node: Any, df: DataFrame, keys: list[Any], touched: DataFrame) -> DataFrame:
@@ -233,7 +235,7 @@ class Program:
         if self.delta(base) is None:
             return None
         new, old = (weighted(self.c.above(node, base, self._rows(base, v)), w) for v, w in (("new", 1), ("old", -1)))
-        return self._keep(ZSet(new.union(old)).compact().df)
+        return ZSet(new.union(old)).compact().df
 
     def _signed(self, run: Any, d: DataFrame) -> DataFrame:
         """A linear node over the inserted and the retracted rows of a change."""
@@ -266,7 +268,7 @@ class Program:
         out = weighted(run("new"), 1)
         if not (self.first and self._is_global(node)):
             out = out.union(weighted(run("old"), -1))
-        return self._keep(ZSet(out).compact().df)
+        return ZSet(out).compact().df
 
     def _is_global(self, node: Any) -> bool:
         return self.c.kind(node) == "Aggregate" and node.groupingExpressions().size() == 0
@@ -349,7 +351,7 @@ class Program:
         out = result(total(before.union(fresh)), 1)
         if n or not self.first:
             out = out.union(result(total(before), -1))
-        return self._keep(ZSet(out).compact().df)
+        return ZSet(out).compact().df
 
     def _sums(self, node: Any, d: DataFrame) -> tuple[Log, DataFrame]:
         """The log of an aggregate's partial sums, and those of a change of its child."""

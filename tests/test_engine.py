@@ -48,7 +48,7 @@ def test_law_over_random_changes(spark):
     assert rules["v_agg"][0] == "Aggregate(partial sums)" and engine.views["v_sub"].program is None
     sums = {n: {} for n in VIEWS}
     live = []
-    for _ in range(3):
+    for _ in range(2):
         fresh = [(rng.randint(1, 6), rng.choice(["x", "y", None]), rng.choice([1, 2, 50, 100, None])) for _ in range(5)]
         gone = [live.pop(rng.randrange(len(live))) for _ in range(min(2, len(live)))]
         live += fresh
