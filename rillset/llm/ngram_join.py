@@ -8,7 +8,7 @@
    a few times with different hashes; large groups are cut, and one document of the group, the pivot, joins every part.
    Inside a group the shingle-by-document matrix gives all overlaps by one product; links leave as spanning stars, whose
    components are found at once, so that a family of thousands is one component before any further pair is looked at.
-3. The token-group matrix: for each shingle, the groups (and components) that have it among their documents' rarest 20 %.
+3. The token-group matrix: for each shingle, the groups that have it among their documents' rarest 20 %.
    Two documents that link share one of those, so joining it with a document's own gives every group that can hold a
    partner. Only pairs of different components matter, asked from the smaller one, and only where sizes allow a link.
 4. Bounds. A group's token union bounds its overlap with a query: below 80 % of the query's shingles no member can link,
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillset.llm.blocks import ask_and_answer, mix64, to_blocks
-from rillset.llm.common import materialize, n_parts, select_text
+from rillset.llm.common import materialize, n_parts, select_text, tidied_group
 from rillset.llm.graph import connected_components
 from rillset.llm.shingles import shingle_sets
 
 PERCENT = 80
 ROUNDS = 3
-GROUP_DOCS, GROUP_TOKENS = 96, 150_000
+GROUP_DOCS, GROUP_TOKENS = 512, 600_000
 QUERIES_PER_CELL = 512
 KEY_BITS = 44
 SALTS = 16
@@ -122,7 +122,7 @@ def shared_shingles(docs: DataFrame, percent: int = PERCENT, n: int | None = Non
             }
         )
 
-    return ask_and_answer(to_blocks(docs, n), ask, answer, finish, "doc_id long, n_shingles long, tokens binary, prefix array<bigint>, keys array<bigint>")
+    return ask_and_answer(to_blocks(docs, n), n, ask, answer, finish, "doc_id long, n_shingles long, tokens binary, prefix array<bigint>, keys array<bigint>")
 
 
 def _linked(x: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def _linked(x: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.nd
     _, column = np.unique(np.concatenate(x), return_inverse=True)
     row = np.repeat(np.arange(k), [len(t) for t in x])
     width = int(column.max()) + 1
-    step = max(256, (1 << 22) // k)
+    step = min(width, max(256, (1 << 22) // k))
     overlap = np.zeros((k, k), np.int64)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
@@ -217,7 +217,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
         return pa.table({"doc_id": np.concatenate([*one, none]), "root": np.concatenate([*other, none])})
 
     sets = alive.select("doc_id", "n_shingles", "tokens")
-    stars = inside.union(pivots).distinct().join(sets, "doc_id").withColumn("cell", cell("g")).groupBy("cell").applyInArrow(cluster, "doc_id long, root long")
+    stars = inside.union(pivots).distinct().join(sets, "doc_id").withColumn("cell", cell("g")).groupBy("cell").applyInArrow(tidied_group(cluster), "doc_id long, root long")
     near = connected_components(stars, "doc_id", "root").withColumnRenamed("node", "doc_id")
 
     first = F.col("keys")[0]
@@ -230,8 +230,10 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
     postings = materialize(postings, "similar-postings")
     split = postings.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
     live = materialize(postings.join(split, "token"), "similar-live")
-    matrix = live.groupBy("token", "g", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("comp", "other")
-    fits = (F.col("comp") < F.col("other")) & (F.col("n") * percent <= 100 * F.col("high")) & (F.col("low") * percent <= 100 * F.col("n"))
+    # one row for each shingle and group, whatever components the group's documents are of
+    matrix = live.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("comp").alias("other"))
+    # documents of one group have met already, in step 2
+    fits = (F.col("g") != F.col("h")) & (F.col("comp") < F.col("other")) & (F.col("n") * percent <= 100 * F.col("high")) & (F.col("low") * percent <= 100 * F.col("n"))
     asked = materialize(live.join(matrix.withColumnRenamed("g", "h"), "token").where(fits).select("doc_id", F.col("h").alias("g")).distinct(), "similar-asked")
 
     final = near_by_links(spark, asked, homes, sets, percent, cells)
@@ -284,5 +286,5 @@ def near_by_links(spark, asked: DataFrame, homes: DataFrame, sets: DataFrame, pe
                 found.update((int(q_comp[i]), int(x)) for x in m_comp[c:e][link])
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    links = left.groupBy("cell").cogroup(right.groupBy("m_cell")).applyInArrow(open_groups, "a long, b long")
+    links = left.groupBy("cell").cogroup(right.groupBy("m_cell")).applyInArrow(tidied_group(open_groups), "a long, b long")
     return connected_components(links, "a", "b").withColumnRenamed("node", "comp")
