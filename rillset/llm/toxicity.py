@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillset.llm.blocks import mix64
 from rillset.llm.common import materialize, select_text, tidied
 from rillset.llm.labels import fitting_rows, remainder
 from rillset.llm.textstats import byte_counts, coded_words
@@ -31,7 +33,7 @@ MOST_ROWS = 30_000
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
 LEXICONS, MOST_ENTRIES = 6, 300
 PREFIXES = (4, 5, 6)
-LEAST_DOCS, LEAST_PRECISION = 4, 0.9
+LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION, LEAST_CONTEXTS = 4, 0.01, 0.9, 0.6
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_~/\\"
 #: A text of so many words without a hit gets a clean vote.
 LONG = 5
@@ -45,8 +47,21 @@ def terms_of(word: str) -> list[str]:
     return [bare, *(bare[:k] + "*" for k in PREFIXES if len(bare) > k)] if len(bare) > 2 else []
 
 
-def _counts_of_terms(texts: pa.Array, toxic: np.ndarray) -> dict[str, list[int]]:
-    """How many clean and toxic documents have each term."""
+def _contexts(document: np.ndarray, word: np.ndarray, words: list[str]) -> np.ndarray:
+    """A number for each word's two neighbours, the same in every batch."""
+    used = np.unique(word)
+    hashes = np.zeros(len(words) + 1, np.uint64)  # the last one stands for a text's end
+    hashes[used] = [zlib.crc32(words[k].encode()) + 1 for k in used.tolist()]
+    same = document[1:] == document[:-1]
+    end = len(words)
+    before = np.concatenate([[end], np.where(same, word[:-1], end)]) if len(word) else word
+    after = np.concatenate([np.where(same, word[1:], end), [end]]) if len(word) else word
+    with np.errstate(over="ignore"):
+        return mix64(hashes[before] * np.uint64(0x9E3779B97F4A7C15) + hashes[after]).view(np.int64)
+
+
+def _counts_of_terms(texts: pa.Array, toxic: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(terms; clean and toxic documents of each; pairs (term number, context) of the toxic ones)."""
     document, word, words = coded_words(pc.utf8_lower(texts))
     number: dict[str, int] = {}
     owner, term = [], []
@@ -54,33 +69,51 @@ def _counts_of_terms(texts: pa.Array, toxic: np.ndarray) -> dict[str, list[int]]
         for t in terms_of(w):
             owner.append(i)
             term.append(number.setdefault(t, len(number)))
+    none = np.zeros(0, np.int64)
     if not number:
-        return {}
-    pairs = np.unique(document * len(words) + word)
-    document, word = pairs // len(words), pairs % len(words)
+        return [], none, none, none.reshape(0, 2)
     owner, term = np.array(owner), np.array(term)
     starts = np.searchsorted(owner, np.arange(len(words) + 1))
-    n = np.diff(starts)[word]
-    flat = np.repeat(starts[word] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    pairs = np.unique(np.repeat(document, n) * len(number) + term[flat])
-    document, term = pairs // len(number), pairs % len(number)
-    clean, bad = np.bincount(term[~toxic[document]], minlength=len(number)), np.bincount(term[toxic[document]], minlength=len(number))
-    return {t: [int(clean[k]), int(bad[k])] for t, k in number.items()}
 
+    def spread(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word in turn its terms: (place of the word, term)."""
+        n = np.diff(starts)[codes]
+        flat = np.repeat(starts[codes] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(codes)), n), term[flat]
+
+    pairs = np.unique(document * len(words) + word)
+    place, found = spread(pairs % len(words))
+    pairs = np.unique((pairs // len(words))[place] * len(number) + found)
+    at, found = pairs // len(number), pairs % len(number)
+    clean, bad = np.bincount(found[~toxic[at]], minlength=len(number)), np.bincount(found[toxic[at]], minlength=len(number))
+    own = toxic[document]
+    contexts = _contexts(document[own], word[own], words)
+    place, found = spread(word[own])
+    return list(number), clean, bad, np.unique(np.column_stack([found, contexts[place]]), axis=0)
 
-def mine_terms(docs: DataFrame, chosen: DataFrame) -> list[str]:
-    """At most MOST_ENTRIES terms of high precision for toxic documents, most frequent first, none inside another."""
+
+def mine_terms(docs: DataFrame, chosen: DataFrame, toxic: int) -> list[str]:
+    """At most MOST_ENTRIES terms of high precision for toxic documents, most frequent first, none inside another.
+
+    toxic: the labelled toxic documents, of which a term needs a share (LEAST_SHARE). A family of copies has words of its own, toxic or not. They stand between the same neighbours in every copy, while the
+    words that make texts toxic stand anywhere; so a term needs about as many different contexts as it has documents.
+    """
 
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            found = _counts_of_terms(b.column(1), b.column(0).to_numpy(zero_copy_only=False) == 1)
-            # a batch's terms that no toxic document of it has matter only as counts against others, so all are kept
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["term", "clean", "toxic"])
-
-    counted = select_text(docs).join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(run, "term string, clean long, toxic long")
+            terms, clean, toxic, pairs = _counts_of_terms(b.column(1), b.column(0).to_numpy(zero_copy_only=False) == 1)
+            # a batch's terms that no toxic document of it has still count against others
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(clean), pa.array(toxic), pa.nulls(len(terms), pa.int64())], ["term", "clean", "toxic", "context"])
+            if len(pairs):
+                zero = pa.array(np.zeros(len(pairs), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()).take(pa.array(pairs[:, 0])), zero, zero, pa.array(pairs[:, 1])], ["term", "clean", "toxic", "context"])
+
+    counted = select_text(docs).join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(run, "term string, clean long, toxic long, context long")
+    one = counted.groupBy("term", "context").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    each = one.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count("context").alias("contexts"))
     precision = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
-    best = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("toxic") >= LEAST_DOCS) & (precision >= LEAST_PRECISION))
+    best = each.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (precision >= LEAST_PRECISION) & (F.col("contexts") >= LEAST_CONTEXTS * F.col("toxic")))
     terms: list[str] = []
     taken: set[str] = set()
     for r in best.orderBy(F.desc("toxic"), F.length("term"), "term").limit(4 * MOST_ENTRIES).collect():
@@ -217,8 +250,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> T
     """
     chosen = fitting_rows(labels, "toxic", FOLDS, HELD_OUT, most).cache()
     try:
-        rate = chosen.agg(F.avg("y")).first()[0]
-        terms = mine_terms(docs, chosen) if rate else []
+        rate, toxic = chosen.agg(F.avg("y"), F.sum("y")).first()
+        terms = mine_terms(docs, chosen, toxic) if rate else []
     finally:
         chosen.unpersist()
     if not terms:
