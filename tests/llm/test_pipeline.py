@@ -18,8 +18,10 @@ SF = "/root/testdata/sf0.001"
 def folder(spark, tmp_path_factory):
     rng, rows = random.Random(6), []
     for i in range(150):
-        text = prose(rng, rng.randint(20, 60))
-        rows.append((i, text + (" wretch fiendish wretch" if i % 10 == 0 else " a.b@mail.example.com" if i % 10 == 1 else "")))
+        words = prose(rng, rng.randint(20, 60)).split(" ")
+        for bad in ("wretch", "fiendish", "wretch") if i % 10 == 0 else ("a.b@mail.example.com",) if i % 10 == 1 else ():
+            words.insert(rng.randrange(1, len(words)), bad)
+        rows.append((i, " ".join(words)))
     rows += [(200 + i, rows[i + 2][1]) for i in range(5)] + [(300 + i, rows[i + 2][1] + " again") for i in range(5)] + [(400 + i, t) for i, t in enumerate(ODD_TEXTS)]
     path = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
