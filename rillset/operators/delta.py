@@ -336,22 +336,32 @@ class Program:
                 condition = condition & F.col(f"b.{k}").eqNullSafe(F.col(f"f.{k}"))
             before = before.alias("b").join(fresh.select(*keys).alias("f"), condition, "left_semi")
 
-        def total(df: DataFrame) -> DataFrame:
-            return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in own if c not in keys])
+        # one aggregation gives a group's sums both with and without the change
+        sums = [c for c in own if c not in keys]
+        both = before.withColumn("was", F.lit(True)).union(fresh.withColumn("was", F.lit(False)))
+        total = both.groupBy(*keys).agg(*[F.sum(c).alias(f"new_{c}") for c in sums], *[F.sum(F.when(F.col("was"), F.col(c))).alias(f"old_{c}") for c in sums])
 
-        def result(df: DataFrame, sign: int) -> DataFrame:
+        def row(version: str) -> Column:
             columns = []
             for i, ((f, a), attr) in enumerate(zip(measures, self.c.output(node))):
-                some = F.coalesce(F.col(f"n{i}"), F.lit(0)) if f != "key" else None
-                value = {"key": lambda a=a: F.col(f"g{a}"), "count": lambda some=some: some, "sum": lambda i=i, some=some: F.when(some > 0, F.col(f"s{i}")), "average": lambda i=i, some=some: F.when(some > 0, F.col(f"s{i}") / some)}[f]()
+                if f == "key":
+                    value = F.col(f"g{a}")
+                else:
+                    some = F.coalesce(F.col(f"{version}_n{i}"), F.lit(0))
+                    value = some if f == "count" else F.when(some > 0, F.col(f"{version}_s{i}") / some if f == "average" else F.col(f"{version}_s{i}"))
                 columns.append(value.cast(attr.dataType().catalogString()).alias(f"c{i}"))
-            rows = df.where(F.col("rows") > 0) if n else df
-            return rows.select(*columns, F.lit(sign).cast("long").alias(WEIGHT))
-
-        out = result(total(before.union(fresh)), 1)
-        if n or not self.first:
-            out = out.union(result(total(before), -1))
-        return ZSet(out).compact().df
+            return F.struct(*columns)
+
+        def there(version: str) -> Column:
+            if n:
+                return F.coalesce(F.col(f"{version}_rows"), F.lit(0)) > 0
+            return F.lit(version == "new" or not self.first)
+
+        pair = total.select(row("new").alias("new"), row("old").alias("old"), there("new").alias("is_new"), there("old").alias("is_old"))
+        moved = pair.where(~(F.col("is_new") & F.col("is_old") & F.col("new").eqNullSafe(F.col("old"))))
+        sides = F.array(F.struct(F.col("new").alias("r"), F.lit(1).cast("long").alias("w"), F.col("is_new").alias("ok")), F.struct(F.col("old").alias("r"), F.lit(-1).cast("long").alias("w"), F.col("is_old").alias("ok")))
+        out = moved.select(F.explode(sides).alias("x")).where("x.ok")
+        return out.select(*[F.col(f"x.r.c{i}").alias(f"c{i}") for i in range(len(measures))], F.col("x.w").alias(WEIGHT))
 
     def _sums(self, node: Any, d: DataFrame) -> tuple[Log, DataFrame]:
         """The log of an aggregate's partial sums, and those of a change of its child."""
