@@ -61,7 +61,9 @@ class Engine:
         self.event_time: int | None = None
         self.metrics_enabled = False
         self.closed = False
-        scalar.register(spark)
+        if not getattr(spark, "_rillset_functions", False):  # once a session
+            scalar.register(spark)
+            spark._rillset_functions = True
         self._clock_function()
 
     # -- tables -------------------------------------------------------------------------------------------------------
