@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posteriors.
 
 1. Lexicons: words, and beginnings of words, that labelled toxic documents have and clean ones do not, mined from at most
-   MOST_ROWS labelled rows outside the held-out fold. They are dealt in turn to LEXICONS voters.
+   MOST_ROWS labelled rows outside the held-out fold, where a family of near copies counts as one document. They are dealt
+   in turn to LEXICONS voters.
 2. Voters vote toxic (1), clean (-1) or abstain (0) on every document of the corpus: each lexicon, and patterns (several
    hits; none in a text long enough; shouting with a hit). Only counts of vote patterns, of which there are at most
    3 ** voters, leave the executors.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from rillset.llm.blocks import mix64
 from rillset.llm.common import materialize, select_text, tidied
 from rillset.llm.labels import fitting_rows, remainder
+from rillset.llm.ngram_join import similar_groups
 from rillset.llm.textstats import byte_counts, coded_words
 from rillset.llm.tokens import chunks
 
@@ -60,8 +62,10 @@ def _contexts(document: np.ndarray, word: np.ndarray, words: list[str]) -> np.nd
         return mix64(hashes[before] * np.uint64(0x9E3779B97F4A7C15) + hashes[after]).view(np.int64)
 
 
-def _counts_of_terms(texts: pa.Array, toxic: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(terms; clean and toxic documents of each; pairs (term number, context) of the toxic ones)."""
+def _counts_of_terms(texts: pa.Array, toxic: np.ndarray, family: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms; clean and toxic documents of each, those without a family (-1); pairs (term number, context) of all toxic ones;
+    distinct triples (term number, family, toxic or not) of those with a family).
+    """
     document, word, words = coded_words(pc.utf8_lower(texts))
     number: dict[str, int] = {}
     owner, term = [], []
@@ -71,7 +75,7 @@ def _counts_of_terms(texts: pa.Array, toxic: np.ndarray) -> tuple[list[str], np.
             term.append(number.setdefault(t, len(number)))
     none = np.zeros(0, np.int64)
     if not number:
-        return [], none, none, none.reshape(0, 2)
+        return [], none, none, none.reshape(0, 2), none.reshape(0, 3)
     owner, term = np.array(owner), np.array(term)
     starts = np.searchsorted(owner, np.arange(len(words) + 1))
 
@@ -85,33 +89,57 @@ def _counts_of_terms(texts: pa.Array, toxic: np.ndarray) -> tuple[list[str], np.
     place, found = spread(pairs % len(words))
     pairs = np.unique((pairs // len(words))[place] * len(number) + found)
     at, found = pairs // len(number), pairs % len(number)
-    clean, bad = np.bincount(found[~toxic[at]], minlength=len(number)), np.bincount(found[toxic[at]], minlength=len(number))
+    alone = family[at] < 0
+    clean, bad = (np.bincount(found[alone & (toxic[at] == t)], minlength=len(number)) for t in (False, True))
+    shared = np.unique(np.column_stack([found, family[at], toxic[at]])[~alone].astype(np.int64), axis=0)
     own = toxic[document]
     contexts = _contexts(document[own], word[own], words)
     place, found = spread(word[own])
-    return list(number), clean, bad, np.unique(np.column_stack([found, contexts[place]]), axis=0)
+    return list(number), clean, bad, np.unique(np.column_stack([found, contexts[place]]), axis=0), shared
+
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, y, text, family) of the chosen labels' documents. Copies and near copies, those that op6 links, share a family; it is null for a text of its own."""
+    labelled = materialize(select_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), "labelled")
+    members = similar_groups(labelled).dropDuplicates(["doc_id"]).select("doc_id", F.col("component_id").alias("family"))
+    members = materialize(members, "families")
+    several = members.groupBy("family").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("family")
+    # no more rows than chosen ones
+    return labelled.join(F.broadcast(members.join(F.broadcast(several), "family")), "doc_id", "left")
 
-def mine_terms(docs: DataFrame, chosen: DataFrame, toxic: int) -> list[str]:
+
+def mine_terms(labelled: DataFrame) -> list[str]:
     """At most MOST_ENTRIES terms of high precision for toxic documents, most frequent first, none inside another.
 
-    toxic: the labelled toxic documents, of which a term needs a share (LEAST_SHARE). A family of copies has words of its own, toxic or not. They stand between the same neighbours in every copy, while the
-    words that make texts toxic stand anywhere; so a term needs about as many different contexts as it has documents.
+    A family of copies and near copies counts as one document of each of its terms, and of each label it has, however many
+    its members; so it neither brings the words of its own into a lexicon nor keeps the toxic ones out. Words of texts that
+    resemble each other less than near copies stand between the same neighbours, while the words that make texts toxic
+    stand anywhere; so a term needs about as many different contexts as it has documents.
     """
 
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            terms, clean, toxic, pairs = _counts_of_terms(b.column(1), b.column(0).to_numpy(zero_copy_only=False) == 1)
+            family = np.where(b.column(2).is_null(), -1, np.unique(pc.fill_null(b.column(2), 0), return_inverse=True)[1])
+            terms, clean, toxic, pairs, shared = _counts_of_terms(b.column(1), b.column(0).to_numpy(zero_copy_only=False) == 1, family)
+            named, n = pa.array(terms, pa.string()), len(terms)
             # a batch's terms that no toxic document of it has still count against others
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(clean), pa.array(toxic), pa.nulls(len(terms), pa.int64())], ["term", "clean", "toxic", "context"])
+            yield pa.RecordBatch.from_arrays([named, pa.array(clean), pa.array(toxic), *[pa.nulls(n, pa.int64())] * 3], names)
             if len(pairs):
-                zero = pa.array(np.zeros(len(pairs), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()).take(pa.array(pairs[:, 0])), zero, zero, pa.array(pairs[:, 1])], ["term", "clean", "toxic", "context"])
-
-    counted = select_text(docs).join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(run, "term string, clean long, toxic long, context long")
-    one = counted.groupBy("term", "context").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    each = one.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count("context").alias("contexts"))
+                zero, none = pa.array(np.zeros(len(pairs), np.int64)), pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([named.take(pa.array(pairs[:, 0])), zero, zero, pa.array(pairs[:, 1]), none, none], names)
+            if len(shared):
+                zero, none = pa.array(np.zeros(len(shared), np.int64)), pa.nulls(len(shared), pa.int64())
+                whose = np.unique(pc.fill_null(b.column(2), 0))[shared[:, 1]]
+                yield pa.RecordBatch.from_arrays([named.take(pa.array(shared[:, 0])), zero, zero, none, pa.array(whose), pa.array(shared[:, 2])], names)
+
+    names = ["term", "clean", "toxic", "context", "family", "y"]
+    counted = labelled.select("y", "text", "family").mapInArrow(run, "term string, clean long, toxic long, context long, family long, y long")
+    # a row with a family stands for one document, from however many batches it comes
+    one = counted.groupBy("term", "context", "family", "y").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    of = lambda label, c: F.sum(F.when(F.col("y") == label, 1).otherwise(F.col(c))).alias(c)
+    each = one.groupBy("term").agg(of(0, "clean"), of(1, "toxic"), F.count("context").alias("contexts"))
+    toxic = labelled.where("y = 1").select(F.coalesce("family", "doc_id")).distinct().count()
     precision = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
     best = each.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (precision >= LEAST_PRECISION) & (F.col("contexts") >= LEAST_CONTEXTS * F.col("toxic")))
     terms: list[str] = []
@@ -250,8 +278,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> T
     """
     chosen = fitting_rows(labels, "toxic", FOLDS, HELD_OUT, most).cache()
     try:
-        rate, toxic = chosen.agg(F.avg("y"), F.sum("y")).first()
-        terms = mine_terms(docs, chosen, toxic) if rate else []
+        rate = chosen.agg(F.avg("y")).first()[0]
+        terms = mine_terms(labelled_texts(docs, chosen)) if rate else []
     finally:
         chosen.unpersist()
     if not terms:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import ODD_TEXTS, docs, empty, prose
 
 from rillset.llm import quality, toxicity
@@ -47,6 +48,31 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(empty(spark), labels).count() == 0
 
 
+@pytest.mark.parametrize("edited", [False, True])
+def test_a_family_of_toxic_copies_counts_once(spark, edited):
+    """A third of the labels are copies, or near copies, of one toxic text; its toxic words stay in the lexicon, its other words stay out."""
+    table, labels, toxic, _ = corpus(spark)
+    rng, copies = random.Random(5), 120
+    words = prose(rng, 90).split(" ")
+    own = "quaint" * 2
+    words[10], words[30], words[50], words[70], words[5] = *BAD, own
+    texts = []
+    for _ in range(copies):
+        one = list(words)
+        if edited:
+            one[80 + rng.randrange(10)] = prose(rng, 1) + "x"
+        texts.append(" ".join(one))
+    both = table.union(docs(spark, texts, 1000))
+    more = labels.union(spark.createDataFrame([(1000 + i, 1, 1) for i in range(copies)], "doc_id long, quality int, toxic int"))
+    chosen = fitting_rows(more, "toxic", toxicity.FOLDS, toxicity.HELD_OUT, 30_000)
+    terms = toxicity.mine_terms(toxicity.labelled_texts(both, chosen))
+    found = {w for w in BAD if any(t in terms for t in toxicity.terms_of(w))}
+    assert found == set(BAD) and not any(t in terms for t in toxicity.terms_of(own))
+    rows = toxicity.score_toxicity(both, more).collect()
+    assert right(rows, toxic, True) > 0.95 and right(rows, toxic, False) > 0.95
+    assert all(r.predicted for r in rows if r.doc_id >= 1000)
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(4)
     y = rng.random(20000) < 0.2
