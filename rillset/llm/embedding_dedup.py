@@ -3,7 +3,8 @@
 1. Equal vectors become one class, with its number of members.
 2. A class's vector is rotated (three rounds of random signs and a fast Hadamard transform) and hashed to the nearest
    signed axis; `hashes` of those make a table's bucket. It enters its own bucket of each table and, as probes, those
-   where one hash takes the second nearest axis. Two classes meet in a bucket that is at least one's own.
+   where one hash takes the second nearest axis. Two classes meet in a bucket that both have entered. More hashes make a
+   meeting in one table rarer, so the number of tables follows: pairs at the threshold are missed at a rate of MISSED.
 3. Buckets are dealt to cells. A large bucket is cut into blocks and each pair of blocks is a cell, so no task holds a
    bucket whole and the work spreads. A cell multiplies matrices and counts, in double precision, each pair of cosine
    at least the threshold in exactly one bucket, the first where the two meet. What leaves a cell is a sum for each
@@ -25,7 +26,8 @@ from rillset.llm.blocks import mix64
 from rillset.llm.common import materialize, n_parts
 from rillset.llm.graph import connected_components
 
-TABLES = 6
+#: The least number of tables, and the share of pairs at the threshold that may meet in none.
+TABLES, MISSED = 6, 1e-4
 BLOCK = 512
 SALTS = 16
 SEED = 20240607
@@ -96,28 +98,47 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _first_meeting(a: np.ndarray, b: np.ndarray, own: np.ndarray, probes: np.ndarray) -> np.ndarray:
-    """The bucket, of the first table that has one, where rows a and b meet (the smaller of two)."""
-    found, none = np.full(len(a), np.iinfo(np.int64).max), np.ones(len(a), bool)
+    """The bucket, of the first table that has one, where rows a and b meet (the smallest of several)."""
+    most = np.iinfo(np.int64).max
+    found, none = np.full(len(a), most), np.ones(len(a), bool)
+    entered = np.concatenate([own[:, :, None], probes], axis=2)
     for t in range(own.shape[1]):
-        x, y = own[a, t], own[b, t]
-        in_x = (y == x) | (probes[b, t] == x[:, None]).any(1)
-        in_y = (probes[a, t] == y[:, None]).any(1)
-        hit = np.minimum(np.where(in_x, x, np.iinfo(np.int64).max), np.where(in_y, y, np.iinfo(np.int64).max))
-        use = none & (in_x | in_y)
-        found[use] = hit[use]
+        x, y = entered[a, t], entered[b, t]
+        both = (x[:, :, None] == y[:, None, :]).any(2)
+        use = none & both.any(1)
+        found[use] = np.where(both, x, most).min(1)[use]
         none &= ~use
     return found
 
 
+def meeting_rate(width: int, threshold: float, hashes: int, tables: int = 16) -> float:
+    """The share of (pair, table) in which random pairs of cosine threshold meet; always the same for equal arguments."""
+    rng = np.random.default_rng(SEED)
+    n = int(np.clip(1_000_000 // width, 100, 2_000))
+    a, b = rng.normal(size=(2, n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b *= math.sqrt(max(0.0, 1 - threshold**2)) / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+    x, y = (np.concatenate([own[:, :, None], probes], axis=2) for own, probes in (bucket_codes(a, tables, hashes), bucket_codes(threshold * a + b, tables, hashes)))
+    return float((x[:, :, :, None] == y[:, :, None, :]).any((2, 3)).mean())
+
+
+def tables_for(width: int, threshold: float, hashes: int) -> int:
+    """So many tables that of pairs at the threshold a share of MISSED at most is expected to meet in none."""
+    rate = min(max(meeting_rate(width, threshold, hashes), 0.01), 1 - 1e-9)
+    return max(TABLES, math.ceil(math.log(MISSED) / math.log1p(-rate)))
+
+
 def near_duplicate_vectors(
-    vectors: DataFrame, threshold: float = 0.95, tables: int = TABLES, hashes: int | None = None, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, threshold: float = 0.95, tables: int | None = None, hashes: int | None = None, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """One row per row: vec_id, n_links (other vectors found with cosine >= threshold), component_id, kept.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; vectors of different
     widths don't link. component_id is the smallest vec_id reachable by links, itself included; kept says that it is the
     row's own. Equal vectors all link. Ids are taken as unique; a null id forms no link. An empty table gives no rows.
-    hashes (a table's hashes) follows from the number of distinct vectors unless given; more make smaller buckets.
+    hashes (a table's hashes) follows from the number of distinct vectors unless given; more make smaller buckets. tables
+    follows from width, threshold and hashes unless given (tables_for), so recall does not fall with size.
     """
     spark = vectors.sparkSession
     element = vectors.schema[vector_col].dataType
@@ -127,10 +148,12 @@ def near_duplicate_vectors(
     sound = base.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
     classes = materialize(sound.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("members")), "vector-classes")
     n = classes.count()
+    width = classes.select(F.max(F.size("v"))).first()[0] or 1 if hashes is None or tables is None else 1
     if hashes is None:
         # buckets of a few vectors, were they spread evenly: (2 d) ** hashes of them
-        width = classes.select(F.max(F.size("v"))).first()[0] or 1
         hashes = max(1, round(math.log(max(2.0, n / 2)) / math.log(2 * max(2, width))))
+    if tables is None:
+        tables = tables_for(width, threshold, hashes)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -107,3 +107,16 @@ def test_near_vectors(spark, monkeypatch):
     assert {i: r.component_id for i, r in out.items()} == want and all(r.kept == (i == r.component_id) for i, r in out.items())
     assert all(out[len(rows) + k].n_links == 0 for k in range(len(odd)))
     assert embedding_dedup.near_duplicate_vectors(table.limit(0)).count() == 0
+
+
+def test_recall_of_vectors_at_the_threshold_holds_with_more_hashes(spark):
+    """Large tables use more hashes; pairs just above the threshold are still found."""
+    rng, n = np.random.default_rng(7), 80
+    a, b = rng.normal(size=(2, n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b *= np.sqrt(1 - 0.9501**2) / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, 0.9501 * a + b]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = embedding_dedup.near_duplicate_vectors(table, hashes=4).collect()
+    assert sum(r.n_links for r in out) == 2 * n and all(r.n_links <= 1 for r in out)
