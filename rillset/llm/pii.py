@@ -2,7 +2,8 @@
 
 Each pattern marks its matches in the text with two control characters (any that the text itself has are replaced by a
 third beforehand, which no pattern can match); splitting at the marks gives every match and, by adding up lengths, its
-place in code points. The plan is one projection over the scan: no shuffle, no state, whole texts.
+place in code points. The lengths are added up in blocks, so a text of many thousand matches costs little more than its
+length. The plan is one projection over the scan: no shuffle, no state, whole texts.
 
 Two patterns need care to stay linear on long runs that lead nowhere (an endless word without an @): a start inside such
 a run can match only if the start of the run could, so starts are tried only where the run begins or the last match
@@ -11,12 +12,15 @@ ended. Repeated groups are possessive, which changes no match here and keeps the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillset.llm.common import select_text
 
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string,score:double>>"
 
 #: The kinds in output order, with their patterns.
 PATTERNS = {
@@ -24,19 +28,22 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9_])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9_])",
+    "secret": r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|(?i:api_?key|secret|token|passwd|password)\x20?[=:]\x20?[\x22\x27]?[A-Za-z0-9+/_-]{16,}+)",
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: A span's score before context, and what a context word nearby adds.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "secret": 0.7}
 CONTEXT_BONUS = 0.1
 CONTEXT_CHARS = 40
+MASK_CHUNK = 2048
 CONTEXT = {
     "email": r"mail|contact|write to|kontakt|correo|courriel",
     "ip": r"\bip\b|address|server|host|adresse|direcci",
     "card": r"card|visa|mastercard|payment|credit|karte|tarjeta|carte",
     "phone": r"phone|call|mobile|\btel|fax|anruf|tel[eé]f|t[eé]l[eé]ph",
     "iban": r"iban|account|bank|konto|cuenta|compte",
+    "secret": r"key|secret|token|credential|login|auth",
 }
 
 
@@ -84,7 +91,7 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(8, 15)
     if kind == "iban":
-        return mod97(value)
+        return mod97(F.translate(value, " ", ""))
     return F.lit(True)
 
 
@@ -92,28 +99,38 @@ def _marked(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
 
 
-def _spans(kind: str, parts: Column) -> Column:
-    """Confirmed spans from the marked text's parts: the text before the first match, then each match with what follows."""
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string,tail:string>>")
-    first = F.struct(F.length(parts[0]).cast("long").alias("at"), F.right(parts[0], F.lit(CONTEXT_CHARS)).alias("before"), empty.alias("found"))
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """[0, step(0, v0), ...] of an array of longs, in blocks of about its root, so that n values cost n ** 1.5 copied numbers."""
+    n = F.size(values)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), width), lambda a: F.slice(values, a + 1, width))
+
+    def within(out: Column, block: Column) -> Column:
+        ends = F.aggregate(block, F.array(F.element_at(out, -1)), lambda x, v: F.concat(x, F.array(step(F.element_at(x, -1), v))))
+        return F.concat(out, F.slice(ends, F.lit(2), F.size(block)))
+
+    return F.aggregate(blocks, F.array(F.lit(0).cast("long")), within)
+
 
-    def step(acc: Column, part: Column) -> Column:
+def _spans(kind: str, parts: Column, ends: Column) -> Column:
+    """Confirmed spans from the marked text's parts (the text before the first match, then each match with what follows) and their ends."""
+    some = F.greatest(F.size(parts) - 1, F.lit(0))
+
+    def raw(before: Column, part: Column) -> Column:
         size = F.instr(part, CLOSE) - 1
-        value = F.substring_index(part, CLOSE, 1)
         rest = F.substring(part, size + 2, F.lit(2147483647))
-        span = F.struct(
-            F.lit(kind).alias("kind"), acc["at"].alias("start"), (acc["at"] + size).alias("end"), value.alias("value"), F.concat(acc["before"], F.lit(" "), F.left(rest, F.lit(CONTEXT_CHARS))).alias("tail")
-        )
-        found = F.when(_valid(kind, value), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.right(rest, F.lit(CONTEXT_CHARS)).alias("before"), found.alias("found"))
+        near = F.concat(F.right(F.substring_index(before, CLOSE, -1), F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(rest, F.lit(CONTEXT_CHARS)))
+        return F.struct(size.cast("long").alias("size"), F.substring_index(part, CLOSE, 1).alias("value"), near.alias("near"))
 
-    found = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), first, step, lambda acc: acc["found"])
+    found = F.zip_with(F.slice(parts, F.lit(1), some), F.slice(parts, F.lit(2), some), raw)
+    placed = F.zip_with(found, F.slice(ends, F.lit(2), some), lambda m, at: F.struct(m["value"].alias("value"), m["near"].alias("near"), at.alias("start"), (at + m["size"]).alias("end")))
 
-    def score(s: Column) -> Column:
-        bonus = F.when(F.lower(s["tail"]).rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.round(F.lit(SCORES[kind]) + bonus, 3).alias("score"))
+    def scored(m: Column) -> Column:
+        bonus = F.when(F.lower(m["near"]).rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
+        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.round(F.lit(SCORES[kind]) + bonus, 3).alias("score"))
 
-    return F.when(F.size(parts) > 1, F.transform(found, score)).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string,score:double>>"))
+    confirmed = F.transform(F.filter(placed, lambda m: _valid(kind, m["value"])), scored)
+    return F.when(F.size(parts) > 1, confirmed).otherwise(F.array()).cast(SPANS)
 
 
 def with_spans(df: DataFrame, text_col: str = "text", out: str = "spans", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
@@ -122,7 +139,11 @@ def with_spans(df: DataFrame, text_col: str = "text", out: str = "spans", kinds:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     marked = df.select(*columns, F.translate(text, OPEN + CLOSE, OTHER + OTHER).alias(plain))
     marked = marked.select(*columns, *[_marked(F.col(plain), PATTERNS[k]).alias(f"__pii_{k}") for k in kinds])
-    return marked.select(*columns, F.concat(*[_spans(k, F.col(f"__pii_{k}")) for k in kinds]).alias(out))
+    sizes = [F.transform(f"__pii_{k}", lambda p, i: (F.length(p) - F.when(i > 0, 1).otherwise(0)).cast("long")).alias(f"__pii_sizes_{k}") for k in kinds]
+    marked = marked.select(*columns, *[f"__pii_{k}" for k in kinds], *sizes)
+    ends = [F.when(F.size(f"__pii_{k}") > 1, _running(F.col(f"__pii_sizes_{k}"), lambda at, size: at + size)).alias(f"__pii_ends_{k}") for k in kinds]
+    marked = marked.select(*columns, *[f"__pii_{k}" for k in kinds], *ends)
+    return marked.select(*columns, F.concat(*[_spans(k, F.col(f"__pii_{k}"), F.col(f"__pii_ends_{k}")) for k in kinds]).alias(out))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
@@ -152,16 +173,28 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def mask_pii(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets; of overlapping spans the one that starts first is shown."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    most = F.lit(2147483647)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], between, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+def with_masked(df: DataFrame, text_col: str = "text", spans_col: str = "spans", out: str = "masked") -> DataFrame:
+    """df with one more column: its text with every span replaced by its kind in angle brackets.
 
-    masked = F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), most)))
-    return F.when(F.size(spans) > 0, masked).otherwise(text)
+    Of overlapping spans the one that starts first is shown, and what the others cover goes too. A text without spans, null
+    included, stays as it is. The text is cut into chunks once, so that a span's surroundings are found without walking the
+    text from its start.
+    """
+    columns, text = [F.col(f"`{c}`") for c in df.columns], F.col(f"`{text_col}`")
+    ordered = F.array_sort(F.transform(F.col(f"`{spans_col}`"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    chunks = F.transform(F.sequence(F.lit(0), F.length(text), F.lit(MASK_CHUNK)), lambda a: F.substring(text, a + 1, F.lit(MASK_CHUNK)))
+    step = df.select(*columns, ordered.alias("__pii_ordered"), chunks.alias("__pii_chunks"))
+    covered = _running(F.transform("__pii_ordered", lambda s: s["end"]), lambda at, end: F.greatest(at, end))
+    step = step.select(*columns, "__pii_ordered", "__pii_chunks", covered.alias("__pii_covered"))
+
+    def cut(a: Column, b: Column) -> Column:
+        first = F.floor(a / MASK_CHUNK).cast("int")
+        near = F.slice("__pii_chunks", first + 1, F.floor(b / MASK_CHUNK).cast("int") - first + 1)
+        return F.substring(F.array_join(near, ""), (a - first * MASK_CHUNK + 1).cast("int"), (b - a).cast("int"))
+
+    def shown(s: Column, at: Column) -> Column:
+        return F.when(s["start"] >= at, F.concat(cut(at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit(""))
+
+    pieces = F.zip_with("__pii_ordered", F.slice("__pii_covered", F.lit(1), F.size("__pii_ordered")), shown)
+    masked = F.concat(F.array_join(pieces, ""), cut(F.element_at("__pii_covered", -1), F.length(text).cast("long")))
+    return step.select(*columns, F.when(F.size("__pii_ordered") > 0, masked).otherwise(text).alias(out))

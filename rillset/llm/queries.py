@@ -111,13 +111,14 @@ PLAIN_PATTERNS = {
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b",
+    "secret": r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|(?i:api_?key|secret|token|passwd|password)\x20?[=:]\x20?[\x22\x27]?[A-Za-z0-9+/_-]{16,})",
 }
 
 
 def op2_sql() -> str:
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
-    letters = "upper(v[5:] || v[:4])"
+    letters = "upper(replace(v, ' ', '')[5:] || replace(v, ' ', '')[:4])"
     checks = {
         "email": "true",
         "ip": "len(list_filter(string_split(v, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0",
@@ -126,6 +127,7 @@ def op2_sql() -> str:
         "phone": f"len({digits}) BETWEEN 8 AND 15",
         "iban": f"list_reduce(list_concat([0], list_transform(string_split({letters}, ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN ascii(c) - 55 + 1000 ELSE ascii(c) - 48 END)), "
         "lambda a, x: CASE WHEN x >= 1000 THEN (a * 100 + x - 1000) % 97 ELSE (a * 10 + x) % 97 END) = 1",
+        "secret": "true",
     }
     parts, names = [], list(PLAIN_PATTERNS)
     for k, kind in enumerate(names):

@@ -1,6 +1,7 @@
 """Licences and personal data."""
 
 import re
+import time
 
 import pytest
 from helpers import ODD_TEXTS, docs, empty
@@ -51,19 +52,44 @@ def test_base_spans_of_random_texts(spark, texts):
 
 
 def test_ibans_context_and_masks(spark):
-    from pyspark.sql import functions as F
-
-    texts = ["iban DE89370400440532013000 here", "XX DE89370400440532013001 no", "GB82WEST12345698765432", "mail me: a@b.cc or +49 30 1234567", None]
+    texts = ["iban DE89370400440532013000 here", "XX DE89370400440532013001 no", "GB82WEST12345698765432", "mail me: a@b.cc or +49 30 1234567", None, "to DE89 3704 0044 0532 0130 00.", 'token = "f95017526fc608ad71587f8ea5418b66"']
     found = pii.find_pii(docs(spark, texts))
     out = {r.doc_id: r.spans for r in found.collect()}
     assert [s.kind for s in out[0]] == ["iban"] and out[0][0].score > out[2][0].score and out[1] == [] and out[4] == []
-    masked = {r.doc_id: r.m for r in found.select("doc_id", pii.mask_pii(F.col("text"), F.col("spans")).alias("m")).collect()}
+    assert [(s.kind, s.start, s.end) for s in out[5]] == [("iban", 3, 30)] and [s.kind for s in out[6]] == ["secret"]
+    masked = {r.doc_id: r.masked for r in pii.with_masked(found).collect()}
+    assert masked[5] == "to <IBAN>." and masked[4] == ""
     assert masked[3] == "mail me: <EMAIL> or <PHONE>" and masked[0] == "iban <IBAN> here" and masked[1] == texts[1]
     one = {r.doc_id: r for r in pii.digest(found).collect()}
     assert one[3].n_email == 1 and one[3].n_phone == 1 and one[3].spans == "email:9:15,phone:19:33"
     assert pii.digest(pii.find_pii(empty(spark))).count() == 0
 
 
+def brute_mask(text, spans):
+    out, at = "", 0
+    for s in sorted(spans, key=lambda s: (s.start, s.end, s.kind)):
+        out += text[at : s.start] + f"<{s.kind.upper()}>" if s.start >= at else ""
+        at = max(at, s.end)
+    return out + text[at:]
+
+
+def test_masks_of_overlapping_spans_and_repeated_rows(spark):
+    texts = [*CASES, "é\U0001f600" * 3000 + " a@b.cc +1 4111 1111 1111 1111 " + "z" * 5000 + " 1.2.3.4", "call +123.123.123.12 or a@1.2.3.4", "a@b.cc", "a@b.cc"]
+    df = docs(spark, texts)
+    rows = pii.with_masked(pii.find_pii(df.union(df.where("doc_id = 0")))).collect()
+    assert len(rows) == len(texts) + 1 and all(r.masked == brute_mask(r.text, r.spans) for r in rows)
+    assert any(a.end > b.start for r in rows for a, b in zip(sorted(r.spans, key=lambda s: s.start), sorted(r.spans, key=lambda s: s.start)[1:]))
+
+
+def test_a_text_of_many_matches(spark):
+    n = 100_000
+    began = time.perf_counter()
+    df = spark.createDataFrame([(1, "a@b.cd " * n)], "doc_id long, text string")
+    row = pii.with_masked(pii.find_pii(df)).selectExpr("size(spans) AS n", "spans[99999].start AS last", "masked").first()
+    assert row.n == n and row.last == 7 * (n - 1) and row.masked == "<EMAIL> " * n
+    assert time.perf_counter() - began < 60
+
+
 def dice(a, b):
     a, b = set(licenses.bigrams_of(a)), set(licenses.bigrams_of(b))
     return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
