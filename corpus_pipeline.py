@@ -15,7 +15,7 @@ from rillset.llm.common import materialize
 from rillset.llm.exact_dedup import exact_groups
 from rillset.llm.ngram_join import similar_groups
 from rillset.llm.packing import pack_documents
-from rillset.llm.pii import mask_pii, with_spans
+from rillset.llm.pii import with_masked, with_spans
 from rillset.llm.queries import table, tokenizer_path
 from rillset.llm.toxicity import drop_toxic
 
@@ -45,9 +45,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data is masked by its kind; n_chars follows. No row goes."""
-    found = with_spans(docs, "text", "__spans")
+    masked = with_masked(with_spans(docs, "text", "__spans"), "text", "__spans", "__masked")
     hit = F.size("__spans") > 0
-    masked = found.withColumn("__masked", mask_pii(F.col("text"), F.col("__spans")))
     new = {"text": F.col("__masked"), "n_chars": F.when(hit, F.length("__masked").cast("long")).otherwise(F.col("n_chars"))}
     return masked.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
