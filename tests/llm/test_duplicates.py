@@ -43,6 +43,25 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
 
 
+def test_few_unique_texts_pass_the_filter(spark):
+    df = docs(spark, [f"text {i}" for i in range(4000)] + ["copy"] * 2000 + [f"pair {i // 2}" for i in range(40)])
+    copies = exact_dedup._Copies(df, "doc_id", "text")
+    assert 2040 <= copies.suspects.count() <= 2100 and copies.groups.count() == 21
+    assert copies.suspects.count() + copies.alone.count() == df.count()
+    sizes = [r.group_size for r in exact_dedup.exact_groups(df).collect()]
+    assert sizes.count(2000) == 2000 and sizes.count(2) == 40 and sizes.count(1) == 4000
+
+
+def test_distinct_texts_go_by_row(spark):
+    schema = "doc_id long, text string, lang string, keep_id long, __row string"
+    rows = [(5, "a", "x", 1, "r"), (5, "b", "y", 2, "r"), (9, "b", "z", 3, "r"), (9, "b", "a", 4, "r"), (None, "", "n", 5, "r"), (None, None, "m", 6, "r"), (None, "b", "q", 7, "r"), (3, "c", "u", 8, None)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    out = exact_dedup.distinct_texts(df)
+    assert out.columns == df.columns
+    assert {tuple(r) for r in out.collect()} == {rows[0], rows[3], rows[5], rows[7]} and out.count() == 4
+    assert exact_dedup.distinct_texts(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7), (200, 150), (150, 200)]
     out = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
