@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillset.llm.common import materialize
-from rillset.llm.exact_dedup import exact_groups
+from rillset.llm.exact_dedup import distinct_texts
 from rillset.llm.ngram_join import similar_groups
 from rillset.llm.packing import pack_documents
 from rillset.llm.pii import with_masked, with_spans
@@ -20,31 +20,43 @@ from rillset.llm.queries import table, tokenizer_path
 from rillset.llm.toxicity import drop_toxic
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of the ids; a null id stands for rows without one."""
-    chosen = ids.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels of the corpus at sf_dir."""
+    """Documents that the classifier rejects go; it learns from the labels of the corpus at sf_dir.
+
+    Each row is judged by its text alone, however its id repeats; a null or empty text stays. Without labels or in an empty
+    table nothing goes. All columns stay.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of the largest doc_id stays; rows that repeat both id and text become one."""
-    kept = exact_groups(docs).where("kept")
-    return _only(docs, kept).dropDuplicates(["doc_id", "text"])
+    """Of equal texts the row of the largest doc_id stays, of several such rows the smallest by all columns.
+
+    Null and empty texts are equal; a null id stays only where its text has no other. An empty table stays empty.
+    """
+    return distinct_texts(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one of the smallest doc_id stays; those without words stay."""
-    kept = similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _only(docs, kept)
+    """Of documents that links connect the one of the smallest doc_id stays; those without words stay.
+
+    Rows that repeat an id are documents of their own and come last in that order, as do rows without an id. What goes is a
+    small table of row numbers, so that documents move only where it outgrows Spark's bound for a broadcast.
+    """
+    rows = docs.withColumn("__row", F.col("doc_id"))
+    several = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id")), "repeated-ids")
+    if several.limit(1).count():
+        # texts are distinct, so these numbers are one a row
+        own = F.shiftrightunsigned(F.xxhash64("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)), 2) + F.lit(1 << 62)
+        rows = docs.join(several, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+        named = F.col("doc_id").isNotNull() & F.col("__id").isNull()
+        rows = rows.withColumn("__row", F.when(named, F.col("doc_id")).otherwise(own)).drop("__id")
+    gone = materialize(similar_groups(rows, id_col="__row").where("doc_id <> component_id").select(F.col("doc_id").alias("__row")), "near-copies")
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data is masked by its kind; n_chars follows. No row goes."""
+    """Every span of personal data is masked by its kind; n_chars follows. No row goes; null texts stay null."""
     masked = with_masked(with_spans(docs, "text", "__spans"), "text", "__spans", "__masked")
     hit = F.size("__spans") > 0
     new = {"text": F.col("__masked"), "n_chars": F.when(hit, F.length("__masked").cast("long")).otherwise(F.col("n_chars"))}
@@ -52,7 +64,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces of every document."""
+    """Power-of-two pieces of every document; a null or empty text is its end id alone, rows that repeat an id are packed each."""
     return pack_documents(docs, tokenizer_path())
 
 
