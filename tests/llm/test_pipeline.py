@@ -59,6 +59,24 @@ def test_stages(spark, folder):
     assert tokens == {i: len(lib.encode(r.text or "", add_special_tokens=False).ids) + 1 for i, r in masked.items()}
 
 
+def test_stages_go_by_row_and_take_odd_tables(spark, folder):
+    path, _ = folder
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, __n string"
+    rows = [(5, a, "x"), (5, b, "y"), (9, b, "z"), (9, b, "y"), (5, b + " more", "x"), (2, c, "x"), (None, c + " more", "x"), (None, None, "x"), (7, "", "x"), (1, a + " more", "x")]
+    df = spark.createDataFrame([(i, t, k, "s", None if t is None else len(t), "clash", "clash") for i, t, k in rows], schema).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    left = materialize(stages["exact_dedup"](spark, df, path), "test-odd")
+    assert sorted((r.doc_id or 0, r.text or "", r.lang) for r in left.collect()) == sorted((i or 0, t or "", k) for i, t, k in [rows[0], rows[3], rows[4], rows[5], rows[6], rows[8], rows[9]])
+    left = materialize(stages["ngram_join"](spark, left, path), "test-odd")
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(1, a + " more"), (9, b), (2, c), (7, "")]) and left.columns == df.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df.limit(0), path)
+        assert out.count() == 0 and (name == "packing" or out.columns == df.columns)
+        assert stage(spark, df, path).count() > 0
+
+
 def test_run_and_registration(spark, folder):
     path, _ = folder
     assert "sequence_id" in corpus_pipeline.run(spark, path).columns
