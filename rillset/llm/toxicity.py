@@ -1,20 +1,21 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posteriors.
 
-1. Lexicons: words, and beginnings of words, that labelled toxic documents have and clean ones do not, mined from at most
-   MOST_ROWS labelled rows outside the held-out fold, where a family of near copies counts as one document. They are dealt
-   in turn to LEXICONS voters.
-2. Voters vote toxic (1), clean (-1) or abstain (0) on every document of the corpus: each lexicon, and patterns (several
-   hits; none in a text long enough; shouting with a hit). Only counts of vote patterns, of which there are at most
-   3 ** voters, leave the executors.
+1. Voters vote toxic (1), clean (-1) or abstain (0) on every document, each from evidence of its own: five word lists kept
+   apart by kind, two lexicons mined from labels, threats, insults put to the reader, insults in disguise (digits for
+   letters, dots or stars inside), shouting; and for clean: polite words, prose that addresses nobody, a text without
+   any hit. Only counts of vote patterns, of which there are at most 3 ** voters, leave the executors.
+2. Mined terms are words, and beginnings of words, that labelled toxic documents have and clean ones do not, from at most
+   MOST_ROWS labelled rows outside the held-out fold, where a family of near copies counts as one document.
 3. The label model: given the true class, groups of voters are independent, and voters of one group, those whose votes
-   stay correlated once the class is accounted for, have a joint table. EM over the pattern counts estimates accuracies
-   and correlations; the posterior of a document follows from its pattern.
+   stay correlated once the class is accounted for, have a joint table. EM over the pattern counts of all documents, begun
+   at what the labelled rows say of each voter, estimates accuracies and correlations; a posterior follows from its pattern.
 4. A linear classifier (logistic regression) over hit counts and text statistics is trained on the posteriors of at most
-   MOST_ROWS documents, and scores every document.
+   MOST_ROWS distinct rows of votes and features, each weighted by the documents it stands for, and scores every document.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -33,15 +34,33 @@ from rillset.llm.tokens import chunks
 
 MOST_ROWS = 30_000
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
-LEXICONS, MOST_ENTRIES = 6, 300
+MINED = 2
 PREFIXES = (4, 5, 6)
 LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION, LEAST_CONTEXTS = 4, 0.01, 0.9, 0.6
+#: Of all terms tried so many may pass by chance.
+CHANCE = 0.01
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_~/\\"
-#: A text of so many words without a hit gets a clean vote.
+#: A text of fewer words does not shout.
 LONG = 5
 #: Features are rounded to this part of one, so that equal documents can be counted.
 GRID = 50
 
+#: Word lists of the lexicon voters: names for people, contempt, profanity, other languages, and milder words.
+LISTS = {
+    "people": "asshole bastard bitch coward creep cretin dimwit dumbass dirtbag fool halfwit idiot idiots imbecile jackass jerk loser losers lowlife moron morons parasite prick scum scumbag simpleton vermin wanker weirdo",
+    "contempt": "brainless contemptible despicable disgusting dumb filthy pathetic repulsive revolting stupid vile worthless wretched",
+    "profanity": "arse bollocks bullshit crap damn damned fuck fucked fucker fucking piss shit shitty",
+    "abroad": "abruti abschaum arschloch blödmann cabrón connard crétin dummkopf estúpido gilipollas idiota idioten imbécil imbécile imbéciles ordure salaud schwachkopf trottel versager widerlich",
+    "mild": "clown crazy freak garbage hate hated insane lunatic ridiculous rubbish trash ugly useless",
+}
+POLITE = "please thanks thank kindly sorry welcome bitte danke gracias merci"
+SECOND = "you your yours yourself u ur du dich dir dein deine tu toi te ton ta usted vous"
+#: What stands for a letter in disguise; signs that are only put between letters go.
+DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", ".": None, "-": None, "_": None})
+THREAT = r"\b(?:kill|hurt|destroy|choke|strangle) (?:you|yourself|him|her|them)\b|\bdrop dead\b|\bgo to hell\b|\bhope you (?:die|suffer)|\bdeserve to (?:die|suffer)|\bshut up\b|\bi hate you\b"
+_SAID = "|".join(sorted(w for k in ("people", "contempt", "mild") for w in LISTS[k].split()))
+ADDRESS = rf"\b(?:you|you're|you are|du bist|tu es|eres)(?: (?:a|an|all|just|so|such|total|complete|utter|little|stupid|ein|un|une))*,? (?:{_SAID})\b"
+
 
 def terms_of(word: str) -> list[str]:
     """A lower-cased word's terms: itself, and its beginnings, marked by a star."""
@@ -108,8 +127,10 @@ def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return labelled.join(F.broadcast(members.join(F.broadcast(several), "family")), "doc_id", "left")
 
 
-def mine_terms(labelled: DataFrame) -> list[str]:
-    """At most MOST_ENTRIES terms of high precision for toxic documents, most frequent first, none inside another.
+def mine_terms(labelled: DataFrame) -> tuple[list[str], list[str]]:
+    """(mined terms, words of LISTS that are as common in clean texts and lose their vote).
+
+    Mined are terms of high precision for toxic documents, more often there than chance allows, most frequent first, none inside another.
 
     A family of copies and near copies counts as one document of each of its terms, and of each label it has, however many
     its members; so it neither brings the words of its own into a lexicon nor keeps the toxic ones out. Words of texts that
@@ -139,62 +160,126 @@ def mine_terms(labelled: DataFrame) -> list[str]:
     one = counted.groupBy("term", "context", "family", "y").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     of = lambda label, c: F.sum(F.when(F.col("y") == label, 1).otherwise(F.col(c))).alias(c)
     each = one.groupBy("term").agg(of(0, "clean"), of(1, "toxic"), F.count("context").alias("contexts"))
-    toxic = labelled.where("y = 1").select(F.coalesce("family", "doc_id")).distinct().count()
+    toxic, known = labelled.select(F.coalesce("family", "doc_id").alias("f"), "y").distinct().agg(F.sum("y"), F.count(F.lit(1))).first()
+    each = materialize(each.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS), "terms")
     precision = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
-    best = each.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (precision >= LEAST_PRECISION) & (F.col("contexts") >= LEAST_CONTEXTS * F.col("toxic")))
+    # how much likelier the counts are at the term's own rate than at that of all documents
+    rate, n = min(max(toxic / known, 1e-6), 1 - 1e-6), F.col("toxic") + F.col("clean")
+    gain = F.col("toxic") * F.log(F.col("toxic") / n / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - rate))).otherwise(0.0)
+    least = math.log(max(1, each.where("toxic > 0").count()) / CHANCE)
+    listed = [w for ws in LISTS.values() for w in ws.split()]
+    unfit = sorted(r.term for r in each.where(F.col("term").isin(listed) & (F.col("toxic") <= F.col("clean"))).collect())
+    best = each.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (precision >= LEAST_PRECISION) & (F.col("contexts") >= LEAST_CONTEXTS * F.col("toxic")) & (gain >= least))
     terms: list[str] = []
     taken: set[str] = set()
-    for r in best.orderBy(F.desc("toxic"), F.length("term"), "term").limit(4 * MOST_ENTRIES).collect():
+    # each is in a share of LEAST_SHARE of the toxic documents, so there are 1 / LEAST_SHARE times a document's terms at most
+    for r in best.orderBy(F.desc("toxic"), F.length("term"), "term").collect():
         bare = r.term.rstrip("*")
         if any(bare[:k] + "*" in taken for k in PREFIXES if len(bare) >= k):
             continue
         taken.add(r.term)
         terms.append(r.term)
-    return terms[:MOST_ENTRIES]
+    return terms, unfit
 
 
 class Voters:
-    """Hits and votes of whole batches. Columns of hits: the lexicons; of features: hits and statistics."""
-
-    def __init__(self, terms: list[str]):
-        self.lexicon = {t: i % LEXICONS for i, t in enumerate(terms)}
-        self.names = [*(f"lexicon_{k}" for k in range(LEXICONS)), "several", "none", "shouting"]
-
-    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(documents, LEXICONS) words that hit, words, and the share of capitals."""
-        n, c = len(texts), byte_counts(texts)
-        document, word, words = coded_words(pc.utf8_lower(texts))
-        own = np.full(max(1, len(words)), -1)
-        for i, w in enumerate(words):
-            for t in terms_of(w):
-                if t in self.lexicon:
-                    own[i] = self.lexicon[t]
-                    break
-        voter = own[word] if len(word) else np.zeros(0, np.int64)
-        at = voter >= 0
-        table = np.bincount(document[at] * LEXICONS + voter[at], minlength=n * LEXICONS).reshape(n, LEXICONS)
-        return table, np.bincount(document, minlength=n), c["upper"] / np.maximum(c["upper"] + c["lower"], 1)
-
-    def votes(self, hits: np.ndarray, words: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """Evidence, votes and features of whole batches."""
+
+    def __init__(self, terms: list[str], unfit: Iterable[str] = ()):
+        self.kinds = [*LISTS, *(f"mined_{k}" for k in range(MINED)), "masked"]
+        self.names = [*self.kinds, "threat", "address", "shouting", "polite", "prose", "nothing"]
+        self.listed = {w: k for k, ws in enumerate(LISTS.values()) for w in ws.split() if w not in set(unfit)}
+        self.exact = [t for t in terms if not t.endswith("*")]
+        self.starts = {k: [t[:-1] for t in terms if t.endswith("*") and len(t) == k + 1] for k in PREFIXES}
+        self.place = {t: i % MINED for i, t in enumerate(terms)}
+
+    def _mined(self, bare: pa.Array) -> np.ndarray:
+        """For each word the mined lexicon that it or a beginning of it is in, -1 without one; the whole word counts first."""
+        found = np.full(len(bare), -1)
+        length = pc.utf8_length(bare).to_numpy(zero_copy_only=False)
+        for k in reversed(PREFIXES):
+            if self.starts[k]:
+                at = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(bare, 0, k), value_set=pa.array(self.starts[k])), -1).to_numpy()
+                whose = np.array([self.place[t + "*"] for t in self.starts[k]])
+                found = np.where((at >= 0) & (length > k), whose[at], found)
+        if self.exact:
+            at = pc.fill_null(pc.index_in(bare, value_set=pa.array(self.exact)), -1).to_numpy()
+            found = np.where(at >= 0, np.array([self.place[t] for t in self.exact])[at], found)
+        return found
+
+    def _disguised(self, bare: pa.Array) -> np.ndarray:
+        """Whether a word is one of the lists once digits and signs are read as letters, or stars as any letter."""
+        out = np.zeros(len(bare), bool)
+        odd = pc.match_substring_regex(bare, r"^[a-z@$0-9][a-z]*[0-9@$!*._-][a-z0-9@$!*._-]*$").to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd).tolist():
+            w = bare[i].as_py()
+            if 3 < len(w) < 24 and any("a" <= c <= "z" for c in w):
+                if "*" in w:
+                    out[i] = any(len(x) == len(w) and all(a in ("*", b) for a, b in zip(w, x)) for x in self.listed) and sum(c == "*" for c in w) < len(w) - 1
+                else:
+                    plain = w.translate(DISGUISE)
+                    out[i] = plain in self.listed
+        return out
+
+    def evidence(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        """By document: words that hit for each kind, flags of the patterns, words and the share of capitals."""
+        n, c, lower = len(texts), byte_counts(texts), pc.utf8_lower(texts.cast(pa.large_string()))
+        document, word, words = coded_words(lower)
+        bare = pc.utf8_trim(pa.array(words, pa.string()), EDGE)
+        at = pc.fill_null(pc.index_in(bare, value_set=pa.array(list(self.listed))), -1).to_numpy()
+        listed = np.where(at >= 0, np.array(list(self.listed.values()))[at], -1)
+        kinds = len(self.kinds)
+        out = np.zeros((n, kinds), np.int64)
+        for own in (listed, np.where((m := self._mined(bare)) >= 0, m + len(LISTS), -1), np.where(self._disguised(bare), kinds - 1, -1)):
+            if len(word) and (own >= 0).any():
+                kind = own[word]
+                hit = kind >= 0
+                out += np.bincount(document[hit] * kinds + kind[hit], minlength=n * kinds).reshape(n, kinds)
+
+        def count(names: str) -> np.ndarray:
+            among = pc.is_in(bare, value_set=pa.array(names.split())).to_numpy(zero_copy_only=False)
+            return np.bincount(document[among[word]], minlength=n) if len(word) else np.zeros(n, np.int64)
+
+        match = lambda pattern: pc.match_substring_regex(lower, pattern).to_numpy(zero_copy_only=False)
+        loud = pc.match_substring(lower, "!").to_numpy(zero_copy_only=False)
+        return {
+            "hits": out, "threat": match(THREAT), "address": match(ADDRESS), "polite": count(POLITE), "second": count(SECOND), "loud": loud,
+            "words": np.bincount(document, minlength=n), "upper": c["upper"] / np.maximum(c["upper"] + c["lower"], 1),
+        }
+
+    def votes(self, e: dict[str, np.ndarray]) -> np.ndarray:
         """(documents, voters) of 1, 0, -1."""
-        total = hits.sum(1)
-        several, none = (total >= 2).astype(int), -((total == 0) & (words >= LONG)).astype(int)
-        shouting = ((upper > 0.7) & (total >= 1)).astype(int)
-        return np.column_stack([(hits > 0).astype(int), several, none, shouting]).astype(np.int8)
+        some, long = (e["hits"] > 0).astype(int), e["words"] >= LONG
+        # an empty text is clean by the last two, or its silence would count as evidence
+        total = e["hits"].sum(1) + e["threat"] + e["address"]
+        clean = [e["polite"] > 0, (e["second"] == 0) & ~e["loud"], total == 0]
+        toxic = [e["threat"], e["address"], long & (e["upper"] > 0.7)]
+        return np.column_stack([some, *(x.astype(int) for x in toxic), *(-x.astype(int) for x in clean)]).astype(np.int8)
 
-    def features(self, hits: np.ndarray, words: np.ndarray, upper: np.ndarray) -> np.ndarray:
-        total = hits.sum(1)
-        return np.column_stack([np.minimum(hits, 3), total > 0, np.minimum(total, 5), total / np.maximum(words, 1), np.log1p(words) / 10, upper, np.ones(len(hits))]).astype(float)
+    def features(self, e: dict[str, np.ndarray]) -> np.ndarray:
+        """The first column tells whether anything hit."""
+        total = e["hits"].sum(1)
+        flags = [e["threat"], e["address"], e["polite"] > 0, e["second"] > 0, e["loud"]]
+        numbers = [np.minimum(total, 5), total / np.maximum(e["words"], 1), np.log1p(e["words"]) / 10, e["upper"], np.ones(len(total))]
+        return np.column_stack([(total > 0) | e["threat"] | e["address"], np.minimum(e["hits"], 3), *flags, *numbers]).astype(float)
 
 
 class LabelModel:
     """P(class) and, for each group of voters, P(votes | class), by EM over counts of vote patterns."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, correlated: float = 0.3, rounds: int = 60):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, known: tuple[np.ndarray, np.ndarray] | None = None, correlated: float = 0.3, rounds: int = 60):
+        """known: votes of labelled rows and their labels, from which EM begins; without them it begins at a majority vote."""
         self.groups = [[j] for j in range(patterns.shape[1])]
         sign = patterns.sum(1)
-        # correlations are read off a majority vote: EM without groups would take a correlated pair for the class itself
+        # correlations are read off a first guess: EM without groups would take a correlated pair for the class itself
         posterior = np.where(sign > 0, 0.9, np.where(sign < 0, 0.05, prior))
+        if known is not None and 0 < known[1].sum() < len(known[1]):
+            votes, y = known
+            score = np.full(len(patterns), np.log(prior) - np.log1p(-prior))
+            for j in range(patterns.shape[1]):
+                share = [(np.bincount(votes[y == c, j] + 1, minlength=3) + 1) / ((y == c).sum() + 3) for c in (0, 1)]
+                score += np.log(share[1] / share[0])[patterns[:, j] + 1]
+            posterior = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         residual = np.zeros((patterns.shape[1],) * 2)
         for weight in (posterior, 1 - posterior):  # covariance of votes within a class
             w = counts * weight
@@ -267,50 +352,61 @@ class ToxicityModel:
         self.voters, self.label_model, self.weights = voters, label_model, weights
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        z = self.voters.features(*self.voters.hits(texts)) @ self.weights
+        z = self.voters.features(self.voters.evidence(texts)) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> ToxicityModel | None:
     """Lexicons from labelled rows, a label model from the votes on all documents, weights from bounded posteriors.
 
-    None where no labelled toxic document yields a term.
+    None where no labelled document is toxic.
     """
     chosen = fitting_rows(labels, "toxic", FOLDS, HELD_OUT, most).cache()
     try:
         rate = chosen.agg(F.avg("y")).first()[0]
-        terms = mine_terms(labelled_texts(docs, chosen)) if rate else []
+        labelled = materialize(labelled_texts(docs, chosen), "labelled-families") if rate else None
     finally:
         chosen.unpersist()
-    if not terms:
+    if labelled is None or (rate := labelled.agg(F.avg("y")).first()[0] or 0.0) == 0.0:
         return None
-    voters = Voters(terms)
-    m = len(voters.names)
+    voters = Voters(*mine_terms(labelled))
+    m, width = len(voters.names), voters.features(voters.evidence(pa.array([""]))).shape[1]
 
     @tidied
     def cast_votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            hits = voters.hits(b.column(0))
-            votes, x = voters.votes(*hits), np.rint(voters.features(*hits) * GRID).astype(np.int64)
+            e = voters.evidence(b.column(0))
+            votes, x = voters.votes(e).astype(np.int64), np.rint(voters.features(e) * GRID).astype(np.int64)
+            x = np.column_stack([x, b.column(1).to_numpy()]) if b.num_columns > 1 else x
             # documents of equal votes and features are one row with a count
-            own, first, count = np.unique(np.concatenate([votes, x], axis=1), axis=0, return_index=True, return_counts=True)
-            lists = [pa.array(list(t[first].astype(np.int64)), pa.list_(pa.int64())) for t in (votes, x)]
+            first, count = np.unique(np.concatenate([votes, x], axis=1), axis=0, return_index=True, return_counts=True)[1:]
+            lists = [pa.array(list(t[first]), pa.list_(pa.int64())) for t in (votes, x)]
             yield pa.RecordBatch.from_arrays([*lists, pa.array(count.astype(np.int64))], ["votes", "x", "n"])
 
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(cast_votes, "votes array<bigint>, x array<bigint>, n long").groupBy("votes", "x").agg(F.sum("n").alias("n"))
+
+    # one row for each family and label, at most `most`
+    one = labelled.groupBy(F.coalesce("family", "doc_id"), "y").agg(F.min("text").alias("text"))
+    gold = counted(one.select("text", F.col("y").cast("long"))).select("votes", F.element_at("x", -1).alias("y"), "n").orderBy("votes", "y", "n").toArrow()
+    known = np.repeat(np.array(gold.column("votes").to_pylist(), np.int64).reshape(-1, m), gold.column("n").to_numpy(), axis=0), np.repeat(gold.column("y").to_numpy(), gold.column("n").to_numpy())
     base = select_text(docs).where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    cast = base.select("text").mapInArrow(cast_votes, "votes array<bigint>, x array<bigint>, n long").groupBy("votes", "x").agg(F.sum("n").alias("n"))
-    cast = materialize(cast, "votes")
+    cast = materialize(counted(base.select("text")), "votes")
     seen = cast.groupBy("votes").agg(F.sum("n").alias("n")).toArrow()
     patterns = np.array(seen.column("votes").to_pylist(), dtype=np.int64).reshape(-1, m)
     counts = seen.column("n").to_numpy().astype(float)
     order = np.lexsort(patterns.T)
-    label_model = LabelModel(patterns[order], counts[order], float(rate))
-    # rows with a hit are few and each matters, so both kinds get their share of the bound
-    total = F.element_at("x", LEXICONS + 1)
+    label_model = LabelModel(patterns[order], counts[order], float(rate), known)
+    # rows with a hit are few and each matters, so both kinds get their share of the bound, and the weight of what it leaves out
+    hit = F.col("x")[0] > 0
     by_hash = [F.xxhash64("votes", "x"), "votes", "x"]
-    rows = cast.where(total > 0).orderBy(*by_hash).limit(most // 2).union(cast.where(total == 0).orderBy(*by_hash).limit(most // 2)).toArrow()
-    x = np.array(rows.column("x").to_pylist()).reshape(rows.num_rows, -1) / GRID
-    n, votes = rows.column("n").to_numpy().astype(float), np.array(rows.column("votes").to_pylist(), dtype=np.int64).reshape(-1, m)
+    parts = []
+    for kind in (cast.where(hit), cast.where(~hit)):
+        whole = kind.agg(F.sum("n")).first()[0] or 0
+        rows = kind.orderBy(*by_hash).limit(most // 2).toArrow()
+        n = rows.column("n").to_numpy().astype(float)
+        parts.append((np.array(rows.column("x").to_pylist(), float).reshape(-1, width) / GRID, np.array(rows.column("votes").to_pylist(), dtype=np.int64).reshape(-1, m), n * (whole / max(1.0, n.sum()))))
+    x, votes, n = map(np.concatenate, zip(*parts))
     posterior = label_model.posterior(votes)
     order = np.lexsort((n, *x.T, posterior))
     return ToxicityModel(voters, label_model, fit_linear(x[order], posterior[order], n[order]))

@@ -65,7 +65,7 @@ def test_a_family_of_toxic_copies_counts_once(spark, edited):
     both = table.union(docs(spark, texts, 1000))
     more = labels.union(spark.createDataFrame([(1000 + i, 1, 1) for i in range(copies)], "doc_id long, quality int, toxic int"))
     chosen = fitting_rows(more, "toxic", toxicity.FOLDS, toxicity.HELD_OUT, 30_000)
-    terms = toxicity.mine_terms(toxicity.labelled_texts(both, chosen))
+    terms, _ = toxicity.mine_terms(toxicity.labelled_texts(both, chosen))
     found = {w for w in BAD if any(t in terms for t in toxicity.terms_of(w))}
     assert found == set(BAD) and not any(t in terms for t in toxicity.terms_of(own))
     rows = toxicity.score_toxicity(both, more).collect()
