@@ -4,11 +4,14 @@ Notation: d is a step's change, old and new the content before and after it, w t
 
   Filter, Project, Union         applied to d, w carried along
   Generate, Expand and the like  applied to the inserted and the retracted rows of d
-  inner and cross Join           d(L) join old(R) + new(L) join d(R), weights multiplied; any condition
-  Aggregate of count, sum, avg   partial sums of d merged with stored partial sums of the touched groups
-  other Aggregate, Window,       keys touched by d; the node over old and over new rows of these keys; the difference
-  outer, semi, anti Join
-  anything else                  the node over old and over new; the difference
+  inner and cross Join           d(L) join old(R) + new(L) join d(R), weights multiplied; any condition. A side that is itself
+                                 computed is limited to the keys of the change before it is joined
+  Aggregate                      a stored state for each group, of which the latest counts. Counts, exact sums and averages add
+                                 the change to it; so do MIN, MAX and floating sums where the step only inserts into the group.
+                                 All others are computed anew from the group's rows
+  Limit                          the stored rows and inserted ones; after a retraction all rows
+  Window, outer, semi, anti Join keys touched by d; the node over old and over new rows of these keys; the difference
+  anything else                  the node over old and new; the difference
 
 Restricting to touched keys is a left-semi join that Catalyst pushes towards the scans. A node's own semantics always
 come from running the node itself.
@@ -23,13 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillset.operators.state import Log, Store, expand
+from rillset.operators.state import GroupLog, Log, Segment, Store, expand
 from rillset.plans.catalyst import Catalyst
+from rillset.types import nullable
 from rillset.zset import WEIGHT, ZSet
 
-EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType)
 FLOATS = (T.FloatType, T.DoubleType)
 ORDERED = ("GlobalLimit", "LocalLimit", "Offset", "Tail")
+#: Digits up to which decimals are multiplied by a weight without losing scale.
+WIDE = 17
 
 
 class Source:
@@ -43,6 +49,54 @@ class Unsupported(Exception):
     """A plan that no rule takes; the view is recomputed instead."""
 
 
+class Measure:
+    """An aggregate call that a stored state can maintain: its function, argument and filter, and the type of its argument."""
+
+    def __init__(self, function: str, argument: Any, condition: Any, kind: T.DataType | None):
+        self.function, self.argument, self.condition, self.kind = function, argument, condition, kind
+
+    @property
+    def fragile(self) -> bool:
+        """Whether a retraction cannot be taken back out of the state."""
+        return self.function in ("min", "max") or (self.function in ("sum", "average") and isinstance(self.kind, FLOATS))
+
+    @property
+    def wide(self) -> bool:
+        return isinstance(self.kind, T.DecimalType) and self.kind.precision > WIDE
+
+    def summed(self, x: Column, w: Column) -> Column:
+        """The state's part of a change: what the argument's values, each as often as its weight says, add up to."""
+        if self.function == "min":
+            return F.min(x)
+        if self.function == "max":
+            return F.max(x)
+        if isinstance(self.kind, WHOLE):
+            return F.sum(x.cast("long") * w)
+        if isinstance(self.kind, T.LongType):
+            return F.sum(x.cast("decimal(20,0)") * w.cast("decimal(18,0)")).cast("decimal(38,0)")
+        if self.wide:  # weights are 1 and -1 here
+            return F.sum(F.when(w > 0, x).otherwise(-x))
+        return F.sum(x.cast("double") * w.cast("double") if isinstance(self.kind, FLOATS) else x * w)
+
+    def folded(self, s: Column) -> Column:
+        """States of one group as one."""
+        return F.min(s) if self.function == "min" else F.max(s) if self.function == "max" else F.sum(s)
+
+    def merged(self, was: Column, more: Column) -> Column:
+        if self.function in ("min", "max"):
+            return F.least(was, more) if self.function == "min" else F.greatest(was, more)
+        if isinstance(self.kind, T.DecimalType):
+            # a sum of 38 digits would lose scale
+            kind = T.DecimalType(37, self.kind.scale)
+            was, more = was.cast(kind), more.cast(kind)
+        return F.coalesce(was + more, was, more)
+
+    def value(self, n: Column, s: Column) -> Column:
+        if self.function == "count":
+            return n
+        return F.when(n > 0, s.cast("double") / n if self.function == "average" else s)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """The same columns by place: inner results may repeat names."""
     n = len(df.columns)
@@ -54,14 +108,32 @@ def weighted(df: DataFrame, w: int) -> DataFrame:
     return named.withColumn(WEIGHT, F.lit(w).cast("long"))
 
 
+def negated(df: DataFrame) -> DataFrame:
+    return df.withColumn(WEIGHT, -F.col(WEIGHT))
+
+
+def same_keys(left: str, right: str, n: int) -> Column:
+    condition = F.lit(True)
+    for i in range(n):
+        condition = condition & F.col(f"{left}{i}").eqNullSafe(F.col(f"{right}{i}"))
+    return condition
+
+
 class Program:
-    """The delta rules of one view. State that rules keep (partial sums) lives in logs, by node."""
+    """The delta rules of one view. State that rules keep lives in logs, by the node's place in the plan.
 
-    def __init__(self, catalyst: Catalyst, store: Store, name: str, sources: dict[int, Source], exact_floats: bool = False):
-        self.c, self.store, self.name, self.sources, self.exact_floats = catalyst, store, name, sources, exact_floats
-        self.aggregates: dict[str, Log] = {}
-        self.first = True
-        self.metrics: dict[str, list[float]] = {}
+    hidden: segments of sources, by leaf, that the view takes as not there.
+    """
+
+    def __init__(self, catalyst: Catalyst, store: Store, name: str, sources: dict[int, Source], hidden: dict[int, list[Segment]] | None = None):
+        self.c, self.store, self.name, self.sources, self.hidden = catalyst, store, name, sources, hidden or {}
+        self.logs: dict[str, Log] = {}
+        self.places: dict[int, str] = {}
+        self.parts: dict[str, Any] = {}
+        self.first, self.steps = True, 0
+        self.measured = False
+        self.metrics: dict[str, list[tuple[float, int]]] = {}
+        self._inner = 0.0
 
     # -- plans --------------------------------------------------------------------------------------------------------
     def prepare(self, df: DataFrame) -> Any:
@@ -71,8 +143,22 @@ class Program:
         if any(x in text for x in ("subquery#", "exists#", "list#", "CTERelation")):
             raise Unsupported("sub-queries inside expressions")
         self._check(plan)
+        self.places, self.parts = {}, {}
+        self._place(plan, "0")
         return plan
 
+    def _place(self, node: Any, place: str) -> None:
+        self.places[self._identity(node)] = place
+        for i, x in enumerate(self.c.children(node)):
+            self._place(x, f"{place}.{i}")
+
+    def _identity(self, node: Any) -> int:
+        return self.c.jvm.System.identityHashCode(node)
+
+    def place(self, node: Any) -> str:
+        """A name for a node of the plan at hand, the same whenever the view's plan is."""
+        return self.places[self._identity(node)]
+
     def _check(self, node: Any) -> None:
         kind, children = self.c.kind(node), self.c.children(node)
         if not children and not (kind == "LogicalRDD" and node.rdd().id() in self.sources) and not (kind == "LocalRelation" and node.data().isEmpty()):
@@ -96,6 +182,8 @@ class Program:
             return f"{how}Join" if how in ("Inner", "Cross") or self.c.equi_keys(node) else f"RecomputeDiff({how}Join)"
         if kind == "Aggregate":
             return "Aggregate(partial sums)" if self.measures(node) is not None else "Aggregate(touched groups)"
+        if kind in ORDERED:
+            return f"{kind}(stored rows)" if self._keeps(node) else f"RecomputeDiff({kind})"
         if kind == "Window":
             return "Window(touched partitions)"
         return f"RecomputeDiff({kind})"
@@ -108,8 +196,7 @@ class Program:
         """The node's content before or after the step: its columns by place, then the weight; not compacted."""
         kind, children = self.c.kind(node), self.c.children(node)
         if kind == "LogicalRDD":
-            log = self.sources[node.rdd().id()].log
-            return numbered(log.old() if version == "old" else log.new())
+            return numbered(self._content(node.rdd().id(), version))
         if kind == "LocalRelation":
             return weighted(self.c.frame(node), 1)
         if kind in ("Project", "Filter"):
@@ -124,24 +211,78 @@ class Program:
             return out
         if kind == "Join" and self.how(node) in ("Inner", "Cross"):
             return self._product(node, *[self.state(x, version) for x in children])
+        if kind == "Aggregate":
+            log = self._groups(node)
+            groups = log.current(log.at(version))
+            return self._group_rows(node, groups.select(*log.keys, "state", F.lit(1).cast("long").alias(WEIGHT)))
         if kind in ORDERED:
-            base = node
-            while self.c.kind(base) in (*ORDERED, "Sort"):
-                base = self.c.children(base)[0]
-            return weighted(self.c.above(node, base, self._rows(base, version)), 1)
+            if self._keeps(node):
+                return numbered(self._kept(node).at(version))
+            return weighted(self._whole_order(node, version), 1)
         return weighted(self.c.over(node, [self._rows(x, version) for x in children]), 1)
 
+    def _content(self, leaf: int, version: str) -> DataFrame:
+        log = self.sources[leaf].log
+        df = log.at(version)
+        return df.union(negated(self.store.read(log.schema, self.hidden[leaf]))) if self.hidden.get(leaf) else df
+
+    def _whole_order(self, node: Any, version: str) -> DataFrame:
+        base = self._base(node)
+        return self.c.above(node, base, self._rows(base, version))
+
+    def _base(self, node: Any) -> Any:
+        """What lies below limits and the sort under them, which only together have a meaning."""
+        while self.c.kind(node) in (*ORDERED, "Sort"):
+            node = self.c.children(node)[0]
+        return node
+
     def _rows(self, node: Any, version: str, keys: list[Any] | None = None, touched: DataFrame | None = None) -> DataFrame:
         """The node's content as rows; with keys, only where these expressions take touched values."""
-        df = self.state(node, version)
-        if keys is not None:
-            df = self._restrict(node, df, keys, touched)
+        df = self.state(node, version) if keys is None else self._limited(node, version, keys, touched)
         return expand(df, self._only_inserts(node))
 
+    def _limited(self, node: Any, version: str, keys: list[Any], touched: DataFrame) -> DataFrame:
+        """The node's content where the keys take touched values (columns t0, t1, ...).
+
+        Below a join the limit goes to the side that has the keys, and from there, by the keys that are left, to the other:
+        no join of whole tables is made for a few of its rows.
+        """
+        kind, children = self.c.kind(node), self.c.children(node)
+        if self._deep(node):
+            if kind in ("Project", "Filter", "Sort"):
+                below = keys if kind != "Project" else [self._below(node, k) for k in keys]
+                if None not in below:
+                    df = self._limited(children[0], version, below, touched)
+                    return df if kind == "Sort" else numbered(self.c.carried(node, [df]))
+            if kind == "Join" and self.how(node) in ("Inner", "Cross") and (equal := self.c.equi_keys(node)):
+                for side in (0, 1):
+                    if all(self.c.position(k, self.c.output(children[side])) is not None for k in keys):
+                        near, _ = self.store.part(self._limited(children[side], version, keys, touched), self.name)
+                        far = self._limited(children[1 - side], version, equal[1 - side], self._touched(children[side], near, equal[side]))
+                        return self._product(node, *((near, far) if side == 0 else (far, near)))
+        return self._restrict(node, self.state(node, version), keys, touched)
+
+    def _deep(self, node: Any) -> bool:
+        kind = self.c.kind(node)
+        return kind in ("Join", "Aggregate", "Window") or (kind in ("Project", "Filter", "Sort") and self._deep(self.c.children(node)[0]))
+
+    def _below(self, project: Any, key: Any) -> Any | None:
+        """What a Project's output column is made of, None for keys that are more than a column."""
+        place = self.c.position(key, self.c.output(project))
+        if place is None:
+            return None
+        e = self.c.items(project.projectList())[place]
+        return e.child() if self.c.kind(e) == "Alias" else e
+
+    def _touched(self, node: Any, df: DataFrame, keys: list[Any]) -> DataFrame:
+        columns = self.c.evaluate(node, df, [(k, f"t{i}") for i, k in enumerate(keys)])
+        return columns.select(*[f"t{i}" for i in range(len(keys))]).distinct()
+
     def _only_inserts(self, node: Any) -> bool:
         kind, children = self.c.kind(node), self.c.children(node)
         if kind == "LogicalRDD":
-            return self.sources[node.rdd().id()].log.only_inserts
+            leaf = node.rdd().id()
+            return self.sources[leaf].log.only_inserts and not self.hidden.get(leaf)
         return kind in ("Project", "Filter", "Union", "Sort") and all(map(self._only_inserts, children))
 
     def only_adds(self, node: Any, node_is_root: bool = True) -> bool:
@@ -177,12 +318,22 @@ class Program:
 
     # -- changes ------------------------------------------------------------------------------------------------------
     def delta(self, node: Any) -> DataFrame | None:
-        """The node's change by this step, None where nothing can have changed."""
-        began, kind = time.perf_counter(), self.rule(node)
-        try:
+        """The node's change by this step, None where nothing can have changed.
+
+        Where operators are measured, each one's change is written before the next one reads it, so that its time and rows are
+        its own.
+        """
+        if not self.measured:
             return self._delta(node)
-        finally:
-            self.metrics.setdefault(kind, []).append((time.perf_counter() - began) * 1000)
+        began, outer, self._inner = time.perf_counter(), self._inner, 0.0
+        df, rows = self._delta(node), 0
+        if df is not None:
+            df, segment = self.store.part(df, self.name)
+            rows = segment.rows
+        whole = time.perf_counter() - began
+        self.metrics.setdefault(f"{self.place(node)} {self.rule(node)}", []).append(((whole - self._inner) * 1000, rows))
+        self._inner = outer + whole
+        return df
 
     def _delta(self, node: Any) -> DataFrame | None:
         kind, children = self.c.kind(node), self.c.children(node)
@@ -209,12 +360,11 @@ class Program:
             d = self._keep(d)
             return self._signed(lambda rows: self.c.over(node, [rows]), d)
         if kind == "Join" and self.how(node) in ("Inner", "Cross"):
-            left, right = (self.delta(x) for x in children)
             parts = []
-            if left is not None:
-                parts.append(self._product(node, left, self.state(children[1], "old")))
-            if right is not None:
-                parts.append(self._product(node, self.state(children[0], "new"), right))
+            for side, d in enumerate([self.delta(x) for x in children]):
+                if d is not None:
+                    d, other = self._facing(node, side, d)
+                    parts.append(self._product(node, *((d, other) if side == 0 else (other, d))))
             return parts[0].union(parts[1]) if len(parts) == 2 else parts[0] if parts else None
         if kind == "Aggregate":
             return self._aggregate(node)
@@ -227,15 +377,46 @@ class Program:
             return self._ordered(node)
         return self._keyed(node, None)
 
+    def _facing(self, join: Any, side: int, d: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """A change of one side of a join, and what it meets of the other: the left side's meets old rows, the right side's new."""
+        children, version = self.c.children(join), "old" if side == 0 else "new"
+        other = children[1 - side]
+        if not self._deep(other) or not (keys := self.c.equi_keys(join)):
+            return d, self.state(other, version)
+        d, _ = self.store.part(d, self.name)
+        return d, self._limited(other, version, keys[1 - side], self._touched(children[side], d, keys[side]))
+
+    def _keeps(self, node: Any) -> bool:
+        """Whether the rows that limits let through tell, with inserted ones, which they will let through."""
+        while self.c.kind(node) in (*ORDERED, "Sort"):
+            if self.c.kind(node) in ("Offset", "Tail"):
+                return False
+            node = self.c.children(node)[0]
+        return True
+
+    def _kept(self, node: Any) -> Log:
+        place = self.place(node)
+        if place not in self.logs:
+            fields = [T.StructField(f"c{i}", T._parse_datatype_json_string(a.dataType().json())) for i, a in enumerate(self.c.output(node))]
+            self.logs[place] = Log(self.store, f"{self.name}-top", T.StructType(fields))
+        return self.logs[place]
+
     def _ordered(self, node: Any) -> DataFrame | None:
-        """Limits and the sort below them, which only together have a meaning, over old and new rows."""
-        base = node
-        while self.c.kind(base) in (*ORDERED, "Sort"):
-            base = self.c.children(base)[0]
-        if self.delta(base) is None:
+        base = self._base(node)
+        d = self.delta(base)
+        if d is None:
             return None
-        new, old = (weighted(self.c.above(node, base, self._rows(base, v)), w) for v, w in (("new", 1), ("old", -1)))
-        return ZSet(new.union(old)).compact().df
+        if not self._keeps(node):
+            return ZSet(weighted(self._whole_order(node, "new"), 1).union(weighted(self._whole_order(node, "old"), -1))).compact().df
+        log = self._kept(node)
+        if self.only_adds(base, False):
+            rows = expand(log.old(), log.only_inserts).union(expand(numbered(d), True))
+            new = self.c.above(node, base, rows)
+        else:
+            new = self._whole_order(node, "new")
+        log.stage(ZSet(weighted(new, 1).union(negated(log.old()))).compact().df)
+        found = log.delta()
+        return None if found is None else numbered(found)
 
     def _signed(self, run: Any, d: DataFrame) -> DataFrame:
         """A linear node over the inserted and the retracted rows of a change."""
@@ -244,17 +425,17 @@ class Program:
 
     def _keep(self, df: DataFrame) -> DataFrame:
         """A small result that several branches read: written once."""
-        return self.store.read(df.schema, [self.store.write(df, f"{self.name}-part")])
+        return self.store.part(df, self.name)[0]
 
     def _keyed(self, node: Any, keys: list[list[Any]] | None) -> DataFrame | None:
         """The node over old and new rows of the touched keys (one list of key expressions per child; None: all rows)."""
         children = self.c.children(node)
         changes = [self.delta(x) for x in children]
-        if all(d is None for d in changes) and not self._starts(node):
+        if all(d is None for d in changes):
             return None
         touched = None
         if keys is not None and any(keys):
-            parts = [self.c.evaluate(x, d, [(k, f"t{i}") for i, k in enumerate(ks)]).select(*[f"t{i}" for i in range(len(ks))]) for x, d, ks in zip(children, changes, keys) if d is not None]
+            parts = [self._touched(x, d, ks) for x, d, ks in zip(children, changes, keys) if d is not None]
             touched = parts[0]
             for p in parts[1:]:
                 touched = touched.union(p)
@@ -265,10 +446,7 @@ class Program:
         def run(version: str) -> DataFrame:
             return self.c.over(node, [self._rows(x, version, None if keys is None else ks, touched) for x, ks in zip(children, keys or children)])
 
-        out = weighted(run("new"), 1)
-        if not (self.first and self._is_global(node)):
-            out = out.union(weighted(run("old"), -1))
-        return ZSet(out).compact().df
+        return ZSet(weighted(run("new"), 1).union(weighted(run("old"), -1))).compact().df
 
     def _is_global(self, node: Any) -> bool:
         return self.c.kind(node) == "Aggregate" and node.groupingExpressions().size() == 0
@@ -278,130 +456,206 @@ class Program:
         return self.first and self._is_global(node)
 
     # -- aggregates ---------------------------------------------------------------------------------------------------
-    def measures(self, node: Any) -> list[tuple[str, Any]] | None:
-        """For each output column ('key', place) or (function, argument) if stored sums can maintain it, else None."""
-        grouping = self.c.items(node.groupingExpressions())
-        child_out = self.c.output(self.c.children(node)[0])
-        if any(self.c.position(g, child_out) is None for g in grouping):
+    def _taken_apart(self, node: Any) -> tuple[list, list, list] | None:
+        place = self.place(node)
+        if place not in self.parts:
+            self.parts[place] = self.c.aggregation(node)
+        return self.parts[place]
+
+    def _grouping(self, node: Any) -> list:
+        return self.c.items(node.groupingExpressions())
+
+    def _bare(self, node: Any) -> list:
+        """The grouping expressions without names."""
+        return [g.child() if self.c.kind(g) == "Alias" else g for g in self._grouping(node)]
+
+    def measures(self, node: Any) -> list[Measure] | None:
+        """The aggregate calls of the node if a stored state can maintain them all, else None."""
+        key = f"measures {self.place(node)}"
+        if key not in self.parts:
+            self.parts[key] = self._measures(node)
+        return self.parts[key]
+
+    def _measures(self, node: Any) -> list[Measure] | None:
+        found = self._taken_apart(node)
+        if found is None:
             return None
-        out: list[tuple[str, Any]] = []
-        allowed = EXACT if self.exact_floats else EXACT + FLOATS
-        for e in self.c.items(node.aggregateExpressions()):
-            place = self.c.position(e, grouping)
-            if place is not None:
-                out.append(("key", place))
-                continue
-            if self.c.kind(e) != "Alias":
+        out = []
+        for call in found[1]:
+            if self.c.kind(call) != "AggregateExpression" or call.isDistinct():
                 return None
-            if (place := self.c.position(e.child(), grouping)) is not None:
-                out.append(("key", place))
-                continue
-            agg = e.child()
-            if self.c.kind(agg) != "AggregateExpression" or agg.isDistinct() or agg.filter().isDefined():
+            f = call.aggregateFunction()
+            function, arguments = self.c.kind(f), self.c.items(f.children())
+            condition = call.filter().get() if call.filter().isDefined() else None
+            if len(arguments) != 1 or function not in ("Count", "Sum", "Average", "Min", "Max"):
                 return None
-            f = agg.aggregateFunction()
-            kind, arguments = self.c.kind(f), self.c.items(f.children())
-            if kind == "Count" and len(arguments) == 1:
-                out.append(("count", arguments[0]))
-            elif kind in ("Sum", "Average") and isinstance(T._parse_datatype_json_string(arguments[0].dataType().json()), allowed):
-                decimal = "decimal" in arguments[0].dataType().catalogString()
-                if kind == "Average" and decimal:
-                    return None
-                out.append((kind.lower(), arguments[0]))
-            else:
+            kind = None if function == "Count" else T._parse_datatype_json_string(arguments[0].dataType().json())
+            if function in ("Sum", "Average") and not isinstance(kind, (*WHOLE, T.LongType, *FLOATS, T.DecimalType)):
                 return None
+            if (function == "Average" and isinstance(kind, T.DecimalType)) or isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+                return None
+            out.append(Measure(function.lower(), arguments[0], condition, kind))
         return out
 
-    def _aggregate(self, node: Any) -> DataFrame | None:
-        grouping, child = self.c.items(node.groupingExpressions()), self.c.children(node)[0]
-        measures = self.measures(node)
+    def _starts(self, node: Any) -> bool:
+        """An aggregate over all rows has a row even of nothing, from the first step on."""
+        return self.first and not self._grouping(node)
+
+    def _groups(self, node: Any) -> GroupLog:
+        """The log of the node's groups. Its first use in a plan fixes the columns of the state."""
+        place = self.place(node)
+        if place not in self.logs:
+            child, n = self.c.children(node)[0], len(self._grouping(node))
+            empty = self._anew(node, self.state(child, "old").limit(0).drop(WEIGHT))
+            keys = [f"g{i}" for i in range(n)]
+            state = T.StructField("state", nullable(empty.schema["state"].dataType))
+            schema = T.StructType([*[empty.schema[k] for k in keys], state, T.StructField("was", state.dataType), T.StructField("seq", T.LongType())])
+            self.logs[place] = GroupLog(self.store, f"{self.name}-groups", schema, keys)
+        return self.logs[place]
+
+    def _sums(self, node: Any, d: DataFrame, measures: list[Measure]) -> DataFrame:
+        """(g0, ..., rows, lost, n0, s0, ...) of a change of the node's child; lost: whether it retracts anything."""
+        child, w = self.c.children(node)[0], F.col(WEIGHT)
+        if any(m.wide for m in measures):
+            d = d.withColumn(WEIGHT, F.explode(F.array_repeat(F.signum(w).cast("long"), F.abs(w).cast("int"))))
+        grouping = [(g, f"g{i}") for i, g in enumerate(self._bare(node))]
+        wanted = [(m.argument, f"x{i}") for i, m in enumerate(measures)] + [(m.condition, f"f{i}") for i, m in enumerate(measures) if m.condition is not None]
+        flat = self.c.evaluate(child, d, [*grouping, *wanted])
+        sums: list[Column] = [F.sum(w).alias("rows"), F.max(w < 0).alias("lost")]
+        for i, m in enumerate(measures):
+            x = F.col(f"x{i}") if m.condition is None else F.when(F.col(f"f{i}"), F.col(f"x{i}"))
+            sums.append(F.sum(F.when(x.isNotNull(), w)).alias(f"n{i}"))
+            if m.function != "count":
+                sums.append(m.summed(x, w).alias(f"s{i}"))
+        return flat.groupBy(*[name for _, name in grouping]).agg(*sums)
+
+    @staticmethod
+    def _packed(measures: list[Measure], rows: Column, n: list[Column], s: list[Column | None]) -> Column:
+        """A group's state."""
+        fields = [rows.cast("long").alias("rows")]
+        for i, m in enumerate(measures):
+            fields.append(n[i].cast("long").alias(f"n{i}"))
+            if s[i] is not None:
+                fields.append(s[i].alias(f"s{i}"))
+        return F.struct(*fields)
+
+    def _anew(self, node: Any, rows: DataFrame) -> DataFrame:
+        """(g0, ..., state) of the groups that rows of the child make."""
+        measures, keys = self.measures(node), [f"g{i}" for i in range(len(self._grouping(node)))]
         if measures is None:
-            return self._keyed(node, [grouping])
+            made = self.c.keyed_aggregate(node, rows)
+            own = len(made.columns) - len(keys)
+            named = made.toDF(*keys, *[f"c{i}" for i in range(own)])
+            return named.select(*keys, F.struct(F.lit(1).cast("long").alias("rows"), *[f"c{i}" for i in range(own)]).alias("state"))
+        sums = self._sums(node, rows.withColumn(WEIGHT, F.lit(1).cast("long")), measures)
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        state = self._packed(measures, zero("rows"), [zero(f"n{i}") for i in range(len(measures))], [None if m.function == "count" else F.col(f"s{i}") for i, m in enumerate(measures)])
+        return sums.select(*keys, state.alias("state"))
+
+    def _group_rows(self, node: Any, groups: DataFrame) -> DataFrame:
+        """The node's own columns, then the weight, for groups (g0, ..., state, weight)."""
+        measures, found = self.measures(node), self._taken_apart(node)
+        n = len(self._grouping(node))
+        if measures is None:
+            return numbered(groups.select(*[F.col(f"state.c{i}") for i in range(len(self.c.output(node)))], WEIGHT))
+        calls = [call.resultAttribute() for call in found[1]]
+        attributes = [*[g.toAttribute() for g in found[0]], *calls]
+        values = [m.value(F.col(f"state.n{i}"), None if m.function == "count" else F.col(f"state.s{i}")).cast(a.dataType().catalogString()).alias(f"v{i}") for i, (m, a) in enumerate(zip(measures, calls))]
+        return numbered(self.c.results(found[2], attributes, groups.select(*[f"g{i}" for i in range(n)], *values, WEIGHT)))
+
+    def _aggregate(self, node: Any) -> DataFrame | None:
+        child = self.c.children(node)[0]
         d = self.delta(child)
         if d is None and not self._starts(node):
             return None
-        if d is None:
-            d = self.state(child, "new").limit(0)
-        n, keys = len(grouping), [f"g{i}" for i in range(len(grouping))]
-        log, partial = self._sums(node, d)
-        log.stage(partial)
-        fresh = log.delta()
-        if fresh is None:
-            return None
-        own = [c for c in log.schema.fieldNames() if c != WEIGHT]
-        before = log.old()
+        log, measures, n = self._groups(node), self.measures(node), len(self._grouping(node))
+        d = self.state(child, "new").limit(0) if d is None else d
+        keys, bare = log.keys, self._bare(node)
+        # what the change says of each group it touches, and whether the group has to be computed anew
+        if measures is None:
+            change = self._touched(child, d, bare).toDF(*keys) if n else self.store.spark.range(1).select()
+            change = change.withColumn("lost", F.lit(True))
+        else:
+            change = self._sums(node, d, measures)
+        anew = False
+        if measures is None or (any(m.fragile for m in measures) and not self.only_adds(child, False)):
+            # a group to compute anew weighs -1, so that the written part tells whether there is one
+            change, part = self.store.part(change.withColumn(WEIGHT, F.when(F.col("lost"), -1).otherwise(1).cast("long")), self.name)
+            change, anew = change.drop(WEIGHT), part.least < 0
+        old = log.old()
         if n:
-            condition = F.lit(True)
-            for k in keys:
-                condition = condition & F.col(f"b.{k}").eqNullSafe(F.col(f"f.{k}"))
-            before = before.alias("b").join(fresh.select(*keys).alias("f"), condition, "left_semi")
-
-        # one aggregation gives a group's sums both with and without the change
-        sums = [c for c in own if c not in keys]
-        both = before.withColumn("was", F.lit(True)).union(fresh.withColumn("was", F.lit(False)))
-        total = both.groupBy(*keys).agg(*[F.sum(c).alias(f"new_{c}") for c in sums], *[F.sum(F.when(F.col("was"), F.col(c))).alias(f"old_{c}") for c in sums])
-
-        def row(version: str) -> Column:
-            columns = []
-            for i, ((f, a), attr) in enumerate(zip(measures, self.c.output(node))):
-                if f == "key":
-                    value = F.col(f"g{a}")
-                else:
-                    some = F.coalesce(F.col(f"{version}_n{i}"), F.lit(0))
-                    value = some if f == "count" else F.when(some > 0, F.col(f"{version}_s{i}") / some if f == "average" else F.col(f"{version}_s{i}"))
-                columns.append(value.cast(attr.dataType().catalogString()).alias(f"c{i}"))
-            return F.struct(*columns)
-
-        def there(version: str) -> Column:
-            if n:
-                return F.coalesce(F.col(f"{version}_rows"), F.lit(0)) > 0
-            return F.lit(version == "new" or not self.first)
-
-        pair = total.select(row("new").alias("new"), row("old").alias("old"), there("new").alias("is_new"), there("old").alias("is_old"))
-        moved = pair.where(~(F.col("is_new") & F.col("is_old") & F.col("new").eqNullSafe(F.col("old"))))
-        sides = F.array(F.struct(F.col("new").alias("r"), F.lit(1).cast("long").alias("w"), F.col("is_new").alias("ok")), F.struct(F.col("old").alias("r"), F.lit(-1).cast("long").alias("w"), F.col("is_old").alias("ok")))
-        out = moved.select(F.explode(sides).alias("x")).where("x.ok")
-        return out.select(*[F.col(f"x.r.c{i}").alias(f"c{i}") for i in range(len(measures))], F.col("x.w").alias(WEIGHT))
-
-    def _sums(self, node: Any, d: DataFrame) -> tuple[Log, DataFrame]:
-        """The log of an aggregate's partial sums, and those of a change of its child."""
-        grouping, child, w = self.c.items(node.groupingExpressions()), self.c.children(node)[0], F.col(WEIGHT)
-        arguments = [(i, f, a) for i, (f, a) in enumerate(self.measures(node)) if f != "key"]
-        keys = [f"g{i}" for i in range(len(grouping))]
-        flat = self.c.evaluate(child, d, [*[(g, f"g{i}") for i, g in enumerate(grouping)], *[(a, f"x{i}") for i, _, a in arguments]])
-        sums: list[Column] = [F.sum(w).alias("rows")]
-        for i, f, _ in arguments:
-            x = F.col(f"x{i}")
-            sums.append(F.sum(F.when(x.isNotNull(), w)).alias(f"n{i}"))
-            if f != "count":
-                loose = f == "average" or isinstance(flat.schema[f"x{i}"].dataType, FLOATS)
-                sums.append(F.sum(x.cast("double") * w.cast("double") if loose else x * w).alias(f"s{i}"))
-        partial = flat.groupBy(*keys).agg(*sums).withColumn(WEIGHT, F.lit(1).cast("long"))
-        if (log := self.aggregates.get(key := self._key(node))) is None:
-            log = self.aggregates[key] = Log(self.store, f"{self.name}-sums", partial.schema)
-        return log, partial
+            old = old.join(change.select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)]), same_keys("g", "t", n), "left_semi")
+        both = old.select(*keys, F.col("state").alias("was"), "seq").unionByName(change, allowMissingColumns=True)
+        if anew:
+            again = change.where("lost").select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)])
+            rows = self._rows(child, "new", bare, again) if n else self._rows(child, "new")
+            both = both.unionByName(self._anew(node, rows).withColumnRenamed("state", "fresh"), allowMissingColumns=True)
+        # one aggregation brings a group's last state and its change together
+        sums = [(c, measures[int(c[1:])] if c[0] == "s" else None) for c in change.columns if c not in (*keys, "lost")]
+        total = both.groupBy(*keys).agg(
+            F.max_by("was", "seq").alias("was"), F.max("lost").alias("lost"),
+            *([F.first("fresh", ignorenulls=True).alias("fresh")] if anew else []),
+            *[(m.folded(F.col(c)) if m else F.sum(c)).alias(c) for c, m in sums],
+        )
+        if measures is None:
+            state = F.col("fresh")
+        else:
+            count = lambda c: F.coalesce(F.col(f"was.{c}"), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))
+            merged = [None if m.function == "count" else m.merged(F.col(f"was.s{i}"), F.col(f"s{i}")) for i, m in enumerate(measures)]
+            state = self._packed(measures, count("rows"), [count(f"n{i}") for i in range(len(measures))], merged).cast(log.schema["state"].dataType)
+            state = F.when(state["rows"] > 0, state) if n else state
+            state = F.when(F.col("lost"), F.col("fresh")).otherwise(state) if anew else state
+        moves = total.select(*keys, state.alias("state"), "was").where(~F.col("state").eqNullSafe(F.col("was")))
+        log.stage(moves.withColumn("seq", F.lit(self.steps).cast("long")).withColumn(WEIGHT, F.lit(1).cast("long")))
+        found = log.delta()
+        if found is None:
+            return None
+        pair = F.array(*[F.struct(F.col(c).alias("state"), F.lit(w).cast("long").alias("w")) for c, w in (("state", 1), ("was", -1))])
+        rows = found.select(*keys, F.explode(pair).alias("x")).where("x.state IS NOT NULL")
+        return self._group_rows(node, rows.select(*keys, F.col("x.state").alias("state"), F.col("x.w").alias(WEIGHT)))
 
+    # -- life ---------------------------------------------------------------------------------------------------------
     def seed(self, node: Any) -> None:
-        """Partial sums of the content at hand, for a view that starts late."""
-        log, partial = self._sums(node, self.state(self.c.children(node)[0], "old"))
-        log.stage(partial)
-        log.commit()
+        """State of the content at hand, for a view that starts late; the lower nodes' first, which the upper ones read."""
+        kind = self.c.kind(node)
+        for x in [self._base(node)] if kind in ORDERED else self.c.children(node):
+            self.seed(x)
+        log = None
+        if kind == "Aggregate":
+            log = self._groups(node)
+            made = self._anew(node, self._rows(self.c.children(node)[0], "old"))
+            log.stage(made.withColumn("was", F.lit(None).cast(log.schema["state"].dataType)).withColumn("seq", F.lit(-1).cast("long")).withColumn(WEIGHT, F.lit(1).cast("long")))
+        elif kind in ORDERED and self._keeps(node):
+            log = self._kept(node)
+            log.stage(weighted(self._whole_order(node, "old"), 1))
+        if log is not None:
+            log.commit()
 
-    def _key(self, node: Any) -> str:
-        """A name for a node of the plan at hand, which the view keeps."""
-        return str(self.c.jvm.System.identityHashCode(node))
+    def saved(self, plan: Any) -> dict:
+        """What a manifest says of the program once the step at hand counts."""
+        return {"steps": self.steps + 1, "lines": [list(x) for x in self.lines(plan)], "logs": {place: log.saved() for place, log in self.logs.items()}}
+
+    def restore(self, node: Any, saved: dict) -> None:
+        if (place := self.place(node)) in saved["logs"]:
+            (self._groups(node) if self.c.kind(node) == "Aggregate" else self._kept(node)).restore(saved["logs"][place])
+        for x in self.c.children(node):
+            self.restore(x, saved)
+        self.first, self.steps = False, saved["steps"]
 
-    # -- life ---------------------------------------------------------------------------------------------------------
     def commit(self) -> None:
-        self.first = False
-        for log in self.aggregates.values():
+        self.first, self.steps = False, self.steps + 1
+        for log in self.logs.values():
             log.commit()
 
+    def tidy(self) -> None:
+        for log in self.logs.values():
+            log.tidy()
+
     def abort(self) -> None:
-        for log in self.aggregates.values():
+        for log in self.logs.values():
             log.abort()
 
     def clear(self) -> None:
         self.first = True
-        for log in self.aggregates.values():
+        for log in self.logs.values():
             log.clear()

@@ -1,13 +1,18 @@
 """Versioned state: append-only logs of weighted segments, written as Parquet.
 
-A step appends what changed and rewrites nothing; a log's content is the sum of its segments. Reading is one scan over
-all segment files. When a log has many segments, or retractions, it is rewritten once in compacted form (merge), so that
-long-lived views stay cheap to read. Segments are named only when a step commits, so a failed step leaves no trace.
+A step appends what changed. A log's content is the sum of its segments, and reading is one scan over their files. Segments
+are merged by size: TIER segments of about one size become one of the next, so a row is rewritten once for each power of
+TIER that its log grows by, and a large base is left alone by small changes. Merged segments cancel what they can; without
+retractions files are only joined, and beyond MERGE_ROWS not even that.
+
+Segments count only when a step commits, so a failed step leaves no trace. Files that nothing names any longer are deleted
+GRACE commits later, when results handed out by the last steps have been read.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +20,27 @@ from pyspark.sql import types as T
 
 from rillset.zset import WEIGHT, ZSet
 
-MERGE_SEGMENTS = 24
+TIER = 8
+MERGE_ROWS = 50_000_000
+FILE_ROWS = 4_000_000
+GRACE = 2
 
 
 class Segment:
     def __init__(self, path: str, rows: int, least: int):
         self.path, self.rows, self.least = path, rows, least
 
+    def saved(self) -> list:
+        return [self.path, self.rows, self.least]
+
 
 class Store:
-    """Writes segments below one root folder that driver and executors share."""
+    """Writes segments and small texts below one root folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.pinned: set[str] = set()
+        self.parts: list[str] = []
 
     def write(self, df: DataFrame, name: str) -> Segment:
         path, seen = f"{self.root}/{name}-{uuid.uuid4().hex[:12]}", Observation()
@@ -41,9 +54,51 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*some)
 
+    def part(self, df: DataFrame, name: str) -> tuple[DataFrame, Segment]:
+        """A small result that several branches read, written once and deleted when the step ends."""
+        segment = self.write(df, f"{name}-part")
+        self.parts.append(segment.path)
+        return self.read(df.schema, [segment]), segment
+
+    def end_step(self) -> None:
+        self.delete(self.parts)
+        self.parts = []
+
+    # -- files --------------------------------------------------------------------------------------------------------
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), where
+
+    def delete(self, paths: Iterable[str]) -> None:
+        for path in paths:
+            if path not in self.pinned:
+                fs, where = self._at(path)
+                fs.delete(where, True)
+
+    def names(self, folder: str) -> list[str]:
+        fs, where = self._at(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def put(self, name: str, text: str) -> None:
+        """A text below the root, whole or not at all."""
+        fs, where = self._at(f"{self.root}/{name}")
+        _, fresh = self._at(f"{self.root}/{name}.tmp")
+        out = fs.create(fresh, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.rename(fresh, where)
+
+    def get(self, name: str) -> str:
+        fs, where = self._at(f"{self.root}/{name}")
+        source = fs.open(where)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+        finally:
+            source.close()
+
 
 class Log:
-    """Segments of one table, view or aggregate."""
+    """Segments of one table, view or operator."""
 
     def __init__(self, store: Store, name: str, schema: T.StructType):
         self.store, self.name = store, name
@@ -52,6 +107,8 @@ class Log:
         self.schema = T.StructType([*relaxed, T.StructField(WEIGHT, T.LongType(), True)])
         self.segments: list[Segment] = []
         self.staged: list[Segment] = []
+        self.dead: list[tuple[int, str]] = []
+        self.commits = 0
 
     def stage(self, df: DataFrame) -> Segment:
         segment = self.store.write(df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]), self.name)
@@ -60,19 +117,55 @@ class Log:
 
     def commit(self) -> None:
         self.segments += [s for s in self.staged if s.rows]
+        self._bury([s for s in self.staged if not s.rows])
         self.staged = []
-        if len(self.segments) >= MERGE_SEGMENTS:
-            self.merge()
+        self.commits += 1
 
     def abort(self) -> None:
+        self.store.delete(s.path for s in self.staged)
         self.staged = []
 
+    def tidy(self) -> None:
+        """Merge tiers that are full, and delete files that nothing has named for GRACE commits."""
+        self.merge()
+        self.store.delete(path for at, path in self.dead if at + GRACE <= self.commits)
+        self.dead = [(at, path) for at, path in self.dead if at + GRACE > self.commits]
+
+    def _bury(self, segments: list[Segment]) -> None:
+        self.dead += [(self.commits, s.path) for s in segments]
+
     def merge(self) -> None:
-        self.segments = [s for s in [self.store.write(ZSet(self.old()).compact().df, self.name)] if s.rows]
+        tiers: dict[int, list[Segment]] = {}
+        for s in self.segments:
+            if s.rows < MERGE_ROWS or s.least < 0:
+                tiers.setdefault((s.rows.bit_length() + 2) // 3, []).append(s)
+        for tier in sorted(tiers):
+            if len(some := tiers[tier]) >= TIER:
+                rest = [s for s in self.segments if s not in some]
+                made = self.store.write(self._merged(some, not rest), self.name)
+                self._bury(some)
+                self.segments = rest + ([made] if made.rows else [])
+                self._bury([] if made.rows else [made])
+
+    def _merged(self, some: list[Segment], whole: bool) -> DataFrame:
+        df = self.store.read(self.schema, some)
+        if any(s.least < 0 for s in some):
+            return ZSet(df).compact().df
+        return df.coalesce(max(1, sum(s.rows for s in some) // FILE_ROWS))
 
     def clear(self) -> None:
+        self._bury([*self.segments, *self.staged])
         self.segments, self.staged = [], []
 
+    def saved(self) -> dict:
+        """What a manifest says of the log once the staged segments count."""
+        return {"schema": self.data.simpleString(), "segments": [s.saved() for s in [*self.segments, *self.staged] if s.rows]}
+
+    def restore(self, saved: dict) -> None:
+        if saved["schema"] != self.data.simpleString():
+            raise ValueError(f"{self.name} was {saved['schema']}, not {self.data.simpleString()}")
+        self.segments = [Segment(*s) for s in saved["segments"]]
+
     @property
     def only_inserts(self) -> bool:
         return all(s.least > 0 for s in [*self.segments, *self.staged])
@@ -83,14 +176,34 @@ class Log:
     def new(self) -> DataFrame:
         return self.store.read(self.schema, [*self.segments, *self.staged])
 
+    def at(self, version: str) -> DataFrame:
+        return self.old() if version == "old" else self.new()
+
     def delta(self) -> DataFrame | None:
         some = [s for s in self.staged if s.rows]
         return self.store.read(self.schema, some) if some else None
 
     def rows(self, version: str = "new") -> DataFrame:
         """The content as plain rows, each as often as its weight says."""
-        df = self.old() if version == "old" else self.new()
-        return expand(df, self.only_inserts)
+        return expand(self.at(version), self.only_inserts)
+
+
+class GroupLog(Log):
+    """Rows of which the latest of each key counts: columns of the key, `state` (a struct; null: the group is gone), `was`, `seq`."""
+
+    def __init__(self, store: Store, name: str, schema: T.StructType, keys: list[str]):
+        super().__init__(store, name, schema)
+        self.keys = keys
+
+    def _merged(self, some: list[Segment], whole: bool) -> DataFrame:
+        rows = self.store.read(self.schema, some).groupBy(*self.keys).agg(F.max_by(F.struct("state", "was", "seq", WEIGHT), "seq").alias("r")).select(*self.keys, "r.*")
+        # a group that is gone must still hide its older rows in other segments
+        rows = rows.where("state IS NOT NULL") if whole else rows
+        return rows.select(*self.schema.fieldNames())
+
+    def current(self, rows: DataFrame) -> DataFrame:
+        """(keys, state) of the groups that rows of this log say are there."""
+        return rows.groupBy(*self.keys).agg(F.max_by("state", "seq").alias("state")).where("state IS NOT NULL")
 
 
 def expand(df: DataFrame, only_inserts: bool = False) -> DataFrame:

@@ -38,6 +38,24 @@ class Catalyst:
     def output(self, node: Any) -> list:
         return self.items(node.output())
 
+    def private_session(self) -> SparkSession:
+        """A session with the settings, views and functions that this one has now, whose own later ones stay apart."""
+        return SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
+
+    def calls(self, df: DataFrame, kinds: set[str], functions: set[str]) -> bool:
+        """Whether the analyzed plan of df holds an expression of one of the classes, or calls one of the SQL functions."""
+
+        def in_expression(e: Any) -> bool:
+            kind = self.kind(e)
+            if kind in kinds or (kind in ("SQLScalarFunction", "SQLFunctionExpression") and e.function().name().funcName().lower() in functions):
+                return True
+            return any(map(in_expression, self.items(e.children()))) or (hasattr(e, "plan") and "Subquery" in kind and in_plan(e.plan()))
+
+        def in_plan(node: Any) -> bool:
+            return any(map(in_expression, self.items(node.expressions()))) or any(map(in_plan, [*self.children(node), *self.items(node.innerChildren())]))
+
+        return in_plan(df._jdf.queryExecution().analyzed())
+
     def frame(self, plan: Any) -> DataFrame:
         dataset = self.jvm.org.apache.spark.sql.classic.Dataset
         return DataFrame(dataset.ofRows(self.spark._jsparkSession, plan), self.spark)
@@ -85,6 +103,26 @@ class Catalyst:
         plan, more = self.bind(df, self.output(child))
         return self.frame(self.logical.Project(self.seq([*[self.alias(e, n) for e, n in columns], *more]), plan))
 
+    def results(self, expressions: list, attributes: list, df: DataFrame) -> DataFrame:
+        """Named expressions over attributes, for which the first columns of df stand, then df's further columns."""
+        plan, more = self.bind(df, attributes)
+        return self.frame(self.logical.Project(self.seq([*expressions, *more]), plan))
+
+    def aggregation(self, node: Any) -> tuple[list, list, list] | None:
+        """The grouping expressions, aggregate calls and result expressions of an Aggregate, as Spark's planner takes them apart."""
+        found = self.jvm.org.apache.spark.sql.catalyst.planning.PhysicalAggregation.unapply(node)
+        if not found.isDefined():
+            return None
+        parts = found.get()
+        return self.items(parts._1()), self.items(parts._2()), self.items(parts._3())
+
+    def keyed_aggregate(self, node: Any, df: DataFrame) -> DataFrame:
+        """An Aggregate over df, which has the columns of its child, with the grouping expressions g0, g1, ... before its own columns."""
+        keys = [self.alias(g, f"g{i}") for i, g in enumerate(self.items(node.groupingExpressions()))]
+        bound = self.bind(df, self.output(self.children(node)[0]))[0]
+        made = self.logical.Aggregate(node.groupingExpressions(), self.seq([*keys, *self.items(node.aggregateExpressions())]), bound, self.jvm.scala.Option.empty())
+        return self.frame(made)
+
     def position(self, expression: Any, attributes: list) -> int | None:
         """The place of an attribute among others, None for other expressions."""
         if self.kind(expression) != "AttributeReference":

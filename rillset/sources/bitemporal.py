@@ -30,26 +30,48 @@ class BitemporalSink:
 
     def record(self, delta: DataFrame | None, clock: int) -> None:
         """One step's compacted change at the clock's time."""
+        self.stage(delta, clock)
+        self.commit()
+
+    def stage(self, delta: DataFrame | None, clock: int) -> None:
         if self.closed_at is not None:
             raise RuntimeError("the sink is closed")
         if delta is not None:
-            self.log.stage(delta.withColumn("__step__", F.lit(self.steps)).withColumn("__time__", F.lit(clock)))
-            self.log.segments += self.log.staged
-            self.log.staged = []
+            self.log.stage(delta.withColumn("__step__", F.lit(self.steps).cast("long")).withColumn("__time__", F.lit(clock).cast("long")))
+
+    def commit(self) -> None:
+        self.log.commit()
         self.steps += 1
 
+    def abort(self) -> None:
+        self.log.abort()
+
+    def tidy(self) -> None:
+        self.log.tidy()
+
+    def saved(self) -> dict:
+        return self.log.saved() | {"steps": self.steps + 1}
+
+    def restore(self, saved: dict) -> None:
+        self.log.restore(saved)
+        self.steps = saved["steps"]
+
     def _records(self) -> DataFrame:
         row = [F.col(f"`{c}`") for c in self.data]
-        units = self.log.old().select(*row, "__step__", "__time__", F.signum(WEIGHT).cast("int").alias("e"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs(WEIGHT))).alias("u"))
-        order = W.partitionBy(*row).orderBy("__step__", "u").rowsBetween(W.unboundedPreceding, W.currentRow)
-        summed = units.withColumn("s", F.sum("e").over(order)).withColumn("ins", F.sum(F.when(F.col("e") > 0, 1).otherwise(0)).over(order)).withColumn("ret", F.sum(F.when(F.col("e") < 0, 1).otherwise(0)).over(order))
-        low = summed.withColumn("orphans", -F.least(F.lit(0), F.min("s").over(order)))
-        before = W.partitionBy(*row).orderBy("__step__", "u")
-        orphan = (F.col("e") < 0) & (F.col("orphans") > F.coalesce(F.lag("orphans").over(before), F.lit(0)))
-        paired = low.withColumn("orphan", orphan).withColumn("pair", F.when(F.col("e") > 0, F.col("ins")).when(F.col("orphan"), -F.col("ret")).otherwise(F.col("ret") - F.col("orphans")))
-        start = F.min(F.when((F.col("e") > 0) | F.col("orphan"), F.col("__time__")))
-        end = F.max(F.when(F.col("e") < 0, F.col("__time__")))
-        return paired.groupBy(*row, "pair").agg(start.alias(START), end.alias(END)).drop("pair")
+        sign, unit, total, inserted, retracted, orphans, orphan, pair = (f"__{x}__" for x in ("sign", "unit", "total", "inserted", "retracted", "orphans", "orphan", "pair"))
+        times = F.explode(F.sequence(F.lit(1).cast("long"), F.abs(WEIGHT))).alias(unit)
+        units = self.log.old().select(*row, "__step__", "__time__", F.signum(WEIGHT).cast("int").alias(sign), times)
+        before = W.partitionBy(*row).orderBy("__step__", unit)
+        order = before.rowsBetween(W.unboundedPreceding, W.currentRow)
+        ever = lambda is_one: F.sum(F.when(is_one, 1).otherwise(0)).over(order)
+        summed = units.withColumn(total, F.sum(sign).over(order)).withColumn(inserted, ever(F.col(sign) > 0)).withColumn(retracted, ever(F.col(sign) < 0))
+        low = summed.withColumn(orphans, -F.least(F.lit(0), F.min(total).over(order)))
+        alone = (F.col(sign) < 0) & (F.col(orphans) > F.coalesce(F.lag(orphans).over(before), F.lit(0)))
+        number = F.when(F.col(sign) > 0, F.col(inserted)).when(F.col(orphan), -F.col(retracted)).otherwise(F.col(retracted) - F.col(orphans))
+        paired = low.withColumn(orphan, alone).withColumn(pair, number)
+        start = F.min(F.when((F.col(sign) > 0) | F.col(orphan), F.col("__time__")))
+        end = F.max(F.when(F.col(sign) < 0, F.col("__time__")))
+        return paired.groupBy(*row, pair).agg(start.alias(START), end.alias(END)).drop(pair)
 
     def rows(self, clock: int) -> DataFrame:
         """Closed records, and open ones as if they ended now (at the clock's time, or when the sink was closed)."""

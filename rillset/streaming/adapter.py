@@ -13,18 +13,26 @@ from rillset.zset import ZSet
 
 
 def feed(engine: Engine, table: str, stream: DataFrame, checkpoint: str, after: Callable[[Engine, int], None] | None = None, available_now: bool = True, event_time: str | None = None) -> StreamingQuery:
-    """Push each micro-batch to a table and step. A batch that comes again after a restart of the query is not taken twice.
+    """Push each micro-batch to a table and step. Every batch counts once, also over restarts of the process.
 
+    The batch's number is part of the step's manifest: a batch that Spark runs again is skipped by an engine that has it, also
+    by one opened anew on the folder. A checkpoint that is ahead of the engine is refused, as its batches would be lost.
     event_time names a numeric column: its largest value in a batch sets the clock. after(engine, batch) runs behind each step.
     """
-    taken: set[int] = set()
 
     def run(batch: DataFrame, number: int) -> None:
-        if number in taken:
+        last = engine.feeds.get(checkpoint, -1)
+        if number <= last:
             return
+        if number > last + 1:
+            raise RuntimeError(f"the stream is at batch {number}, the engine has taken {last + 1}; open it on the folder that it had")
         t = batch.agg(F.max(event_time)).first()[0] if event_time else None
-        engine.push(table, ZSet(batch), None if t is None else int(t)).step()
-        taken.add(number)
+        engine.push(table, ZSet(batch), None if t is None else int(t))
+        try:
+            engine.step((checkpoint, number))
+        except Exception:
+            engine.discard()  # Spark brings the batch again
+            raise
         if after:
             after(engine, number)
 

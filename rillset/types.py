@@ -29,3 +29,14 @@ def spark_type(kind: str | T.DataType) -> T.DataType:
 
 def struct_of(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere inside."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType), True)
+    return kind

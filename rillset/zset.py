@@ -6,7 +6,7 @@ overflow. Rows are equal when all their columns are, nulls included.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -149,11 +149,14 @@ class ZSet:
         return ZSet(both.withColumn(WEIGHT, w).drop("__right_weight__").where(F.col(WEIGHT) != 0))
 
     def join(self, other: ZSet, on: Sequence[str], how: str = "inner") -> ZSet:
-        """An equi-join on columns of one name; SQL's rule for nulls. Outer sides keep their own weight, semi and anti the left's."""
+        """An equi-join on columns of one name; SQL's rule for nulls. Outer sides keep their own weight, semi and anti the left's.
+
+        Outer joins compact both sides first, as rows that cancel must not count as matches.
+        """
         if how in ("left_semi", "left_anti"):
             return ZSet(self.df.join(other.positive().df.select(*on).distinct(), list(on), how).select(*self.df.columns))
-        right = other.df.withColumnRenamed(WEIGHT, "__right_weight__")
-        both = self.df.join(right, list(on), how)
+        left, right = (self, other) if how == "inner" else (self.compact(), other.compact())
+        both = left.df.join(right.df.withColumnRenamed(WEIGHT, "__right_weight__"), list(on), how)
         w = F.coalesce(F.col(WEIGHT), F.lit(1)) * F.coalesce(F.col("__right_weight__"), F.lit(1))
         return ZSet(both.withColumn(WEIGHT, w).drop("__right_weight__"))
 
@@ -189,5 +192,3 @@ def differentiate(states: Sequence[ZSet]) -> list[ZSet]:
     """The changes between the states of a stream, the first against nothing."""
     return [s if k == 0 else s.subtract(states[k - 1]).compact() for k, s in enumerate(states)]
 
-
-RowFunction = Callable[[tuple], tuple]

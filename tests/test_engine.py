@@ -1,6 +1,9 @@
 """Step-level scenarios: exact signed changes of views, and the law that content equals recomputation."""
 
+import math
+import os
 import random
+from decimal import Decimal
 
 import pytest
 
@@ -232,6 +235,220 @@ def test_reports(spark):
     assert drawing.startswith("digraph Circuit") and "Aggregate(partial sums)" in drawing and drawing.count('label="Input\\nt"') == 1
 
 
+def test_right_sums_after_retractions_and_for_wide_decimals(spark):
+    """The law for floats (huge ones and infinities too), large integers and decimals of full scale, over insertions and retractions."""
+    schema = "k STRING, f DOUBLE, b BIGINT, d DECIMAL(28,10), e DECIMAL(38,18)"
+    text = "SELECT k, SUM(f) AS sf, AVG(f) AS af, SUM(b) AS sb, AVG(b) AS ab, SUM(d) AS sd, SUM(e) AS se, CAST(SUM(d) AS DOUBLE) AS cd, COUNT(*) FILTER (WHERE b > 5) AS nb, MAX(f) AS mf FROM t GROUP BY k"
+    engine = Engine(spark)
+    engine.create_table("t", schema)
+    engine.sql(text, "v")
+    engine.sql("SELECT SUM(f) AS s, AVG(b) AS a, MIN(d) AS m FROM t", "g")
+    assert [r for _, r, _ in engine.views["v"].program.lines(engine.views["v"].plan)][0] == "Aggregate(partial sums)"
+    small, big, inf = ("x", 1.0, 1, Decimal("0.0000000004"), Decimal("0.000000000000000001")), ("x", 1e20, 1 << 62, Decimal("1.0000000003"), Decimal("1E+15")), ("x", math.inf, 3, None, None)
+    for rows, weights in (([small, ("y", 0.1, 7, None, None)], [1, 1]), ([big, small], [1, 2]), ([big, inf], [-1, 1]), ([inf, ("y", 0.2, 6, None, None)], [-1, 1]), ([small], [-2])):
+        engine.push("t", z(spark, schema, rows, weights)).step()
+        for name in ("v", "g"):
+            assert engine.snapshot(name).to_dict() == ZSet(engine._recompute(engine.views[name], "old")).to_dict()
+    assert engine.snapshot("v").to_dict() == {
+        ("x", 1.0, 1.0, 1, 1.0, Decimal("0.0000000004"), Decimal("0.000000000000000001"), 4e-10, 0, 1.0): 1,
+        ("y", 0.1 + 0.2, (0.1 + 0.2) / 2, 13, 6.5, None, None, None, 2, 0.2): 1,
+    }
+
+
+def test_a_refused_view_leaves_nothing_behind(spark):
+    engine = Engine(spark)
+    engine.create_table("t", "a INT, s STRING")
+    for wrong in ("SELECT s, MAX(event_time()) AS m FROM t GROUP BY s", "SELECT s, COUNT(now()) AS n FROM t GROUP BY s"):
+        with pytest.raises(ValueError):
+            engine.sql(wrong, "v")
+    engine.sql("SELECT s, COUNT(*) AS n FROM t WHERE s <> 'now()' GROUP BY s", "v")  # text is no clock
+    engine.push("t", z(spark, "a INT, s STRING", [(1, "x"), (2, "now()")])).step()
+    assert engine.snapshot("v").to_dict() == {("x", 1): 1}
+
+
+def test_a_failing_sink_changes_nothing(spark):
+    engine = Engine(spark)
+    engine.create_table("t", "a INT")
+    engine.sql("SELECT a, COUNT(*) AS n FROM t GROUP BY a", "v")
+    first, second = engine.accumulate_table("t"), engine.accumulate_view("v")
+    engine.push("t", z(spark, "a INT", [(1,)])).step()
+    whole, second.stage = second.stage, lambda *_: 1 / 0
+    engine.push("t", z(spark, "a INT", [(2,)]))
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            engine.step()
+        assert engine.snapshot("v").to_dict() == {(1, 1): 1} and first.rows(9).count() == 1
+    second.stage = whole
+    engine.step()
+    assert engine.snapshot("v").to_dict() == {(1, 1): 1, (2, 1): 1} and first.rows(9).count() == 2 == second.rows(9).count()
+    engine.push("t", z(spark, "a INT", [(3,)])).discard().step()
+    assert engine.snapshot("v").entry_count() == 2
+
+
+def test_without_backfill_what_was_there_does_not_count(spark):
+    engine = Engine(spark)
+    engine.create_table("t", "k STRING, a INT")
+    t = "k STRING, a INT"
+    engine.push("t", z(spark, t, [("x", 1), ("x", 7), ("y", 5)])).step()
+    texts = {"n": "SELECT k, COUNT(*) AS v FROM t GROUP BY k", "m": "SELECT k, MAX(a) AS v FROM t GROUP BY k", "w": "SELECT k, SUM(a) OVER (PARTITION BY k) AS v FROM t", "s": "SELECT k, a AS v FROM t WHERE a > (SELECT MIN(a) FROM t)"}
+    for name, text in texts.items():
+        engine.sql(text, name, backfill=False)
+        assert engine.snapshot(name).is_empty()
+    engine.push("t", z(spark, t, [("x", 2), ("x", 3)])).step()
+    assert [engine.snapshot(n).to_dict() for n in texts] == [{("x", 2): 1}, {("x", 3): 1}, {("x", 5): 2}, {("x", 3): 1}]
+    engine.push("t", z(spark, t, [("x", 3)], [-1])).step()
+    assert [engine.snapshot(n).to_dict() for n in texts] == [{("x", 1): 1}, {("x", 2): 1}, {("x", 2): 1}, {}]
+
+
+def test_engines_of_one_session_stay_apart(spark):
+    spark.range(3).createOrReplaceTempView("t")
+    one, two = Engine(spark), Engine(spark)
+    one.create_table("t", "a INT")
+    one.sql("SELECT a, event_time() AS seen FROM t", "v")
+    two.create_table("t", "a STRING")
+    two.sql("SELECT a FROM t", "v")
+    two.set_event_time(7)
+    one.push("t", z(spark, "a INT", [(1,)]), 5).step()
+    two.push("t", z(spark, "a STRING", [("x",)])).step()
+    two.close()
+    two.drop()
+    assert one.snapshot("v").to_dict() == {(1, 5): 1} and spark.table("t").count() == 3
+    assert one.views["v"].program and one.snapshot("v").schema[0].dataType.simpleString() == "int"
+    spark.catalog.dropTempView("t")
+
+
+def test_an_engine_is_opened_again_from_its_folder(spark, tmp_path):
+    def build():
+        engine = Engine(spark, folder=f"file://{tmp_path}/state")
+        engine.create_table("t", "k STRING, a DOUBLE")
+        engine.sql("SELECT k, SUM(a) AS s, MAX(a) AS m FROM t GROUP BY k", "sums")
+        engine.sql("SELECT k, s FROM sums ORDER BY s DESC LIMIT 1", "best")
+        engine.sql("SELECT MAX(s) AS top, COUNT(*) AS n FROM sums", "over")
+        engine.accumulate_view("best")
+        return engine
+
+    t = "k STRING, a DOUBLE"
+    first = build()
+    first.push("t", z(spark, t, [("x", 1.0), ("y", 2.0)]), 10).step()
+    first.push("t", z(spark, t, [("x", 5.0)]), 11).step()
+    first.push("t", z(spark, t, [("z", 99.0)]))  # never taken
+    again = build()
+    assert again.get_event_time() == 11 and again.steps == 2
+    assert again.output("sums").to_dict() == {("x", 1.0, 1.0): -1, ("x", 6.0, 5.0): 1}
+    again.push("t", z(spark, t, [("x", 5.0), ("y", 1.5)], [-1, 1]), 12).step()
+    assert again.snapshot("sums").to_dict() == {("x", 1.0, 1.0): 1, ("y", 3.5, 2.0): 1}
+    assert again.snapshot("best").to_dict() == {("y", 3.5): 1} and again.snapshot("over").to_dict() == {(3.5, 2): 1}
+    assert sorted(tuple(r) for r in again.sinks[("view", "best")].rows(20).collect()) == [("x", 6.0, 11, 12), ("y", 2.0, 10, 11), ("y", 3.5, 12, 20)]
+    with pytest.raises(ValueError):
+        Engine(spark, folder=f"file://{tmp_path}/state").create_table("t", "k INT")
+    again.drop()
+    assert not os.path.exists(tmp_path / "state")
+
+
+def test_feeds_take_each_batch_once_over_restarts(spark, tmp_path):
+    from rillset.streaming.adapter import feed
+
+    def build(folder):
+        engine = Engine(spark, folder=f"file://{tmp_path}/{folder}")
+        engine.create_table("e", "a INT")
+        engine.sql("SELECT COUNT(*) AS n, SUM(a) AS s FROM e", "v")
+        return engine
+
+    def run(engine):
+        stream = spark.readStream.schema("a INT").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        feed(engine, "e", stream, f"{tmp_path}/checkpoint").awaitTermination()
+        return engine.snapshot("v").to_dict()
+
+    spark.range(3).selectExpr("CAST(id AS INT) AS a").coalesce(1).write.parquet(f"{tmp_path}/in")
+    engine = build("state")
+    assert run(engine) == {(3, 3): 1} and engine.feeds == {f"{tmp_path}/checkpoint": 0}
+    spark.range(3, 5).selectExpr("CAST(id AS INT) AS a").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    whole, engine.step = engine.step, lambda feed: whole(feed) and 1 / 0  # the step counts, its process ends behind it
+    with pytest.raises(Exception):
+        run(engine)
+    again = build("state")
+    assert again.snapshot("v").to_dict() == {(5, 10): 1}
+    assert run(again) == {(5, 10): 1}  # the batch comes again and is skipped
+    spark.range(5, 6).selectExpr("CAST(id AS INT) AS a").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="open it on the folder"):
+        run(build("other"))
+    assert run(again) == {(6, 15): 1}
+
+
+def test_joins_over_joins_follow_the_change(spark):
+    """A change of c meets only rows of a and b that its keys lead to: no join of a and b as a whole is planned."""
+    engine = Engine(spark)
+    for name in "abc":
+        engine.create_table(name, "k INT, j INT, v INT")
+    engine.sql("SELECT a.v AS x, b.v AS y, c.v AS w FROM a JOIN b ON a.k = b.k JOIN c ON b.j = c.j", "v")
+    engine.sql("SELECT a.k, COUNT(*) AS n FROM a JOIN b ON a.k = b.k JOIN c ON b.j = c.j GROUP BY a.k", "g")
+    rng, t = random.Random(3), "k INT, j INT, v INT"
+    rows = lambda n: [(rng.randint(0, 9), rng.randint(0, 9), rng.randint(0, 99)) for _ in range(n)]
+    engine.push("a", z(spark, t, rows(60))).push("b", z(spark, t, rows(60))).step()
+    program = engine.views["v"].program
+    engine.tables["c"].log.stage(z(spark, t, [(1, 4, 0)]).df)
+    written = []
+    whole, engine.store.part = engine.store.part, lambda df, name: written.append((df, whole(df, name))) or written[-1][1]
+    program.delta(engine.views["v"].plan)
+    engine.store.part = whole
+    b_rows = [df for df, (_, segment) in written if "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()]
+    assert b_rows and all("Inner" not in df._jdf.queryExecution().optimizedPlan().toString() for df in b_rows)
+    engine.tables["c"].log.abort()
+    program.abort()
+    for changed in "cab":
+        engine.push(changed, z(spark, t, rows(4))).step()
+        engine.push("b", z(spark, t, rows(2))).push("c", z(spark, t, rows(2))).step()
+        for name in "vg":
+            assert engine.snapshot(name).to_dict() == ZSet(engine._recompute(engine.views[name], "old")).to_dict()
+
+
+def test_logs_merge_by_size_and_files_go(spark, tmp_path):
+    engine = Engine(spark, folder=f"file://{tmp_path}/state")
+    engine.create_table("t", "a INT")
+    engine.sql("SELECT a % 3 AS k, COUNT(*) AS n, MAX(a) AS m FROM t GROUP BY a % 3", "v")
+    engine.push("t", ZSet(spark.range(5000).selectExpr("CAST(id AS INT) AS a"))).step()
+    base = engine.tables["t"].log.segments[0].path
+    for i in range(12):
+        engine.push("t", z(spark, "a INT", [(5000 + i,), (i,)], [1, -1])).step()
+    log = engine.tables["t"].log
+    assert log.segments[0].path == base and len(log.segments) < 8  # the base is never rewritten for small changes
+    assert engine.snapshot("v").to_dict() == ZSet(engine._recompute(engine.views["v"], "old")).to_dict()
+    assert engine.snapshot("v").to_dict() == {(0, 1667, 5010): 1, (1, 1667, 5011): 1, (2, 1666, 5009): 1}
+    names = os.listdir(tmp_path / "state")
+    assert not any("-part-" in n for n in names) and len(names) < 40 and len(os.listdir(tmp_path / "state" / "manifest")) <= 4
+    engine.reset()
+    engine.push("t", z(spark, "a INT", [(1,)])).step()
+    assert engine.snapshot("v").to_dict() == {(1, 1, 1): 1}
+
+
+def test_operators_are_measured_by_what_they_write(spark):
+    engine = Engine(spark)
+    engine.create_table("t", "a INT, b INT")
+    engine.sql("SELECT a, COUNT(*) AS n FROM t WHERE b > 0 GROUP BY a", "v")
+    engine.set_metrics_enabled(True)
+    engine.push("t", z(spark, "a INT, b INT", [(1, 1), (1, 2), (2, 3), (2, 0)])).step()
+    engine.push("t", z(spark, "a INT, b INT", [(1, 5)])).step()
+    found = {k.split(" ")[-1] if "Agg" not in k else "Aggregate": m for k, m in engine.metrics().items() if k.startswith("v/")}
+    assert found["Filter"].rows == 4 and found["Filter"].steps == 2 and found["Input"].rows == 5
+    assert found["Aggregate"].rows == 4 and all(ms > 0 for ms in found["Aggregate"].each_ms)
+    assert engine.snapshot("v").to_dict() == {(1, 3): 1, (2, 1): 1}
+
+
+def test_limits_over_insertions_and_retractions(spark):
+    engine = Engine(spark)
+    engine.create_table("t", "a INT, b STRING")
+    t = "a INT, b STRING"
+    texts = {"top": "SELECT a, b FROM t ORDER BY a DESC LIMIT 2", "off": "SELECT a, b FROM t ORDER BY a DESC, b LIMIT 2 OFFSET 1"}
+    for name, text in texts.items():
+        engine.sql(text, name)
+    engine.push("t", z(spark, t, [(1, "p"), (5, "q"), (3, "r")])).step()
+    engine.push("t", z(spark, t, [(4, "s"), (0, "u")])).step()
+    assert engine.output("top").to_dict() == {(3, "r"): -1, (4, "s"): 1}
+    assert engine.snapshot("off").to_dict() == {(4, "s"): 1, (3, "r"): 1}
+    engine.push("t", z(spark, t, [(5, "q"), (4, "s")], [-1, -1])).step()
+    assert engine.snapshot("top").to_dict() == {(3, "r"): 1, (1, "p"): 1} and engine.snapshot("off").to_dict() == {(1, "p"): 1, (0, "u"): 1}
+
+
 def test_recompute_mode_agrees(spark):
     text = "SELECT dept, COUNT(*) AS n FROM emp GROUP BY dept"
     outputs = []

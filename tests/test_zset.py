@@ -66,3 +66,9 @@ def test_integrate_and_differentiate(spark):
     states = integrate(deltas)
     assert [s.to_dict() for s in states] == [{(1,): 1, (2,): 1}, {(2,): 1}, {(2,): 1, (3,): 1}]
     assert [d.to_dict() for d in differentiate(states)] == [d.to_dict() for d in deltas]
+
+
+def test_outer_joins_take_cancelled_rows_as_gone(spark):
+    left = ZSet.from_data(spark, "k INT, a INT", [(1, 1), (2, 2)])
+    right = ZSet.from_data(spark, "k INT, b INT", [(1, 9), (1, 9), (2, 5)], [1, -1, 2])
+    assert left.join(right, ["k"], "left").to_dict() == {(1, 1, None): 1, (2, 2, 5): 2}
