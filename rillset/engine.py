@@ -191,7 +191,7 @@ class Engine:
         if saved is None or saved["definition"] != view.definition:
             return False
         program = saved["program"]
-        if (program is None) != (view.program is None) or (program and program["lines"] != [list(x) for x in view.program.lines(view.plan)]):
+        if (program is None) != (view.program is None) or (program and program["lines"] != view.program.shape(view.plan)):
             return False
         view.hidden = {n: [Segment(*x) for x in some] for n, some in saved["hidden"].items()}
         self.store.pinned |= {x.path for some in view.hidden.values() for x in some}
@@ -308,7 +308,7 @@ class Engine:
         self.store.end_step()
         for part in parts:
             part.tidy()
-        self.store.delete(f"{self.store.root}/{MANIFESTS}/{n}" for n in self.store.names(MANIFESTS)[:-2])
+        self.store.delete([f"{self.store.root}/{MANIFESTS}/{self.steps - 2:012d}.json"])
         return self
 
     def discard(self) -> Engine:

@@ -153,7 +153,7 @@ class Program:
             self._place(x, f"{place}.{i}")
 
     def _identity(self, node: Any) -> int:
-        return self.c.jvm.System.identityHashCode(node)
+        return self.c.identity(node)
 
     def place(self, node: Any) -> str:
         """A name for a node of the plan at hand, the same whenever the view's plan is."""
@@ -513,8 +513,11 @@ class Program:
             self.logs[place] = GroupLog(self.store, f"{self.name}-groups", schema, keys)
         return self.logs[place]
 
-    def _sums(self, node: Any, d: DataFrame, measures: list[Measure]) -> DataFrame:
-        """(g0, ..., rows, lost, n0, s0, ...) of a change of the node's child; lost: whether it retracts anything."""
+    def _flat(self, node: Any, d: DataFrame, measures: list[Measure]) -> tuple[DataFrame, list[Column]]:
+        """(g0, ..., x0, ..., weight) of a change of the node's child, and what is summed up of a group's rows.
+
+        The sums are `rows`, `lost` (whether the change retracts anything), n0, s0, ...
+        """
         child, w = self.c.children(node)[0], F.col(WEIGHT)
         if any(m.wide for m in measures):
             d = d.withColumn(WEIGHT, F.explode(F.array_repeat(F.signum(w).cast("long"), F.abs(w).cast("int"))))
@@ -527,7 +530,7 @@ class Program:
             sums.append(F.sum(F.when(x.isNotNull(), w)).alias(f"n{i}"))
             if m.function != "count":
                 sums.append(m.summed(x, w).alias(f"s{i}"))
-        return flat.groupBy(*[name for _, name in grouping]).agg(*sums)
+        return flat, sums
 
     @staticmethod
     def _packed(measures: list[Measure], rows: Column, n: list[Column], s: list[Column | None]) -> Column:
@@ -547,7 +550,8 @@ class Program:
             own = len(made.columns) - len(keys)
             named = made.toDF(*keys, *[f"c{i}" for i in range(own)])
             return named.select(*keys, F.struct(F.lit(1).cast("long").alias("rows"), *[f"c{i}" for i in range(own)]).alias("state"))
-        sums = self._sums(node, rows.withColumn(WEIGHT, F.lit(1).cast("long")), measures)
+        flat, sums = self._flat(node, rows.withColumn(WEIGHT, F.lit(1).cast("long")), measures)
+        sums = flat.groupBy(*keys).agg(*sums)
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         state = self._packed(measures, zero("rows"), [zero(f"n{i}") for i in range(len(measures))], [None if m.function == "count" else F.col(f"s{i}") for i, m in enumerate(measures)])
         return sums.select(*keys, state.alias("state"))
@@ -572,31 +576,32 @@ class Program:
         d = self.state(child, "new").limit(0) if d is None else d
         keys, bare = log.keys, self._bare(node)
         # what the change says of each group it touches, and whether the group has to be computed anew
+        sums, anew = [], False
         if measures is None:
             change = self._touched(child, d, bare).toDF(*keys) if n else self.store.spark.range(1).select()
             change = change.withColumn("lost", F.lit(True))
         else:
-            change = self._sums(node, d, measures)
-        anew = False
+            change, sums = self._flat(node, d, measures)
         if measures is None or (any(m.fragile for m in measures) and not self.only_adds(child, False)):
+            change = change.groupBy(*keys).agg(*sums) if sums else change
             # a group to compute anew weighs -1, so that the written part tells whether there is one
             change, part = self.store.part(change.withColumn(WEIGHT, F.when(F.col("lost"), -1).otherwise(1).cast("long")), self.name)
             change, anew = change.drop(WEIGHT), part.least < 0
-        old = log.old()
-        if n:
-            old = old.join(change.select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)]), same_keys("g", "t", n), "left_semi")
-        both = old.select(*keys, F.col("state").alias("was"), "seq").unionByName(change, allowMissingColumns=True)
+            folded = {c: measures[int(c[1:])].folded(F.col(c)) if c[0] == "s" else F.sum(c) for c in change.columns if c not in (*keys, "lost")}
+            sums = [F.max("lost").alias("lost"), *[f.alias(c) for c, f in folded.items()]]
+        both, last = change, []
+        if log.segments:
+            old = log.old()
+            if n:
+                old = old.join(change.select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)]), same_keys("g", "t", n), "left_semi")
+            both, last = old.select(*keys, "state", "seq").unionByName(change, allowMissingColumns=True), log.last()
         if anew:
             again = change.where("lost").select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)])
             rows = self._rows(child, "new", bare, again) if n else self._rows(child, "new")
             both = both.unionByName(self._anew(node, rows).withColumnRenamed("state", "fresh"), allowMissingColumns=True)
+            sums.append(F.first("fresh", ignorenulls=True).alias("fresh"))
         # one aggregation brings a group's last state and its change together
-        sums = [(c, measures[int(c[1:])] if c[0] == "s" else None) for c in change.columns if c not in (*keys, "lost")]
-        total = both.groupBy(*keys).agg(
-            F.max_by("was", "seq").alias("was"), F.max("lost").alias("lost"),
-            *([F.first("fresh", ignorenulls=True).alias("fresh")] if anew else []),
-            *[(m.folded(F.col(c)) if m else F.sum(c)).alias(c) for c, m in sums],
-        )
+        total = both.groupBy(*keys).agg(*last, *sums).withColumn("was", log.packed() if last else F.lit(None).cast(log.schema["state"].dataType))
         if measures is None:
             state = F.col("fresh")
         else:
@@ -633,7 +638,13 @@ class Program:
 
     def saved(self, plan: Any) -> dict:
         """What a manifest says of the program once the step at hand counts."""
-        return {"steps": self.steps + 1, "lines": [list(x) for x in self.lines(plan)], "logs": {place: log.saved() for place, log in self.logs.items()}}
+        return {"steps": self.steps + 1, "lines": self.shape(plan), "logs": {place: log.saved() for place, log in self.logs.items()}}
+
+    def shape(self, plan: Any) -> list[list]:
+        """The lines of the plan, as a manifest keeps them."""
+        if "lines" not in self.parts:
+            self.parts["lines"] = [list(x) for x in self.lines(plan)]
+        return self.parts["lines"]
 
     def restore(self, node: Any, saved: dict) -> None:
         if (place := self.place(node)) in saved["logs"]:

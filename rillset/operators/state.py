@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,9 +201,22 @@ class GroupLog(Log):
         rows = rows.where("state IS NOT NULL") if whole else rows
         return rows.select(*self.schema.fieldNames())
 
+    @property
+    def fields(self) -> list[str]:
+        return self.schema["state"].dataType.fieldNames()
+
+    def last(self) -> list[Column]:
+        """The latest state of a group's rows, field by field: numbers are then hashed, not sorted."""
+        return [F.max_by(F.col(f"state.{f}"), "seq").alias(f"was_{f}") for f in self.fields]
+
+    def packed(self) -> Column:
+        """The fields of last() as a state again; the first field of every state is a number."""
+        whole = F.struct(*[F.col(f"was_{f}").alias(f) for f in self.fields])
+        return F.when(F.col(f"was_{self.fields[0]}").isNotNull(), whole).cast(self.schema["state"].dataType)
+
     def current(self, rows: DataFrame) -> DataFrame:
         """(keys, state) of the groups that rows of this log say are there."""
-        return rows.groupBy(*self.keys).agg(F.max_by("state", "seq").alias("state")).where("state IS NOT NULL")
+        return rows.groupBy(*self.keys).agg(*self.last()).select(*self.keys, self.packed().alias("state")).where("state IS NOT NULL")
 
 
 def expand(df: DataFrame, only_inserts: bool = False) -> DataFrame:

@@ -15,11 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 class Catalyst:
     def __init__(self, spark: SparkSession):
         self.spark, self.jvm = spark, spark._jvm
-        self.expressions = self.jvm.org.apache.spark.sql.catalyst.expressions
-        self.logical = self.jvm.org.apache.spark.sql.catalyst.plans.logical
+        catalyst = self.jvm.org.apache.spark.sql.catalyst
+        # looking a class up is a call to the JVM for each part of its name
+        self._alias, self._fresh_id = catalyst.expressions.Alias, catalyst.expressions.NamedExpression.newExprId
+        self._project, self._aggregate = catalyst.plans.logical.Project, catalyst.plans.logical.Aggregate
+        self._equi_join, self._taken_apart = catalyst.planning.ExtractEquiJoinKeys, catalyst.planning.PhysicalAggregation
+        self._to_seq, self._of_rows = self.jvm.org.apache.spark.api.python.PythonUtils.toSeq, self.jvm.org.apache.spark.sql.classic.Dataset.ofRows
+        self._none, self._empty, self.identity = self.jvm.scala.Option.empty(), self.seq([]), self.jvm.System.identityHashCode
 
     def seq(self, items: list) -> Any:
-        return self.jvm.org.apache.spark.api.python.PythonUtils.toSeq(items)
+        return self._to_seq(items)
 
     @staticmethod
     def items(seq: Any) -> list:
@@ -57,13 +62,10 @@ class Catalyst:
         return in_plan(df._jdf.queryExecution().analyzed())
 
     def frame(self, plan: Any) -> DataFrame:
-        dataset = self.jvm.org.apache.spark.sql.classic.Dataset
-        return DataFrame(dataset.ofRows(self.spark._jsparkSession, plan), self.spark)
+        return DataFrame(self._of_rows(self.spark._jsparkSession, plan), self.spark)
 
     def alias(self, child: Any, name: str, expr_id: Any = None) -> Any:
-        e = self.expressions
-        expr_id = expr_id or e.NamedExpression.newExprId()
-        return e.Alias(child, name, expr_id, self.seq([]), self.jvm.scala.Option.empty(), self.seq([]))
+        return self._alias(child, name, expr_id or self._fresh_id(), self._empty, self._none, self._empty)
 
     def bind(self, df: DataFrame, attributes: list) -> tuple[Any, list]:
         """A plan over df whose first columns carry the ids of the attributes, and the attributes of df's other columns."""
@@ -71,7 +73,7 @@ class Catalyst:
         out = self.output(plan)
         named = [self.alias(out[i], a.name(), a.exprId()) for i, a in enumerate(attributes)]
         more = [self.alias(o, o.name()) for o in out[len(attributes) :]]
-        bound = self.logical.Project(self.seq([*named, *more]), plan)
+        bound = self._project(self.seq([*named, *more]), plan)
         return bound, self.output(bound)[len(attributes) :]
 
     def over(self, node: Any, inputs: list[DataFrame]) -> DataFrame:
@@ -83,7 +85,7 @@ class Catalyst:
         """The single-child nodes from node down to base, over other rows of base."""
 
         def rebuilt(x: Any) -> Any:
-            if self.jvm.System.identityHashCode(x) == self.jvm.System.identityHashCode(base):
+            if self.identity(x) == self.identity(base):
                 return self.bind(df, self.output(base))[0]
             return x.withNewChildren(self.seq([rebuilt(self.children(x)[0])]))
 
@@ -94,23 +96,23 @@ class Catalyst:
         pairs = [self.bind(df, self.output(child)) for df, child in zip(inputs, self.children(node), strict=True)]
         plans, more = [p for p, _ in pairs], [a for _, extra in pairs for a in extra]
         if self.kind(node) == "Project":
-            return self.frame(self.logical.Project(self.seq([*self.items(node.projectList()), *more]), plans[0]))
+            return self.frame(self._project(self.seq([*self.items(node.projectList()), *more]), plans[0]))
         new = node.withNewChildren(self.seq(plans))
-        return self.frame(self.logical.Project(self.seq([*self.output(node), *more]), new))
+        return self.frame(self._project(self.seq([*self.output(node), *more]), new))
 
     def evaluate(self, child: Any, df: DataFrame, columns: list[tuple[Any, str]]) -> DataFrame:
         """Expressions over the child's columns, evaluated on df, then df's further columns."""
         plan, more = self.bind(df, self.output(child))
-        return self.frame(self.logical.Project(self.seq([*[self.alias(e, n) for e, n in columns], *more]), plan))
+        return self.frame(self._project(self.seq([*[self.alias(e, n) for e, n in columns], *more]), plan))
 
     def results(self, expressions: list, attributes: list, df: DataFrame) -> DataFrame:
         """Named expressions over attributes, for which the first columns of df stand, then df's further columns."""
         plan, more = self.bind(df, attributes)
-        return self.frame(self.logical.Project(self.seq([*expressions, *more]), plan))
+        return self.frame(self._project(self.seq([*expressions, *more]), plan))
 
     def aggregation(self, node: Any) -> tuple[list, list, list] | None:
         """The grouping expressions, aggregate calls and result expressions of an Aggregate, as Spark's planner takes them apart."""
-        found = self.jvm.org.apache.spark.sql.catalyst.planning.PhysicalAggregation.unapply(node)
+        found = self._taken_apart.unapply(node)
         if not found.isDefined():
             return None
         parts = found.get()
@@ -120,7 +122,7 @@ class Catalyst:
         """An Aggregate over df, which has the columns of its child, with the grouping expressions g0, g1, ... before its own columns."""
         keys = [self.alias(g, f"g{i}") for i, g in enumerate(self.items(node.groupingExpressions()))]
         bound = self.bind(df, self.output(self.children(node)[0]))[0]
-        made = self.logical.Aggregate(node.groupingExpressions(), self.seq([*keys, *self.items(node.aggregateExpressions())]), bound, self.jvm.scala.Option.empty())
+        made = self._aggregate(node.groupingExpressions(), self.seq([*keys, *self.items(node.aggregateExpressions())]), bound, self._none)
         return self.frame(made)
 
     def position(self, expression: Any, attributes: list) -> int | None:
@@ -133,7 +135,7 @@ class Catalyst:
 
     def equi_keys(self, join: Any) -> tuple[list, list] | None:
         """The left and right keys of a join's equalities, None without any."""
-        found = self.jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys.unapply(join)
+        found = self._equi_join.unapply(join)
         if not found.isDefined():
             return None
         keys = found.get()
