@@ -2,19 +2,47 @@
 
 A block is all documents with one hash of their id. Steps that have to look something up for every word or shingle
 (a dictionary entry, a document frequency) ask for each distinct key of a block once instead of once per occurrence.
+
+The number of blocks follows from the bytes of the input: a block is what one task holds. Blocks grow with the root of the
+input, so that the message of a block to a slice of the keys, of which there are blocks times slices, stays at
+MESSAGE_BYTES or more: 100 TB are 300,000 blocks of 300 MB.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rillset.llm.common import tidied, tidied_group
+from rillset.llm.common import n_parts, tidied, tidied_group
 
 FLUSH_BYTES = 24 << 20
+BLOCK_BYTES = 64 << 20
+MESSAGE_BYTES = 1 << 10
+#: Bytes of text that a byte of a compressed file is taken to hold.
+UNPACKED = 3
+#: Spark's size of what it doesn't know the size of is larger.
+UNKNOWN = 1 << 60
+#: Up to so many blocks each gets a shuffle partition of its own.
+MOST_EVEN = 10_000
+
+
+def block_count(docs: DataFrame) -> int:
+    """How many blocks (doc_id, text) rows make, by the bytes of the files below them, or of the texts where these aren't known.
+
+    There is one for each shuffle partition at least.
+    """
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    if max(sizes) < UNKNOWN:
+        total = UNPACKED * sum(sizes)
+    else:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(n_parts(docs.sparkSession), -(-total // max(BLOCK_BYTES, math.isqrt(total * MESSAGE_BYTES))))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -38,7 +66,12 @@ def unpack(blobs: Iterable[bytes]) -> pa.Table:
 
 
 def even_labels(n: int) -> list[int]:
-    """n integers that Spark's hash partitioning deals to n partitions, one each (Murmur3 of an int, seed 42, modulo n)."""
+    """n integers that Spark's hash partitioning deals to n partitions, one each (Murmur3 of an int, seed 42, modulo n).
+
+    Beyond MOST_EVEN chance deals them evenly enough.
+    """
+    if n > MOST_EVEN:
+        return list(range(n))
 
     def murmur(x: int) -> int:
         mask = 0xFFFFFFFF

@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from rillset.llm.blocks import ask_and_answer, mix64, to_blocks
-from rillset.llm.common import n_parts, select_text
+from rillset.llm.blocks import ask_and_answer, block_count, mix64, to_blocks
+from rillset.llm.common import select_text
 from rillset.llm.tokens import WordEncoder, split_words, spread
 
 #: Words decoded at a time.
@@ -64,10 +64,13 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """Per document: doc_id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 (and ids, decoded).
 
     A null text counts as empty: no ids, an empty decoded text. Rows that repeat an id are encoded each. An empty table
-    gives no rows. The decoded text is the tokenizer's decode with special tokens kept: pieces joined by single spaces.
+    gives no rows. The decoded text is the tokenizer's decode with special tokens kept: pieces joined by single spaces, or
+    what the file's decoder makes of them. A tokenizer that joins text across white space has no table of words: ValueError.
     """
+    if not WordEncoder.of(tokenizer).apart:
+        raise ValueError(f"{tokenizer} joins text across white space, so its texts cannot be encoded word by word")
     rows = select_text(docs, id_col, text_col)
-    n = n or n_parts(docs.sparkSession)
+    n = n or block_count(rows)
 
     def ask(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         words = split_words(table.column("text").combine_chunks())[0].dictionary_encode().dictionary
@@ -111,7 +114,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
             part, a = ends[a : z + 1], z
             got, cut = spread(ids, starts, lengths, index[part[0] : part[-1]], part - part[0])
             wide = got.astype("<u4")
-            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pieces.take(pa.array(got.astype(np.int64)))), " ")
+            if encoder.joins_pieces:
+                decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pieces.take(pa.array(got.astype(np.int64)))), " ")
+            else:
+                decoded = pa.array([encoder.tokenizer.decode(wide[x:y].tolist(), skip_special_tokens=False) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.string())
             n_tokens += np.diff(cut).tolist()
             ids_sha += [hashlib.sha256(wide[x:y]).hexdigest() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
             text_sha += [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded]

@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillset.llm.common import materialize
+from rillset.llm.common import hot_keys, look_up, materialize, release
 
-MOST_ROUNDS = 100
+
+def _hot(rows: DataFrame, key: str) -> DataFrame | None:
+    found = materialize(hot_keys(rows, key), "hot-keys")
+    if found.limit(1).count():
+        return found
+    release(found)
+    return None
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that an edge names.
+    """(node, component): the smallest node reachable, for every node that an edge names. Null ends form no edge.
 
     A round takes the least label among neighbours (summed up before the shuffle, so a node of very many neighbours is one
-    row of each task) and then the label's own label, which halves the rest of a long chain. Each round's labels are written
-    to the shared folder; the driver sees one count a round.
+    row of each task) and then the label's own label, which halves the rest of a long chain. Nodes of very many neighbours,
+    and labels of very many nodes, are few; they meet their rows by a broadcast, so no task holds a hub's edges. Each round's
+    labels are written to the shared folder, in place of the last one's; the driver sees one count a round. A round without
+    an end lowers a label, so there is an end.
     """
-    spark = edges.sparkSession
     one = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a <> b")
     both = materialize(one.union(one.select("b", "a")).distinct(), "edges")
+    hubs = _hot(both, "a")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"), F.lit(True).alias("moved")), "labels")
-    for _ in range(MOST_ROUNDS):
-        heard = both.join(labels.select(F.col("node").alias("a"), "component"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("heard"))
-        near = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        new = near.join(jump, "near").select("node", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("old")).alias("moved"))
-        labels = materialize(new, "labels")
-        if labels.where("moved").limit(1).count() == 0:
-            return labels.select("node", "component")
-    raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds on {spark.sparkContext.appName}")
+    while labels.where("moved").limit(1).count():
+        said = look_up(both, "a", labels.select("node", "component"), "node", hubs)
+        heard = said.groupBy("b").agg(F.min("component").alias("heard"))
+        near = materialize(labels.join(heard, F.col("node") == F.col("b")).select("node", F.col("component").alias("old"), F.least("component", "heard").alias("near")), "near")
+        roots = _hot(near, "near")
+        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("far"))
+        new = look_up(near, "near", jump, "at", roots).select("node", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("old")).alias("moved"))
+        last, labels = labels, materialize(new, "labels")
+        release(last, near, *([roots] if roots is not None else []))
+    release(both, *([hubs] if hubs is not None else []))
+    return labels.select("node", "component")

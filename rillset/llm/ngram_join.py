@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillset.llm.blocks import ask_and_answer, mix64, to_blocks
-from rillset.llm.common import materialize, n_parts, select_text, tidied_group
+from rillset.llm.blocks import ask_and_answer, block_count, mix64, to_blocks
+from rillset.llm.common import materialize, n_parts, release, select_text, tidied_group
 from rillset.llm.graph import connected_components
 from rillset.llm.shingles import shingle_sets
 
@@ -61,7 +61,7 @@ def shared_shingles(docs: DataFrame, percent: int = PERCENT, n: int | None = Non
 
     prefix: the rarest of them, as many as two linked documents cannot both be without; keys: min-hashes for groups.
     """
-    n = n or n_parts(docs.sparkSession)
+    n = n or block_count(docs)
     shift = np.uint64(64 - KEY_BITS)
     # slices are ranges of the key, so that a block's sorted keys are cut, not dealt
     edges = np.array([(k << KEY_BITS) // n for k in range(n + 1)], np.uint64)
@@ -235,6 +235,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
     # documents of one group have met already, in step 2
     fits = (F.col("g") != F.col("h")) & (F.col("comp") < F.col("other")) & (F.col("n") * percent <= 100 * F.col("high")) & (F.col("low") * percent <= 100 * F.col("n"))
     asked = materialize(live.join(matrix.withColumnRenamed("g", "h"), "token").where(fits).select("doc_id", F.col("h").alias("g")).distinct(), "similar-asked")
+    release(postings, live, sizes)
 
     final = near_by_links(spark, asked, homes, sets, percent, cells)
     labels = homes.select("doc_id", "comp").join(final, "comp", "left").select(F.col("doc_id").alias("rep"), F.coalesce("component", "comp").alias("component"))
@@ -287,4 +288,6 @@ def near_by_links(spark, asked: DataFrame, homes: DataFrame, sets: DataFrame, pe
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     links = left.groupBy("cell").cogroup(right.groupBy("m_cell")).applyInArrow(tidied_group(open_groups), "a long, b long")
-    return connected_components(links, "a", "b").withColumnRenamed("node", "comp")
+    out = connected_components(links, "a", "b").withColumnRenamed("node", "comp")
+    release(asked, per_group)
+    return out

@@ -1,10 +1,12 @@
 """Token files: Arrow stream files of fixed-size-list batches, so the k-th sequence is an offset away, without parsing.
 
 A shard is two stream files. `<shard>.tokens.arrow` has batches of fixed_size_list<id>[seq_len] and, beside them,
-fixed_size_list<bool>[seq_len] masks (false: padding behind the shard's last id); ids are unsigned 16-bit integers where
-the vocabulary allows it, else 32-bit. Nothing is compressed, so a memory-mapped reader gets ids and masks without a
-copy. `<shard>.docs.arrow` has doc_id, start (ids of the shard before the document) and n_tokens. Shards hold the
-documents in ascending doc_id order; the manifest has each shard's place and ids, from which global starts follow.
+fixed_size_list<uint8>[seq_len] masks (0: padding behind the shard's last id); ids are unsigned 16-bit integers where the
+vocabulary allows it, else 32-bit. Nothing is compressed and every batch but the last has BATCH_SEQUENCES sequences, so all
+of these have one size in bytes: a memory-mapped reader finds a sequence by a multiplication and gets its ids and mask as
+views of the file. `<shard>.docs.arrow` has doc_id, start (ids of the shard before the document) and n_tokens. Shards hold
+the documents in ascending doc_id order and end at a document once they are ROLL_BYTES long; the manifest has each shard's
+place and ids, from which global starts follow.
 """
 
 from __future__ import annotations
@@ -26,36 +28,81 @@ from rillset.llm.tokens import WordEncoder, chunks
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 256
-MANIFEST = "shard string, part int, n_docs long, n_tokens long, first_doc long, last_doc long"
+ROLL_BYTES = 512 << 20
+MANIFEST = "shard string, part int, roll int, n_docs long, n_tokens long, first_doc long, last_doc long"
+MANIFEST_ROWS = pa.schema([("shard", pa.string()), ("part", pa.int32()), ("roll", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64())])
+DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _schema(dtype: np.dtype, seq_len: int) -> pa.Schema:
-    kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-    return pa.schema([pa.field("ids", pa.list_(kind, seq_len)), pa.field("mask", pa.list_(pa.bool_(), seq_len))])
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a URI as Spark writes it."""
+    for spark_name, name in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "/dbfs/")):
+        if uri.startswith(spark_name):
+            uri = name + uri.removeprefix(spark_name).lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
 
 
-DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+def _schema(dtype: np.dtype, seq_len: int) -> pa.Schema:
+    kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
+    return pa.schema([pa.field("ids", pa.list_(kind, seq_len)), pa.field("mask", pa.list_(pa.uint8(), seq_len))])
 
 
 def _sequences(ids: np.ndarray, seq_len: int, schema: pa.Schema) -> pa.RecordBatch:
-    """Whole sequences from ids, the last one padded with zeros under a false mask."""
+    """Whole sequences from ids, the last one padded with zeros under a mask of zeros."""
     n = -(-len(ids) // seq_len)
     flat = np.zeros(n * seq_len, ids.dtype)
     flat[: len(ids)] = ids
-    lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), seq_len)
-    mask = pa.FixedSizeListArray.from_arrays(pa.array(np.arange(n * seq_len) < len(ids)), seq_len)
-    return pa.RecordBatch.from_arrays([lists, mask], schema=schema)
+    mask = (np.arange(n * seq_len) < len(ids)).astype(np.uint8)
+    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), seq_len) for x in (flat, mask)], schema=schema)
+
+
+class _Shard:
+    """The two files of a shard as they are written."""
+
+    def __init__(self, folder: str, part: int, roll: int, schema: pa.Schema, seq_len: int):
+        fs, base = filesystem(folder)
+        fs.create_dir(base, recursive=True)
+        self.name, self.part, self.roll, self.schema, self.seq_len = f"part-{part:06d}-{roll:04d}-{uuid.uuid4().hex[:12]}", part, roll, schema, seq_len
+        self.files = [fs.open_output_stream(f"{base}/{self.name}.{kind}.arrow") for kind in ("tokens", "docs")]
+        self.tokens, self.index = (pa.ipc.new_stream(f, s) for f, s in zip(self.files, (schema, DOCS)))
+        self.rest: list[np.ndarray] = []
+        self.held = self.n_tokens = self.n_docs = 0
+        self.first = self.last = None
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.index.write(pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), pa.array(ends[:-1] + self.n_tokens), pa.array(np.diff(ends))], schema=DOCS))
+        known = [x for x in doc_ids.to_pylist() if x is not None]
+        if known:
+            self.first, self.last = self.first if self.first is not None else known[0], known[-1]
+        self.n_tokens, self.n_docs, self.held = self.n_tokens + len(ids), self.n_docs + len(doc_ids), self.held + len(ids)
+        self.rest.append(ids)
+        whole = BATCH_SEQUENCES * self.seq_len
+        if self.held >= whole:
+            flat = np.concatenate(self.rest)
+            for k in range(0, len(flat) - whole + 1, whole):
+                self.tokens.write(_sequences(flat[k : k + whole], self.seq_len, self.schema))
+            self.rest = [flat[len(flat) // whole * whole :].copy()]
+            self.held = len(self.rest[0])
+
+    def close(self) -> pa.RecordBatch:
+        if self.held:
+            self.tokens.write(_sequences(np.concatenate(self.rest), self.seq_len, self.schema))
+        for x in (self.tokens, self.index, *self.files):
+            x.close()
+        row = [self.name, self.part, self.roll, self.n_docs, self.n_tokens, self.first, self.last]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, MANIFEST_ROWS)], schema=MANIFEST_ROWS)
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, seq_len: int = SEQ_LEN, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, seq_len: int = SEQ_LEN, shards: int | None = None, roll_bytes: int = ROLL_BYTES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Write all documents below `folder` (a URI that executors share) and return the manifest, itself kept there as Parquet.
 
-    Rows are dealt by ranges of doc_id and sorted within a shard; a range is cut at a doc_id, so rows that repeat an id
-    share a shard, in any order among themselves. A null or empty text is its end id alone. A null doc_id sorts first.
-    An empty table gives an empty manifest. A task writes to names of its own attempt, which the manifest then lists, so
-    a task that runs twice after a lost executor leaves at worst files that no manifest row names.
+    Rows are dealt by ranges of doc_id and sorted within a range; a range is cut at a doc_id, so rows that repeat an id
+    share a range, in any order among themselves. A task starts a new shard at the first document behind roll_bytes of ids
+    and masks. A null or empty text is its end id alone. A null doc_id sorts first. An empty table gives an empty manifest.
+    A task writes to names of its own attempt, which the manifest then lists, so a task that runs twice after a lost
+    executor leaves at worst files that no manifest row names.
     """
     spark = docs.sparkSession
     n = shards or n_parts(spark)
@@ -64,29 +111,24 @@ def write_token_files(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
         schema, part = _schema(encoder.dtype, seq_len), TaskContext.get().partitionId()
-        if (first := next((c for c in chunks(batches) if c.num_rows), None)) is None:
-            return
-        fs, base = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        shard = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
-        rest, at, n_docs, low, high = np.zeros(0, encoder.dtype), 0, 0, None, None
-        with fs.open_output_stream(f"{base}/{shard}.tokens.arrow") as f1, fs.open_output_stream(f"{base}/{shard}.docs.arrow") as f2:
-            with pa.ipc.new_stream(f1, schema) as tokens, pa.ipc.new_stream(f2, DOCS) as index:
-                for b in (x for source in ([first], chunks(batches)) for x in source):
-                    ids, ends = encoder.encode(b.column(1))
-                    ids = np.insert(ids, ends[1:], end_id).astype(encoder.dtype, copy=False)
-                    ends = ends + np.arange(len(ends))
-                    index.write(pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ends[:-1] + at), pa.array(np.diff(ends))], schema=DOCS))
-                    known = [x for x in b.column(0).to_pylist() if x is not None]
-                    low, high = (low if low is not None else known[0], known[-1]) if known else (low, high)
-                    at, n_docs, rest = at + int(ends[-1]), n_docs + b.num_rows, np.concatenate([rest, ids])
-                    while len(rest) >= BATCH_SEQUENCES * seq_len:
-                        tokens.write(_sequences(rest[: BATCH_SEQUENCES * seq_len], seq_len, schema))
-                        rest = rest[BATCH_SEQUENCES * seq_len :]
-                if len(rest):
-                    tokens.write(_sequences(rest, seq_len, schema))
-        row = {"shard": [shard], "part": [part], "n_docs": [n_docs], "n_tokens": [at], "first_doc": [low], "last_doc": [high]}
-        yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64())]))
+        most, shard, roll = roll_bytes // (encoder.dtype.itemsize + 1), None, 0
+        for b in chunks(batches):
+            if not b.num_rows:
+                continue
+            ids, ends = encoder.encode(b.column(1))
+            ids = np.insert(ids, ends[1:], end_id).astype(encoder.dtype, copy=False)
+            ends, a = ends + np.arange(len(ends)), 0
+            while a < b.num_rows:
+                shard = shard or _Shard(folder, part, roll, schema, seq_len)
+                z = max(a + 1, int(np.searchsorted(ends, ends[a] + most - shard.n_tokens, side="left")))
+                z = min(z, b.num_rows)
+                shard.add(b.column(0).slice(a, z - a), ids[ends[a] : ends[z]], ends[a : z + 1] - ends[a])
+                a = z
+                if shard.n_tokens >= most:
+                    yield shard.close()
+                    shard, roll = None, roll + 1
+        if shard:
+            yield shard.close()
 
     rows = select_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     rows.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
@@ -96,49 +138,84 @@ def write_token_files(
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files that the manifest of `folder` names.
 
-    start counts the ids of all documents in shards and places before it. The files are read by Spark.
+    start counts the ids of all documents in shards and places before it. A task opens a shard's files by their path and
+    holds one batch at a time, beside the shard's index.
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    # one row per shard: the driver adds up as many numbers as there are files
-    shards = sorted((r.part, r.shard, r.n_tokens) for r in manifest.select("part", "shard", "n_tokens").toLocalIterator())
-    base, at = {}, 0
-    for _, shard, n in shards:
-        base[shard], at = at, at + n
-    before = spark.createDataFrame([(k, v) for k, v in base.items()], "shard string, base long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(folder).select("path", "content")
-    named = files.select(F.regexp_extract("path", r"(part-[0-9]+-[0-9a-f]+)\.(tokens|docs)\.arrow$", 1).alias("shard"), F.regexp_extract("path", r"\.(tokens|docs)\.arrow$", 1).alias("kind"), "content")
-    whole = named.groupBy("shard").pivot("kind", ["tokens", "docs"]).agg(F.first("content")).join(F.broadcast(before), "shard")
+    # one row for each file of ROLL_BYTES
+    shards = sorted((r.part, r.roll, r.shard, r.n_tokens) for r in manifest.select("part", "roll", "shard", "n_tokens").toLocalIterator())
+    rows, at = [], 0
+    for *_, shard, n in shards:
+        rows.append((shard, at))
+        at += n
+    names = spark.createDataFrame(rows, "shard string, base long")
 
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(folder)
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, mask = open_tokens(pa.py_buffer(batch.column("tokens")[i].as_buffer()))
-                index = pa.ipc.open_stream(pa.py_buffer(batch.column("docs")[i].as_buffer())).read_all()
-                base, total = batch.column("base")[i].as_py(), int(np.count_nonzero(mask))
+            for shard, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with fs.open_input_stream(f"{base}/{shard}.docs.arrow") as f:
+                    index = pa.ipc.open_stream(f).read_all().combine_chunks()
                 starts, counts = index.column("start").to_numpy(), index.column("n_tokens").to_numpy()
-                if total != int(counts.sum()):
-                    raise ValueError(f"masks cover {total} ids, the documents have {int(counts.sum())}")
-                crc = [zlib.crc32(ids[a : a + n].astype("<u4")) for a, n in zip(starts.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([index.column("doc_id").combine_chunks(), pa.array(starts + base), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return whole.select("tokens", "docs", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def open_tokens(source: pa.Buffer | os.PathLike | str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a tokens file in a row, and their mask; a path is mapped into memory."""
-    table = pa.ipc.open_stream(source if isinstance(source, pa.Buffer) else pa.memory_map(str(source))).read_all()
-    ids = [c.flatten().to_numpy(zero_copy_only=True) for c in table.column("ids").chunks]
-    mask = [c.flatten().to_numpy(zero_copy_only=False) for c in table.column("mask").chunks]
-    return (np.concatenate(ids), np.concatenate(mask)) if ids else (np.zeros(0, "<u2"), np.zeros(0, bool))
-
-
-def sequence(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k-th sequence of a tokens file and its mask, as views of the mapped file (the mask's bits are unpacked)."""
-    reader = pa.ipc.open_stream(pa.memory_map(path))
-    for batch in reader:
-        if k < batch.num_rows:
-            size = batch.schema.field("ids").type.list_size
-            return tuple(batch.column(c).flatten()[k * size : (k + 1) * size].to_numpy(zero_copy_only=False) for c in ("ids", "mask"))
-        k -= batch.num_rows
-    raise IndexError(k)
+                with fs.open_input_stream(f"{base}/{shard}.tokens.arrow") as f:
+                    crc = _checksums(pa.ipc.open_stream(f), starts, counts)
+                doc_ids = index.column("doc_id").combine_chunks()
+                for k in range(0, len(starts), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(k, 1 << 16), pa.array(starts[part] + before), pa.array(counts[part]), pa.array(crc[part], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    spread = names.repartition(max(1, min(len(rows), n_parts(spark))), "shard") if rows else names
+    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _checksums(batches: Iterable[pa.RecordBatch], starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The crc32 of each document's ids, which follow each other in the batches."""
+    crc, ends, at, d = np.zeros(len(starts), np.int64), starts + counts, 0, 0
+    for batch in batches:
+        mask = batch.column("mask").flatten().to_numpy(zero_copy_only=True)
+        ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)[: int(np.count_nonzero(mask))].astype("<u4")
+        z = at + len(ids)
+        while d < len(starts) and starts[d] < z:
+            crc[d] = zlib.crc32(ids[max(0, starts[d] - at) : ends[d] - at], int(crc[d]))
+            if ends[d] > z:
+                break
+            d += 1
+        at = z
+    if d < len(starts) or at != int(counts.sum()):
+        raise ValueError(f"masks cover {at} ids, the documents have {int(counts.sum())}")
+    return crc
+
+
+class TokenFile:
+    """Random access to the sequences of a tokens file, mapped into memory: ids and masks are views of it."""
+
+    def __init__(self, source: os.PathLike | str | pa.Buffer):
+        self.file = pa.BufferReader(source) if isinstance(source, pa.Buffer) else pa.memory_map(str(source))
+        self.schema = pa.ipc.read_schema(self.file)
+        self.head = self.file.tell()
+        self.batch_bytes = 0
+        if first := self._read(0):
+            self.batch_bytes, self.per_batch = self.file.tell() - self.head, first.num_rows
+
+    def _read(self, k: int) -> pa.RecordBatch | None:
+        at = self.head + k * self.batch_bytes
+        if at + 8 >= self.file.size():
+            return None  # the end of the stream
+        self.file.seek(at)
+        return pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
+
+    def __len__(self) -> int:
+        if not self.batch_bytes:
+            return 0
+        whole, rest = divmod(self.file.size() - 8 - self.head, self.batch_bytes)
+        return whole * self.per_batch + (self._read(whole).num_rows if rest else 0)
+
+    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and the mask of the k-th sequence."""
+        batch = self._read(k // self.per_batch) if self.batch_bytes and k >= 0 else None
+        place = k % self.per_batch if batch is not None else 0
+        if batch is None or place >= batch.num_rows:
+            raise IndexError(k)
+        size = self.schema.field("ids").type.list_size
+        return tuple(batch.column(c).flatten()[place * size : (place + 1) * size].to_numpy(zero_copy_only=True) for c in ("ids", "mask"))

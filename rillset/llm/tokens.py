@@ -1,8 +1,10 @@
-"""Encoding whole texts with a tokenizer file whose pre-tokenizer never joins text across white space.
+"""Encoding whole texts with a tokenizer file, by distinct word where the file allows it.
 
-Such a tokenizer (white space folded and dropped before BPE, no added token holds white space) gives a text the ids of
-its white-space separated words, one after the other. So a batch's distinct words are encoded, each once, and the ids
-come back by position. Splitting at ASCII white space alone is enough: other white space stays inside a "word".
+A tokenizer that never joins text across white space (white space is dropped before the model, the normalizer looks at no
+neighbours, no added token holds white space; see words_apart) gives a text the ids of its white-space separated words, one
+after the other. So a batch's distinct words are encoded, each once, and the ids come back by position. Splitting at ASCII
+white space alone is enough: other white space stays inside a "word". Texts of any other tokenizer go through the
+tokenizers library whole.
 
 Words of plain characters (ASCII but for the apostrophe, and the letters of Latin-1) take a fast path: they are cut into
 runs of letters, single digits and runs of other signs, and the merges of the tokenizer's file are applied to all of a
@@ -64,6 +66,22 @@ def _plain_parts(spec: dict) -> bool:
     )
 
 
+#: Normalizers that change each word alone, and pre-tokenizers that drop white space before the model.
+LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer"}
+DROPPING = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+
+
+def words_apart(spec: dict) -> bool:
+    """Whether a text's ids are those of its white-space separated words; False also where that is not known of a file's parts."""
+    if _plain_parts(spec):
+        return True
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = norm.get("normalizers", []) if norm.get("type") == "Sequence" else [norm] if norm else []
+    first = (pre.get("pretokenizers") or [{}])[0] if pre.get("type") == "Sequence" else pre
+    apart = not any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"])
+    return apart and all(x.get("type") in LOCAL for x in steps) and first.get("type") in DROPPING
+
+
 class Merger:
     """The merges of a BPE vocabulary of at most 2**16 pieces, applied to many runs of bytes at once."""
 
@@ -173,6 +191,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.merger = Merger(spec["model"]) if _plain_parts(spec) else None
+        self.apart, self.joins_pieces = words_apart(spec), spec.get("decoder") is None
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -253,6 +272,10 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the offsets of each text in it."""
+        if not self.apart:
+            whole = [e.ids for k in range(0, len(texts), 256) for e in self.tokenizer.encode_batch_fast(texts.slice(k, 256).to_pylist(), add_special_tokens=False)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in whole], dtype=np.int64)]).astype(np.int64)
+            return np.concatenate([*(np.array(x, self.dtype) for x in whole), np.zeros(0, self.dtype)]), ends
         words, ends = split_words(texts)
         coded = words.dictionary_encode()
         ids, counts = self.encode_words(coded.dictionary)

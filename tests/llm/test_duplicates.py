@@ -139,3 +139,17 @@ def test_recall_of_vectors_at_the_threshold_holds_with_more_hashes(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     out = embedding_dedup.near_duplicate_vectors(table, hashes=4).collect()
     assert sum(r.n_links for r in out) == 2 * n and all(r.n_links <= 1 for r in out)
+
+
+def test_components_of_hubs_and_long_chains(spark):
+    """A hub of most edges, chains, null ends: the hub's edges meet by a broadcast, and the result is the same."""
+    rng = random.Random(9)
+    links = [(7000, i) for i in range(2000)] + [(i, i + 1) for i in range(3000, 3300)] + [(rng.randrange(4000, 6000), rng.randrange(4000, 6000)) for _ in range(700)]
+    rng.shuffle(links)
+    df = spark.createDataFrame([*links, (None, 3), (4, 4), (9, None)], "src long, dst long").repartition(3)
+    got = {r.node: r.component for r in graph.connected_components(df).collect()}
+    links = [(a, b) for a, b in links if a != b]
+    nodes = {x for link in links for x in link}
+    assert got == components(nodes, links)
+    hot = {r.src for r in graph._hot(df.where("src is not null"), "src").collect()}
+    assert 7000 in hot and len(hot) < 1000
