@@ -84,24 +84,31 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sql() -> str:
-    from rillset.llm.licenses import TEMPLATES, THRESHOLD, bigrams_of
+    from rillset.llm.licenses import TEMPLATES, THRESHOLD, anchors_of, bigrams_of, words_of
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, bigrams_of(v)))}])" for k, v in TEMPLATES.items())
+    rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, bigrams_of(v)))}], {len(words_of(v)) - 1})" for k, v in TEMPLATES.items())
+    places = ", ".join(f"({quoted(k)}, {quoted(pair)}, {at})" for k, v in TEMPLATES.items() for pair, at in anchors_of(v))
     return f"""
-WITH t(license, want) AS (VALUES {rows}),
-cut AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines,
+WITH t(license, want, size) AS (VALUES {rows}), anchor(license, pair, place) AS (VALUES {places}),
+cut AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines,
                string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n') AS paragraphs FROM documents),
-seg AS (SELECT doc_id, unnest(list_concat(lines,
+seg AS (SELECT r, unnest(list_concat(lines,
             CASE WHEN len(paragraphs) > 1 THEN list_filter(paragraphs, lambda p: contains(p, chr(10))) ELSE [] END,
             CASE WHEN len(lines) > 1 THEN [text] ELSE [] END)) AS s FROM cut),
-w AS (SELECT doc_id, list_filter(string_split_regex(lower(s), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM seg),
-b AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS have FROM w WHERE len(w) > 1),
-d AS (SELECT doc_id, license, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) AS dice FROM b, t),
-m AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS k,
-             count(*) OVER (PARTITION BY doc_id) AS n FROM d WHERE dice >= {THRESHOLD})
+w AS (SELECT r, list_filter(string_split_regex(lower(s), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM seg),
+b AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS have FROM w WHERE len(w) > 1),
+every AS (SELECT r, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM cut),
+pairs AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p FROM every WHERE len(w) > 1),
+standing AS (SELECT r, p, license, place, unnest(list_filter(range(1, len(p) + 1), lambda i: p[i] = pair)) AS i FROM pairs, anchor WHERE list_contains(p, pair)),
+starts AS (SELECT DISTINCT r, license, i - place AS s FROM standing),
+inside AS (SELECT s.r, s.license, list_distinct(p.p[greatest(s.s, 1) : s.s + t.size - 1]) AS have, want FROM starts s JOIN pairs p ON s.r = p.r JOIN t ON s.license = t.license),
+d AS (SELECT r, license, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) AS dice FROM b, t
+      UNION ALL SELECT r, license, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) FROM inside),
+m AS (SELECT r, license, dice, row_number() OVER (PARTITION BY r ORDER BY dice DESC, license) AS k,
+             count(*) OVER (PARTITION BY r) AS n FROM d WHERE dice >= {THRESHOLD})
 SELECT c.doc_id, m.license, coalesce(m.dice, 0.0)::DOUBLE AS dice, coalesce(m.n, 0) AS n_matches
-FROM documents c LEFT JOIN m ON m.doc_id = c.doc_id AND m.k = 1
+FROM cut c LEFT JOIN m ON m.r = c.r AND m.k = 1
 """
 
 

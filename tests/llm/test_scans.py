@@ -1,5 +1,6 @@
 """Licences and personal data."""
 
+import random
 import re
 import time
 
@@ -100,10 +101,35 @@ def brute_license(text):
     parts = re.split(r"\n[ \t\r]*\n", text or "")
     segments = lines + ([p for p in parts if "\n" in p] if len(parts) > 1 else []) + ([text] if len(lines) > 1 else [])
     hits = [(dice(s, t), k) for s in segments for k, t in licenses.TEMPLATES.items() if dice(s, t) >= licenses.THRESHOLD]
+    words = licenses.words_of(text or "")
+    for k, t in licenses.TEMPLATES.items():
+        size, starts = len(licenses.words_of(t)), set()
+        for pair, at in licenses.anchors_of(t):
+            starts |= {i - at for i in range(len(words) - 1) if f"{words[i]} {words[i + 1]}" == pair}
+        hits += [(d, k) for s in starts if (d := dice(" ".join(words[max(0, s) : s + size]), t)) >= licenses.THRESHOLD]
     best = min(hits, key=lambda x: (-x[0], x[1])) if hits else (0.0, None)
     return best[1], best[0], len(hits)
 
 
+def test_notices_inside_longer_texts(spark):
+    """Whole notices as sections, in comments, wrapped in prose, inside a line, edited; each template is found where it stands."""
+    rng = random.Random(3)
+    own = lambda n: " ".join(rng.choice(["foo", "bar", "tool", "reads", "files", "quickly"]) for _ in range(n))
+    wrapped = lambda t, mark: "\n".join(mark + " ".join(t.split(" ")[i : i + 9]) for i in range(0, len(t.split(" ")), 9))
+    names, texts = list(licenses.TEMPLATES), []
+    for name in names:
+        t = licenses.TEMPLATES[name]
+        texts += [f"{own(60)} {t} {own(70)}", f"{own(20)}\n{wrapped(t, ' * ')}\n{own(9)}\n"]
+    texts += ["Foo is a tool. Released under\nthe MIT License. Use it.", own(500), "licensed under nothing, all rights to bar", licenses.TEMPLATES["MIT-text"].replace("software", "program", 1) * 2]
+    out = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        license, best, n = brute_license(t)
+        assert (out[i].license, out[i].n_matches) == (license, n) and out[i].dice == pytest.approx(best)
+        if i < 2 * len(names):
+            assert out[i].license is not None and out[i].dice > 0.95
+    assert out[2 * len(names)].license == "MIT" and out[2 * len(names) + 1].license is None and out[2 * len(names) + 3].license == "MIT-text"
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT-text"]
     half = mit[: len(mit) // 2] + "\n" + mit[len(mit) // 2 :]
