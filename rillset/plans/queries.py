@@ -106,6 +106,14 @@ SPECS: dict[str, Spec] = {
     "agg_cube": Spec("SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)"),
     "agg_grouping_sets": Spec("SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())"),
     "agg_stddev_collect": Spec("SELECT p_brand, ROUND(STDDEV_SAMP(p_size), 6) AS s, ROUND(VAR_POP(p_size), 6) AS v FROM {part} GROUP BY p_brand"),
+    "agg_decimal_wide": Spec(
+        "SELECT l_suppkey, CAST(SUM(CAST(CONCAT(CAST(l_orderkey AS STRING), '.0000000003') AS DECIMAL(28,10))) AS STRING) AS d, CAST(SUM(CAST(CONCAT(CAST(l_linenumber AS STRING), '.000000000000000007') AS DECIMAL(38,18))) AS STRING) AS w FROM {lineitem} GROUP BY l_suppkey",
+        retract=("lineitem",),
+    ),
+    # what is taken back is huge, so that sums which only add and subtract would lose the rest
+    "agg_float_retract": Spec("SELECT user_id % 20 AS k, SUM(CASE WHEN event_id % 7 = 0 THEN 1e20 ELSE CAST(event_id % 5 AS DOUBLE) END) AS s, AVG(CASE WHEN event_id % 7 = 0 THEN -1e300 ELSE CAST(event_id % 2 AS DOUBLE) END) AS a FROM {events} GROUP BY user_id % 20", retract=("events",)),
+    "agg_avg_bigint_retract": Spec("SELECT user_id % 20 AS k, AVG(CASE WHEN event_id % 7 = 0 THEN 4611686018427387904 ELSE event_id END) AS a FROM {events} GROUP BY user_id % 20", retract=("events",)),
+    "agg_min_max_retract": Spec("SELECT user_id, MIN(value) AS lo, MAX(value) AS hi, MAX(event_type) AS last_type FROM {events} GROUP BY user_id", retract=("events",)),
     "select_distinct": Spec("SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}", retract=("lineitem",)),
     # joins
     "join_inner": Spec("SELECT o.o_orderkey, c.c_name, o.o_totalprice FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey"),
@@ -123,7 +131,8 @@ SPECS: dict[str, Spec] = {
     "join_self": Spec("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     "join_then_agg": Spec("SELECT n.n_name, COUNT(*) AS orders_n, CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", retract=("orders",)),
     "join_update": Spec("SELECT c.c_mktsegment, COUNT(*) AS n FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey GROUP BY c.c_mktsegment", retract=("customer",)),
-    "join_null_keys": Spec("SELECT a.event_id AS x, b.event_id AS y FROM (SELECT event_id, NULLIF(user_id % 50, 0) AS k FROM {events} WHERE event_id % 40 = 1) a JOIN (SELECT event_id, NULLIF(user_id % 50, 0) AS k FROM {events} WHERE event_id % 40 = 2) b ON a.k = b.k"),
+    "join_null_keys": Spec("SELECT e.event_id, g.n FROM {events} e JOIN (SELECT NULLIF(user_id % 50, 0) AS k, COUNT(*) AS n FROM {events} GROUP BY NULLIF(user_id % 50, 0)) g ON NULLIF(e.user_id % 50, 0) = g.k", retract=("events",)),
+    "join_of_joins": Spec("SELECT l.l_orderkey, l.l_linenumber, c.c_name, n.n_name FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey WHERE l.l_quantity > 40", retract=("customer",)),
     # windows
     "win_row_number": Spec("SELECT o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r FROM {orders}", retract=("orders",)),
     "win_rank_dense": Spec("SELECT p_partkey, CAST(RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r, CAST(DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS d FROM {part}"),
@@ -146,7 +155,21 @@ SPECS: dict[str, Spec] = {
     "win_top1_filter": Spec("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM {orders}) WHERE r = 1", retract=("orders",)),
     "win_then_agg": Spec("SELECT n, COUNT(*) AS customers FROM (SELECT o_custkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}) GROUP BY n"),
     "join_then_window": Spec("SELECT c.c_custkey, CAST(ROW_NUMBER() OVER (PARTITION BY n.n_name ORDER BY c.c_acctbal DESC, c.c_custkey) AS BIGINT) AS r FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey", retract=("customer",)),
+    "win_sum_over": Spec("SELECT o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DOUBLE) AS running, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey) AS DOUBLE) AS total FROM {orders}", retract=("orders",)),
+    "win_sum_rows": Spec("SELECT event_id, CAST(SUM(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM {events}", retract=("events",)),
+    "win_sum_rolling": Spec(
+        f"SELECT event_id, CAST(SUM(event_id) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS t FROM (SELECT event_id, user_id, {SECONDS} AS s FROM {{events}})",
+        f"SELECT event_id, CAST(SUM(event_id) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS t FROM (SELECT event_id, user_id, {DUCK_SECONDS} AS s FROM {{events}})",
+        retract=("events",),
+    ),
+    "win_last_nth_cume": Spec("SELECT event_id, LAST_VALUE(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_v, NTH_VALUE(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_v, ROUND(CUME_DIST() OVER (PARTITION BY user_id ORDER BY event_type), 9) AS c FROM {events}", retract=("events",)),
+    "win_nulls_order": Spec("SELECT event_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY NULLIF(event_type, 'error') NULLS FIRST, event_id) AS BIGINT) AS f, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY NULLIF(event_type, 'click') DESC NULLS LAST, event_id) AS BIGINT) AS l FROM {events}", retract=("events",)),
+    "win_null_partition": Spec("SELECT event_id, COUNT(*) OVER (PARTITION BY NULLIF(user_id % 9, 0)) AS n, MAX(event_id) OVER (PARTITION BY NULLIF(event_type, 'error')) AS top FROM {events}", retract=("events",)),
+    "win_expression_keys": Spec("SELECT o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey + 1, UPPER(o_orderstatus) ORDER BY -o_totalprice, o_orderkey * 2) AS BIGINT) AS r FROM {orders}", retract=("orders",)),
     # set operations
+    "except_three": Spec("SELECT c_custkey AS k FROM {customer} EXCEPT SELECT s_suppkey FROM {supplier} EXCEPT SELECT p_partkey FROM {part}", retract=("supplier", "part")),
+    "intersect_three": Spec("SELECT c_custkey AS k FROM {customer} INTERSECT SELECT p_partkey FROM {part} INTERSECT SELECT s_suppkey FROM {supplier}", retract=("part",)),
+    "union_three": Spec("SELECT c_nationkey AS k FROM {customer} UNION SELECT s_suppkey FROM {supplier} UNION SELECT n_regionkey FROM {nation}", retract=("customer", "supplier")),
     "union_all": Spec("SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}", retract=("customer",)),
     "union_distinct": Spec("SELECT c_nationkey AS k FROM {customer} UNION SELECT s_suppkey FROM {supplier}", retract=("supplier",)),
     "except_": Spec("SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}", retract=("labels",)),
@@ -174,10 +197,19 @@ SPECS: dict[str, Spec] = {
     "dt_trunc": Spec("SELECT event_id, trunc_date('MONTH', CAST(ts AS DATE)) AS m, trunc_date('DAY', CAST(ts AS DATE)) AS d, trunc_date('WEEK', CAST(ts AS DATE)) AS w, date_trunc('HOUR', ts) AS h FROM {events}", "SELECT event_id, date_trunc('month', ts)::DATE AS m, ts::DATE AS d, date_trunc('week', ts)::DATE AS w, date_trunc('hour', ts) AS h FROM {events}"),
     "dt_add_sub": Spec("SELECT o_orderkey, add_date_days(CAST(o_orderdate AS DATE), 10) AS later, subtract_date_days(CAST(o_orderdate AS DATE), 5) AS earlier FROM {orders}", "SELECT o_orderkey, (o_orderdate::DATE + 10)::DATE AS later, (o_orderdate::DATE - 5)::DATE AS earlier FROM {orders}"),
     "dt_diff": Spec("SELECT event_id, whole_days(TIMESTAMP_NTZ '2024-01-01 12:00:00', ts) AS d, whole_weeks(TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) AS w, whole_hours(ts, TIMESTAMP_NTZ '2024-01-15 00:00:00') AS h FROM {events}", "SELECT event_id, date_sub('day', TIMESTAMP '2024-01-01 12:00:00', ts) AS d, date_sub('week', TIMESTAMP '2024-01-01 00:00:00', ts) AS w, date_sub('hour', ts, TIMESTAMP '2024-01-15 00:00:00') AS h FROM {events}"),
+    "dt_diff_more": Spec(
+        "SELECT event_id, whole_months(TIMESTAMP_NTZ '2023-01-10 12:00:00', ts) AS mo, whole_years(ts, TIMESTAMP_NTZ '2020-03-01 00:00:00') AS y, whole_minutes(TIMESTAMP_NTZ '2024-01-01 00:00:30', ts) AS mi, whole_seconds(ts, TIMESTAMP_NTZ '2024-01-02 00:00:00') AS s FROM {events}",
+        "SELECT event_id, date_sub('month', TIMESTAMP '2023-01-10 12:00:00', ts) AS mo, date_sub('year', ts, TIMESTAMP '2020-03-01 00:00:00') AS y, date_sub('minute', TIMESTAMP '2024-01-01 00:00:30', ts) AS mi, date_sub('second', ts, TIMESTAMP '2024-01-02 00:00:00') AS s FROM {events}",
+        retract=("events",),
+    ),
     "null_coalesce_nullif": Spec("SELECT event_id, COALESCE(NULLIF(event_type, 'error'), 'none') AS t, NULLIF(user_id % 3, 0) AS u FROM {events}"),
     "null_safe_eq": Spec("SELECT event_id FROM {events} WHERE NULLIF(event_type, 'error') IS NOT DISTINCT FROM NULLIF(event_type, 'click')"),
     "cast_matrix": Spec("SELECT o_orderkey, CAST(o_orderkey AS STRING) AS s, CAST(o_orderkey AS DOUBLE) AS f, CAST(CAST(o_orderkey AS STRING) AS INT) AS i, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 2 AS BOOLEAN) AS b FROM {orders}", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(o_orderkey AS DOUBLE) AS f, CAST(o_orderkey AS INT) AS i, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 2 AS BOOLEAN) AS b FROM {orders}"),
     "math_div_mod": Spec("SELECT p_partkey, int_div(p_partkey, p_size % 4) AS q, safe_mod(p_partkey, p_size % 4) AS r, int_div(-7, 2) AS neg FROM {part}", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_partkey // (p_size % 4) END AS q, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_partkey % (p_size % 4) END AS r, CAST(-3 AS BIGINT) AS neg FROM {part}"),
+    "order_limit_offset": Spec("SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", retract=("orders",)),
+    "order_nulls": Spec("SELECT event_id, NULLIF(event_type, 'error') AS t FROM {events} ORDER BY t NULLS LAST, event_id LIMIT 50", retract=("events",)),
+    "dt_compare": Spec("SELECT o_orderkey FROM {orders} WHERE CAST(o_orderdate AS DATE) >= DATE '1995-01-01' AND CAST(o_orderdate AS DATE) < DATE '1997-06-01' AND CAST(o_orderdate AS DATE) <> DATE '1996-02-29'", retract=("orders",)),
+    "dt_current": Spec("SELECT n_nationkey FROM {nation} WHERE CURRENT_DATE >= DATE '2020-01-01' AND CURRENT_TIMESTAMP >= TIMESTAMP '2020-01-01 00:00:00'"),
     "order_limit_topk": Spec("SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", retract=("orders",)),
     "late_out_of_order": Spec(
         f"SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY s, event_id) AS n FROM (SELECT event_id, user_id, {SECONDS} AS s FROM {{events}})",
@@ -351,6 +383,95 @@ def tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.rows("result")
 
 
+def _streamed(spark: SparkSession, sf_dir: str, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Windows over a stream of the events' files, as they stand once all files have been read."""
+    from rillset.scratch import scratch_root
+
+    root, events = scratch_root(spark), table(spark, sf_dir, "events")
+    events.repartition(3, "event_id").write.parquet(f"{root}/stream")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out-{number % 2}")
+        last[0] = f"{root}/out-{number % 2}"
+
+    last: list = [None]
+    query = windows(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(last[0])
+
+
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillset.streaming.adapter import tumbling, wall
+
+    windows = _streamed(spark, sf_dir, lambda e: tumbling(e, "ts", "1 day", "30 days", F.count(F.lit(1)).alias("n"), F.max("value").alias("top"), keys=("event_type",)))
+    return windows.select("event_type", wall(F.col("window.start")).alias("first"), "n", "top")
+
+
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillset.streaming.adapter import sliding, wall
+
+    windows = _streamed(spark, sf_dir, lambda e: sliding(e, "ts", "2 hours", "1 hour", "30 days", F.count(F.lit(1)).alias("n")))
+    return windows.select(wall(F.col("window.start")).alias("first"), wall(F.col("window.end")).alias("last"), "n")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillset.streaming.adapter import sessions, wall
+
+    windows = _streamed(spark, sf_dir, lambda e: sessions(e, "ts", "1 hour", "30 days", F.count(F.lit(1)).alias("n"), keys=("user_id",)))
+    return windows.select("user_id", wall(F.col("session_window.start")).alias("first"), wall(F.col("session_window.end")).alias("last"), "n")
+
+
+_HOURS = "SELECT h AS first, h + INTERVAL 2 HOUR AS last, COUNT(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS h FROM events) GROUP BY h"
+_GAPS = "SELECT user_id, MIN(ts) AS first, MAX(ts) + INTERVAL 1 HOUR AS last, COUNT(*) AS n FROM (SELECT user_id, ts, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s"
+
+
+def _parquet_sink(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """What a sink wrote when the engine closed."""
+    from rillset.scratch import scratch_root
+
+    path = f"{scratch_root(spark)}/sink"
+    engine = Engine(spark)
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderstatus")
+    engine.create_table("orders", orders.schema)
+    engine.sql("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'", "result")
+    (engine.write_view_to_parquet if kind == "view" else engine.write_table_to_parquet)("result" if kind == "view" else "orders", path)
+    engine.push("orders", orders.where("o_orderkey % 3 <> 0"), 1000).step()
+    engine.push("orders", orders.where("o_orderkey % 3 = 0"), 1001).step()
+    engine.push("orders", ZSet(orders.where("o_orderkey % 7 = 0")).negate(), 1002).step()
+    engine.set_event_time(1003)
+    engine.drop()
+    return spark.read.parquet(path)
+
+
+def parquet_sink_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parquet_sink(spark, sf_dir, "view")
+
+
+def parquet_sink_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parquet_sink(spark, sf_dir, "table")
+
+
+def batch_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions by name over a batch: arithmetic, comparisons, logic, text."""
+    from rillset.functions.vectorized import call, field, filter_batch, literal, project_batch
+
+    part = table(spark, sf_dir, "part")
+    some = filter_batch(part, call("or", call("gt", field("p_size"), literal(25)), call("not", call("equal", field("p_brand"), literal("Brand#11")))))
+    return project_batch(
+        some, "p_partkey", call("add", field("p_size"), literal(1)).alias("more"), call("multiply", field("p_size"), literal(2)).alias("twice"), call("negate", field("p_size")).alias("less"),
+        call("divide", field("p_retailprice"), field("p_size") % 3).alias("share"), call("lte", field("p_size"), literal(10)).alias("small"), call("upper", field("p_name")).alias("loud"),
+        call("char_length", field("p_type")).cast("bigint").alias("n"),
+    )
+
+
+def reset_and_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reset forgets tables and views; what is pushed behind it counts alone."""
+    engine = fed(spark, sf_dir, ["orders"], lambda e: e.sql("SELECT o_orderstatus, COUNT(*) AS n, MAX(o_orderkey) AS top FROM orders GROUP BY o_orderstatus", "result") and None)
+    engine.reset()
+    return engine.push("orders", table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")).step().rows("result")
+
+
 def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users: a gap of an hour ends one."""
     gap = "CASE WHEN LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts - INTERVAL 1 HOUR THEN 0 ELSE 1 END"
@@ -393,6 +514,13 @@ PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "stream_foreach_batch": (stream_foreach_batch, "SELECT event_type, COUNT(*) AS n, MAX(value) AS top FROM events GROUP BY event_type"),
     "tumbling_window": (tumbling_window, "SELECT date_trunc('day', ts) AS day, COUNT(*) AS n FROM events GROUP BY date_trunc('day', ts)"),
     "session_window": (session_window, _SESSIONS),
+    "stream_tumbling": (stream_tumbling, "SELECT event_type, date_trunc('day', ts) AS first, COUNT(*) AS n, MAX(value) AS top FROM events GROUP BY event_type, date_trunc('day', ts)"),
+    "stream_sliding": (stream_sliding, _HOURS),
+    "stream_sessions": (stream_sessions, _GAPS),
+    "parquet_sink_view": (parquet_sink_view, _BITEMPORAL.format("o_orderkey", "WHERE o_orderstatus <> 'F'")),
+    "parquet_sink_table": (parquet_sink_table, _BITEMPORAL.format("o_orderkey, o_orderstatus", "")),
+    "batch_expressions": (batch_expressions, "SELECT p_partkey, p_size + 1 AS more, p_size * 2 AS twice, -p_size AS less, p_retailprice / NULLIF(p_size % 3, 0) AS share, p_size <= 10 AS small, upper(p_name) AS loud, length(p_type) AS n FROM part WHERE p_size > 25 OR NOT p_brand = 'Brand#11'"),
+    "reset_and_again": (reset_and_again, "SELECT o_orderstatus, COUNT(*) AS n, MAX(o_orderkey) AS top FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_orderstatus"),
     "recompute_mode": (recompute_mode, "SELECT c.c_nationkey, COUNT(*) AS n FROM (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_nationkey"),
     "dataframe_view": (dataframe_view, "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_orderstatus"),
 }

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rillset.engine import Engine
@@ -40,14 +41,26 @@ def feed(engine: Engine, table: str, stream: DataFrame, checkpoint: str, after:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _timed(stream: DataFrame, time_column: str, late: str) -> DataFrame:
+    """The stream with a watermark. A time without zone is taken as one of UTC, so that windows begin where its days do."""
+    if isinstance(stream.schema[time_column].dataType, T.TimestampNTZType):
+        stream = stream.withColumn(time_column, F.from_utc_timestamp(F.col(time_column).cast("timestamp"), F.current_timezone()))
+    return stream.withWatermark(time_column, late)
+
+
+def wall(time: Column) -> Column:
+    """A window's end as the time without zone that it stands for, where the stream's times have none."""
+    return F.to_utc_timestamp(time, F.current_timezone()).cast("timestamp_ntz")
+
+
 def tumbling(stream: DataFrame, time_column: str, width: str, late: str, *aggregates, keys: tuple[str, ...] = ()) -> DataFrame:
     """Aggregates by windows of one width, with a watermark for late rows."""
-    return stream.withWatermark(time_column, late).groupBy(F.window(time_column, width), *keys).agg(*aggregates)
+    return _timed(stream, time_column, late).groupBy(F.window(time_column, width), *keys).agg(*aggregates)
 
 
 def sliding(stream: DataFrame, time_column: str, width: str, slide: str, late: str, *aggregates, keys: tuple[str, ...] = ()) -> DataFrame:
-    return stream.withWatermark(time_column, late).groupBy(F.window(time_column, width, slide), *keys).agg(*aggregates)
+    return _timed(stream, time_column, late).groupBy(F.window(time_column, width, slide), *keys).agg(*aggregates)
 
 
 def sessions(stream: DataFrame, time_column: str, gap: str, late: str, *aggregates, keys: tuple[str, ...] = ()) -> DataFrame:
-    return stream.withWatermark(time_column, late).groupBy(F.session_window(time_column, gap), *keys).agg(*aggregates)
+    return _timed(stream, time_column, late).groupBy(F.session_window(time_column, gap), *keys).agg(*aggregates)
