@@ -86,17 +86,21 @@ def _logistic(d: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> QuadraticDiscriminant | None:
-    """Fit on at most `most` labelled rows outside the held-out fold; None where a class has fewer than two of them."""
+    """Fit on at most `most` labelled documents outside the held-out fold; None where a class has fewer than two of them.
+
+    Of rows that repeat an id the one of the smallest statistics counts, so the driver never gets more rows than that.
+    """
 
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            x = statistics(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+            x = statistics(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     # the chosen labels are `most` rows of 12 bytes at most, which bounds the broadcast
     chosen = F.broadcast(fitting_rows(labels, "quality", FOLDS, HELD_OUT, most))
-    rows = select_text(docs).join(chosen, "doc_id").select("y", "text").mapInArrow(run, "y int, x array<double>").toArrow()
+    rows = select_text(docs).join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("r.y", "r.x").toArrow()
     y = rows.column("y").to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return None
@@ -109,7 +113,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, id_
     """One row per row: doc_id, held_out, score (0 to 1, higher: better), predicted (1 from CUT on).
 
     A null text counts as empty and is scored by its statistics, all zero. Without labels of both classes every score is
-    0.5. Repeated rows get equal scores; an empty table gives no rows. Language, source and ids are no input.
+    0.5. Repeated rows get equal scores, a null id is held out of nothing and fitted on never; an empty table gives no rows. Language, source and ids are no input.
     """
     model = fit_quality(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, most)
 

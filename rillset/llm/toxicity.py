@@ -416,7 +416,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, id
     """One row per row: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted (1 from CUT on).
 
     A null text counts as empty: no hit, a low score. Without a labelled toxic document all scores are 0.0. Repeated rows get
-    equal scores; an empty table gives no rows. Labels, language, source and ids are no input of a score.
+    equal scores, a null id is held out of nothing and fitted on never; an empty table gives no rows. Labels, language, source and ids are no input of a score.
     """
     model = fit_toxicity(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, most)
 

@@ -94,6 +94,23 @@ def test_quality(spark):
     assert quality.score_quality(empty(spark), labels).count() == 0
 
 
+def test_repeated_ids_and_rows(spark):
+    """Ids that repeat are fitted on once; repeated rows score alike; a null id is scored."""
+    table, labels, *_ = corpus(spark)
+    several = table.where("doc_id % 4 < 3").union(table.where("doc_id < 60")).union(table.where("doc_id = 1").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "fp", "score", "spans", "n_chars"))
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        rows = score(several, labels).collect()
+        seen = {}
+        for r in rows:
+            seen.setdefault(r.doc_id, set()).add(round(r.score, 9))
+        assert len(rows) == several.count() and None in seen and all(len(x) == 1 for x in seen.values())
+        assert not any(r.held_out for r in rows if r.doc_id is None)
+    model = quality.fit_quality(table.union(table).union(table), labels)
+    once = quality.fit_quality(table, labels)
+    texts = pa.array(["some text here", "X!! Y!!", ""])
+    assert np.allclose(model.score(quality.statistics(texts)), once.score(quality.statistics(texts)))
+
+
 def test_discriminant_is_the_gaussian_log_ratio():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(200, 3)), rng.normal(size=(300, 3)) * 2 + 1])
