@@ -1,12 +1,13 @@
 """Token files: Arrow stream files of fixed-size-list batches, so the k-th sequence is an offset away, without parsing.
 
-A shard is two stream files. `<shard>.tokens.arrow` has batches of fixed_size_list<id>[seq_len] and, beside them,
-fixed_size_list<uint8>[seq_len] masks (0: padding behind the shard's last id); ids are unsigned 16-bit integers where the
-vocabulary allows it, else 32-bit. Nothing is compressed and every batch but the last has BATCH_SEQUENCES sequences, so all
-of these have one size in bytes: a memory-mapped reader finds a sequence by a multiplication and gets its ids and mask as
-views of the file. `<shard>.docs.arrow` has doc_id, start (ids of the shard before the document) and n_tokens. Shards hold
-the documents in ascending doc_id order and end at a document once they are ROLL_BYTES long; the manifest has each shard's
-place and ids, from which global starts follow.
+A shard is two stream files. `<shard>.tokens.arrow` has batches of fixed_size_list<id>[seq_len] and, beside them, how many
+ids of each sequence are documents' (the others are padding behind the shard's last id); ids are unsigned 16-bit integers
+where the vocabulary allows it, else 32-bit. Nothing is compressed and every batch but the last has BATCH_SEQUENCES
+sequences, so all of these have one size in bytes: a memory-mapped reader finds a sequence by a multiplication and gets its
+ids as a view of the file. A mask is ones and then zeros, so it is a view too, of one array that serves all sequences: bytes
+of masks in the files would be half as many again as those of the ids. `<shard>.docs.arrow` has doc_id, start (ids of the
+shard before the document) and n_tokens. Shards hold the documents in ascending doc_id order and end at a document once they
+are ROLL_BYTES long; the manifest has each shard's place and ids, from which global starts follow.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,16 +46,16 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def _schema(dtype: np.dtype, seq_len: int) -> pa.Schema:
     kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-    return pa.schema([pa.field("ids", pa.list_(kind, seq_len)), pa.field("mask", pa.list_(pa.uint8(), seq_len))])
+    return pa.schema([pa.field("ids", pa.list_(kind, seq_len)), pa.field("length", pa.int32())])
 
 
 def _sequences(ids: np.ndarray, seq_len: int, schema: pa.Schema) -> pa.RecordBatch:
-    """Whole sequences from ids, the last one padded with zeros under a mask of zeros."""
+    """Whole sequences from ids, the last one padded with zeros."""
     n = -(-len(ids) // seq_len)
     flat = np.zeros(n * seq_len, ids.dtype)
     flat[: len(ids)] = ids
-    mask = (np.arange(n * seq_len) < len(ids)).astype(np.uint8)
-    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), seq_len) for x in (flat, mask)], schema=schema)
+    length = np.minimum(len(ids) - np.arange(n) * seq_len, seq_len).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), seq_len), pa.array(length)], schema=schema)
 
 
 class _Shard:
@@ -99,8 +101,7 @@ def write_token_files(
     """Write all documents below `folder` (a URI that executors share) and return the manifest, itself kept there as Parquet.
 
     Rows are dealt by ranges of doc_id and sorted within a range; a range is cut at a doc_id, so rows that repeat an id
-    share a range, in any order among themselves. A task starts a new shard at the first document behind roll_bytes of ids
-    and masks. A null or empty text is its end id alone. A null doc_id sorts first. An empty table gives an empty manifest.
+    share a range, in any order among themselves. A task starts a new shard at the first document behind roll_bytes of ids. A null or empty text is its end id alone. A null doc_id sorts first. An empty table gives an empty manifest.
     A task writes to names of its own attempt, which the manifest then lists, so a task that runs twice after a lost
     executor leaves at worst files that no manifest row names.
     """
@@ -111,7 +112,7 @@ def write_token_files(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer)
         schema, part = _schema(encoder.dtype, seq_len), TaskContext.get().partitionId()
-        most, shard, roll = roll_bytes // (encoder.dtype.itemsize + 1), None, 0
+        most, shard, roll = roll_bytes // encoder.dtype.itemsize, None, 0
         for b in chunks(batches):
             if not b.num_rows:
                 continue
@@ -173,8 +174,7 @@ def _checksums(batches: Iterable[pa.RecordBatch], starts: np.ndarray, counts: np
     """The crc32 of each document's ids, which follow each other in the batches."""
     crc, ends, at, d = np.zeros(len(starts), np.int64), starts + counts, 0, 0
     for batch in batches:
-        mask = batch.column("mask").flatten().to_numpy(zero_copy_only=True)
-        ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)[: int(np.count_nonzero(mask))].astype("<u4")
+        ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)[: pc.sum(batch.column("length")).as_py()].astype("<u4")
         z = at + len(ids)
         while d < len(starts) and starts[d] < z:
             crc[d] = zlib.crc32(ids[max(0, starts[d] - at) : ends[d] - at], int(crc[d]))
@@ -183,17 +183,18 @@ def _checksums(batches: Iterable[pa.RecordBatch], starts: np.ndarray, counts: np
             d += 1
         at = z
     if d < len(starts) or at != int(counts.sum()):
-        raise ValueError(f"masks cover {at} ids, the documents have {int(counts.sum())}")
+        raise ValueError(f"the sequences have {at} ids, the documents have {int(counts.sum())}")
     return crc
 
 
 class TokenFile:
-    """Random access to the sequences of a tokens file, mapped into memory: ids and masks are views of it."""
+    """Random access to the sequences of a tokens file, mapped into memory: ids and masks are views, nothing is copied."""
 
     def __init__(self, source: os.PathLike | str | pa.Buffer):
         self.file = pa.BufferReader(source) if isinstance(source, pa.Buffer) else pa.memory_map(str(source))
         self.schema = pa.ipc.read_schema(self.file)
-        self.head = self.file.tell()
+        self.head, self.seq_len = self.file.tell(), self.schema.field("ids").type.list_size
+        self.masks = np.repeat(np.array([True, False]), self.seq_len)
         self.batch_bytes = 0
         if first := self._read(0):
             self.batch_bytes, self.per_batch = self.file.tell() - self.head, first.num_rows
@@ -217,5 +218,6 @@ class TokenFile:
         place = k % self.per_batch if batch is not None else 0
         if batch is None or place >= batch.num_rows:
             raise IndexError(k)
-        size = self.schema.field("ids").type.list_size
-        return tuple(batch.column(c).flatten()[place * size : (place + 1) * size].to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+        ids = batch.column("ids").flatten()[place * self.seq_len : (place + 1) * self.seq_len].to_numpy(zero_copy_only=True)
+        pad = self.seq_len - batch.column("length")[place].as_py()
+        return ids, self.masks[pad : pad + self.seq_len]

@@ -92,6 +92,21 @@ def test_token_files(spark):
     assert token_files.read_token_files(spark, nothing).count() == 0
 
 
+def test_batches_of_several_chunks_are_taken_whole(spark, monkeypatch):
+    from rillset.llm import tokens
+
+    rng, folder = random.Random(5), scratch_path(spark, "test-tokens")
+    texts = [prose(rng, 40) for _ in range(200)]
+    whole = tokens.chunks
+    for module in (token_files, packing):
+        monkeypatch.setattr(module, "chunks", lambda batches: whole(batches, 2_000))
+    token_files.write_token_files(docs(spark, texts).coalesce(1), folder, TOKENIZER, shards=1)
+    out = {r.doc_id: r.ids_crc32 for r in token_files.read_token_files(spark, folder).collect()}
+    assert out == {i: zlib.crc32(raw([*ids_of(t), 2])) for i, t in enumerate(texts)}
+    pieces = packing.pack_documents(docs(spark, texts).coalesce(1), TOKENIZER).collect()
+    assert {r.doc_id for r in pieces} == set(range(200)) and sum(r.length for r in pieces) == sum(len(ids_of(t)) + 1 for t in texts)
+
+
 def test_token_files_roll_and_are_read_at_an_offset(spark, monkeypatch):
     """Shards end at a document once they are long enough; ids that repeat or are null keep their rows; very long texts."""
     rng, folder = random.Random(4), scratch_path(spark, "test-tokens")
