@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillset.operators.state import GroupLog, Log, Segment, Store, expand
+from rillset.operators.state import GroupLog, Log, Range, Segment, Store, expand, has_range, spanned
 from rillset.plans.catalyst import Catalyst
 from rillset.types import nullable
 from rillset.zset import WEIGHT, ZSet
@@ -145,8 +145,46 @@ class Program:
         self._check(plan)
         self.places, self.parts = {}, {}
         self._place(plan, "0")
+        self._track(plan)
         return plan
 
+    def _track(self, node: Any) -> None:
+        """Let sources note the ranges of the columns that the plan joins, groups or parts by."""
+        kind, children = self.c.kind(node), self.c.children(node)
+        keys: list[list] = []
+        if kind == "Join":
+            keys = list(self.c.equi_keys(node) or [])
+        elif kind in ("Aggregate", "Window"):
+            keys = [self._bare(node) if kind == "Aggregate" else self.c.items(node.partitionSpec())]
+        for x, own in zip(children, keys):
+            for k in own:
+                if found := self._leaf_column(x, k):
+                    found[0].tracked.add(found[1])
+        for x in children:
+            self._track(x)
+
+    def _leaf_column(self, node: Any, key: Any) -> tuple[Log, str] | None:
+        """The source and column that a key of a node is, where only Projects, Filters and Sorts lie between."""
+        while (kind := self.c.kind(node)) in ("Project", "Filter", "Sort"):
+            if kind == "Project" and (key := self._below(node, key)) is None:
+                return None
+            node = self.c.children(node)[0]
+        if kind != "LogicalRDD" or (place := self.c.position(key, self.c.output(node))) is None:
+            return None
+        log = self.sources[node.rdd().id()].log
+        field = log.data[place]
+        return (log, field.name) if has_range(field.dataType) else None
+
+    def _change_ranges(self, node: Any, keys: list, with_null: bool) -> list[Range | None]:
+        """The range of each key in the step's change of a node, None where it is not known."""
+        found = [self._leaf_column(node, k) for k in keys]
+        return [f and spanned(f[0].staged, f[1], with_null) for f in found]
+
+    def _bounds(self, node: Any, keys: list, ranges: list[Range | None]) -> dict[int, Range]:
+        """The ranges of a node's columns, by place, that those of its keys are."""
+        places = [self.c.position(k, self.c.output(node)) for k in keys]
+        return {p: r for p, r in zip(places, ranges) if p is not None and r is not None}
+
     def _place(self, node: Any, place: str) -> None:
         self.places[self._identity(node)] = place
         for i, x in enumerate(self.c.children(node)):
@@ -192,19 +230,28 @@ class Program:
         return join.joinType().toString()
 
     # -- content ------------------------------------------------------------------------------------------------------
-    def state(self, node: Any, version: str) -> DataFrame:
-        """The node's content before or after the step: its columns by place, then the weight; not compacted."""
+    def state(self, node: Any, version: str, bounds: dict[int, Range] | None = None) -> DataFrame:
+        """The node's content before or after the step: its columns by place, then the weight; not compacted.
+
+        With bounds, ranges of columns by place, rows outside of them, or null there, may be left out.
+        """
         kind, children = self.c.kind(node), self.c.children(node)
         if kind == "LogicalRDD":
-            return numbered(self._content(node.rdd().id(), version))
+            log = self.sources[node.rdd().id()].log
+            return numbered(self._content(node.rdd().id(), version, {log.data[p].name: r for p, r in (bounds or {}).items() if has_range(log.data[p].dataType)}))
         if kind == "LocalRelation":
             return weighted(self.c.frame(node), 1)
         if kind in ("Project", "Filter"):
-            return numbered(self.c.carried(node, [self.state(children[0], version)]))
+            below = bounds or {}
+            if kind == "Project" and below:
+                out = self.c.output(node)
+                made = [(e, r) for p, r in below.items() if (e := self._below(node, out[p])) is not None]
+                below = self._bounds(children[0], [e for e, _ in made], [r for _, r in made])
+            return numbered(self.c.carried(node, [self.state(children[0], version, below)]))
         if kind == "Sort":
-            return self.state(children[0], version)
+            return self.state(children[0], version, bounds)
         if kind == "Union":
-            parts = [self.state(x, version) for x in children]
+            parts = [self.state(x, version, bounds) for x in children]
             out = parts[0]
             for p in parts[1:]:
                 out = out.union(p)
@@ -213,7 +260,7 @@ class Program:
             return self._product(node, *[self.state(x, version) for x in children])
         if kind == "Aggregate":
             log = self._groups(node)
-            groups = log.current(log.at(version))
+            groups = log.current(log.at(version, self._group_bounds(node, bounds)))
             return self._group_rows(node, groups.select(*log.keys, "state", F.lit(1).cast("long").alias(WEIGHT)))
         if kind in ORDERED:
             if self._keeps(node):
@@ -221,10 +268,19 @@ class Program:
             return weighted(self._whole_order(node, version), 1)
         return weighted(self.c.over(node, [self._rows(x, version) for x in children]), 1)
 
-    def _content(self, leaf: int, version: str) -> DataFrame:
+    def _group_bounds(self, node: Any, bounds: dict[int, Range] | None) -> dict[str, Range]:
+        """The ranges of an Aggregate's columns as those of its groups' keys."""
+        if not bounds:
+            return {}
+        out, named = self.c.output(node), [g.toAttribute() for g in self._taken_apart(node)[0]] if self._taken_apart(node) else []
+        places = {p: self.c.position(out[p], named) for p in bounds}
+        return {f"g{g}": bounds[p] for p, g in places.items() if g is not None and f"g{g}" in self._groups(node).tracked}
+
+    def _content(self, leaf: int, version: str, within: dict[str, Range] | None = None) -> DataFrame:
         log = self.sources[leaf].log
-        df = log.at(version)
-        return df.union(negated(self.store.read(log.schema, self.hidden[leaf]))) if self.hidden.get(leaf) else df
+        if hidden := self.hidden.get(leaf):
+            return log.at(version).union(negated(self.store.read(log.schema, hidden)))
+        return log.at(version, within)
 
     def _whole_order(self, node: Any, version: str) -> DataFrame:
         base = self._base(node)
@@ -236,31 +292,34 @@ class Program:
             node = self.c.children(node)[0]
         return node
 
-    def _rows(self, node: Any, version: str, keys: list[Any] | None = None, touched: DataFrame | None = None) -> DataFrame:
-        """The node's content as rows; with keys, only where these expressions take touched values."""
-        df = self.state(node, version) if keys is None else self._limited(node, version, keys, touched)
+    def _rows(self, node: Any, version: str, keys: list[Any] | None = None, touched: DataFrame | None = None, ranges: list[Range | None] | None = None) -> DataFrame:
+        """The node's content as rows; with keys, only where these expressions take touched values, which lie in the ranges."""
+        df = self.state(node, version) if keys is None else self._limited(node, version, keys, touched, ranges)
         return expand(df, self._only_inserts(node))
 
-    def _limited(self, node: Any, version: str, keys: list[Any], touched: DataFrame) -> DataFrame:
-        """The node's content where the keys take touched values (columns t0, t1, ...).
+    def _limited(self, node: Any, version: str, keys: list[Any], touched: DataFrame, ranges: list[Range | None] | None = None) -> DataFrame:
+        """The node's content where the keys take touched values (columns t0, t1, ...), whose ranges may be known.
 
         Below a join the limit goes to the side that has the keys, and from there, by the keys that are left, to the other:
         no join of whole tables is made for a few of its rows.
         """
         kind, children = self.c.kind(node), self.c.children(node)
+        ranges = ranges or [None] * len(keys)
         if self._deep(node):
             if kind in ("Project", "Filter", "Sort"):
                 below = keys if kind != "Project" else [self._below(node, k) for k in keys]
                 if None not in below:
-                    df = self._limited(children[0], version, below, touched)
+                    df = self._limited(children[0], version, below, touched, ranges)
                     return df if kind == "Sort" else numbered(self.c.carried(node, [df]))
             if kind == "Join" and self.how(node) in ("Inner", "Cross") and (equal := self.c.equi_keys(node)):
                 for side in (0, 1):
                     if all(self.c.position(k, self.c.output(children[side])) is not None for k in keys):
-                        near, _ = self.store.part(self._limited(children[side], version, keys, touched), self.name)
-                        far = self._limited(children[1 - side], version, equal[1 - side], self._touched(children[side], near, equal[side]))
+                        places = [self.c.position(k, self.c.output(children[side])) for k in equal[side]]
+                        near, part = self.store.part(self._limited(children[side], version, keys, touched, ranges), self.name, [f"c{p}" for p in places if p is not None])
+                        found = [None if p is None else spanned([part], f"c{p}", False) for p in places]
+                        far = self._limited(children[1 - side], version, equal[1 - side], self._touched(children[side], near, equal[side]), found)
                         return self._product(node, *((near, far) if side == 0 else (far, near)))
-        return self._restrict(node, self.state(node, version), keys, touched)
+        return self._restrict(node, self.state(node, version, self._bounds(node, keys, ranges)), keys, touched)
 
     def _deep(self, node: Any) -> bool:
         kind = self.c.kind(node)
@@ -380,11 +439,14 @@ class Program:
     def _facing(self, join: Any, side: int, d: DataFrame) -> tuple[DataFrame, DataFrame]:
         """A change of one side of a join, and what it meets of the other: the left side's meets old rows, the right side's new."""
         children, version = self.c.children(join), "old" if side == 0 else "new"
-        other = children[1 - side]
-        if not self._deep(other) or not (keys := self.c.equi_keys(join)):
+        other, keys = children[1 - side], self.c.equi_keys(join)
+        if not keys:
             return d, self.state(other, version)
+        ranges = self._change_ranges(children[side], keys[side], False)
+        if not self._deep(other):
+            return d, self.state(other, version, self._bounds(other, keys[1 - side], ranges))
         d, _ = self.store.part(d, self.name)
-        return d, self._limited(other, version, keys[1 - side], self._touched(children[side], d, keys[side]))
+        return d, self._limited(other, version, keys[1 - side], self._touched(children[side], d, keys[side]), ranges)
 
     def _keeps(self, node: Any) -> bool:
         """Whether the rows that limits let through tell, with inserted ones, which they will let through."""
@@ -439,12 +501,14 @@ class Program:
             touched = parts[0]
             for p in parts[1:]:
                 touched = touched.union(p)
-            touched = self._keep(touched.distinct().withColumn(WEIGHT, F.lit(1).cast("long"))).drop(WEIGHT)
+            names = [f"t{i}" for i in range(len(touched.columns))]
+            touched, part = self.store.part(touched.distinct().withColumn(WEIGHT, F.lit(1).cast("long")), self.name, names)
+            touched, ranges = touched.drop(WEIGHT), [spanned([part], t, True) for t in names]
         else:
-            keys = None
+            keys, ranges = None, None
 
         def run(version: str) -> DataFrame:
-            return self.c.over(node, [self._rows(x, version, None if keys is None else ks, touched) for x, ks in zip(children, keys or children)])
+            return self.c.over(node, [self._rows(x, version, None if keys is None else ks, touched, ranges) for x, ks in zip(children, keys or children)])
 
         return ZSet(weighted(run("new"), 1).union(weighted(run("old"), -1))).compact().df
 
@@ -576,7 +640,7 @@ class Program:
         d = self.state(child, "new").limit(0) if d is None else d
         keys, bare = log.keys, self._bare(node)
         # what the change says of each group it touches, and whether the group has to be computed anew
-        sums, anew = [], False
+        sums, anew, ranges = [], False, self._change_ranges(child, bare, True)
         if measures is None:
             change = self._touched(child, d, bare).toDF(*keys) if n else self.store.spark.range(1).select()
             change = change.withColumn("lost", F.lit(True))
@@ -585,19 +649,20 @@ class Program:
         if measures is None or (any(m.fragile for m in measures) and not self.only_adds(child, False)):
             change = change.groupBy(*keys).agg(*sums) if sums else change
             # a group to compute anew weighs -1, so that the written part tells whether there is one
-            change, part = self.store.part(change.withColumn(WEIGHT, F.when(F.col("lost"), -1).otherwise(1).cast("long")), self.name)
+            change, part = self.store.part(change.withColumn(WEIGHT, F.when(F.col("lost"), -1).otherwise(1).cast("long")), self.name, keys)
+            ranges = [spanned([part], k, True) for k in keys]
             change, anew = change.drop(WEIGHT), part.least < 0
             folded = {c: measures[int(c[1:])].folded(F.col(c)) if c[0] == "s" else F.sum(c) for c in change.columns if c not in (*keys, "lost")}
             sums = [F.max("lost").alias("lost"), *[f.alias(c) for c, f in folded.items()]]
         both, last = change, []
         if log.segments:
-            old = log.old()
+            old = log.old({k: r for k, r in zip(keys, ranges) if r is not None and k in log.tracked})
             if n:
                 old = old.join(change.select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)]), same_keys("g", "t", n), "left_semi")
             both, last = old.select(*keys, "state", "seq").unionByName(change, allowMissingColumns=True), log.last()
         if anew:
             again = change.where("lost").select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)])
-            rows = self._rows(child, "new", bare, again) if n else self._rows(child, "new")
+            rows = self._rows(child, "new", bare, again, ranges) if n else self._rows(child, "new")
             both = both.unionByName(self._anew(node, rows).withColumnRenamed("state", "fresh"), allowMissingColumns=True)
             sums.append(F.first("fresh", ignorenulls=True).alias("fresh"))
         # one aggregation brings a group's last state and its change together

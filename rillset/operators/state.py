@@ -5,6 +5,10 @@ are merged by size: TIER segments of about one size become one of the next, so a
 TIER that its log grows by, and a large base is left alone by small changes. Merged segments cancel what they can; without
 retractions files are only joined, and beyond MERGE_ROWS not even that.
 
+A segment knows the ranges of its columns that views join or group by (whole numbers and dates). A step that looks for keys
+within some range opens only the segments whose range meets it, and pushes the range to their scans, so where keys come with
+time (orders, days) a change of today's leaves the files of the years before alone.
+
 Segments count only when a step commits, so a failed step leaves no trace. Files that nothing names any longer are deleted
 GRACE commits later, when results handed out by the last steps have been read.
 """
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +29,42 @@ TIER = 8
 MERGE_ROWS = 50_000_000
 FILE_ROWS = 4_000_000
 GRACE = 2
+EPOCH = date(1970, 1, 1).toordinal()
+
+
+#: Lowest and highest value, as whole numbers.
+Range = tuple[int, int]
 
 
 class Segment:
-    def __init__(self, path: str, rows: int, least: int):
-        self.path, self.rows, self.least = path, rows, least
+    """ranges: for columns by name the least and greatest value, None where all are null, and whether there are nulls."""
+
+    def __init__(self, path: str, rows: int, least: int, ranges: dict[str, list] | None = None):
+        self.path, self.rows, self.least, self.ranges = path, rows, least, ranges or {}
 
     def saved(self) -> list:
-        return [self.path, self.rows, self.least]
+        return [self.path, self.rows, self.least, self.ranges]
+
+    def meets(self, within: dict[str, Range]) -> bool:
+        known = [(self.ranges[c], span) for c, span in within.items() if c in self.ranges]
+        return all(low is not None and low <= span[1] and high >= span[0] for (low, high, _), span in known)
+
+
+def has_range(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.IntegralType, T.DateType))
+
+
+def _number(column: str, kind: T.DataType) -> Column:
+    return F.unix_date(F.col(f"`{column}`")) if isinstance(kind, T.DateType) else F.col(f"`{column}`")
+
+
+def spanned(segments: list[Segment], column: str, with_null: bool) -> Range | None:
+    """The range of a column over segments, None where it is not known, or where nulls matter and there are some."""
+    known = [s.ranges.get(column) for s in segments if s.rows]
+    if not known or any(r is None or (with_null and r[2]) for r in known):
+        return None
+    sure = [r for r in known if r[0] is not None]
+    return (min(r[0] for r in sure), max(r[1] for r in sure)) if sure else None
 
 
 class Store:
@@ -42,11 +75,15 @@ class Store:
         self.pinned: set[str] = set()
         self.parts: list[str] = []
 
-    def write(self, df: DataFrame, name: str) -> Segment:
+    def write(self, df: DataFrame, name: str, tracked: Iterable[str] = ()) -> Segment:
+        """Write a segment; the ranges of the tracked columns are seen on the way."""
         path, seen = f"{self.root}/{name}-{uuid.uuid4().hex[:12]}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n"), F.min(WEIGHT).alias("least")).write.parquet(path)
+        tracked = [(c, _number(c, df.schema[c].dataType)) for c in tracked if has_range(df.schema[c].dataType)]
+        more = [m for i, (c, x) in enumerate(tracked) for m in (F.min(x).alias(f"low{i}"), F.max(x).alias(f"high{i}"), F.max(F.col(f"`{c}`").isNull()).alias(f"null{i}"))]
+        df.observe(seen, F.count(F.lit(1)).alias("n"), F.min(WEIGHT).alias("least"), *more).write.parquet(path)
         found = seen.get
-        return Segment(path, found["n"], 1 if found["least"] is None else found["least"])
+        ranges = {c: [found[f"low{i}"], found[f"high{i}"], bool(found[f"null{i}"])] for i, (c, _) in enumerate(tracked)}
+        return Segment(path, found["n"], 1 if found["least"] is None else found["least"], ranges)
 
     def read(self, schema: T.StructType, segments: list[Segment]) -> DataFrame:
         some = [s.path for s in segments if s.rows]
@@ -54,9 +91,9 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*some)
 
-    def part(self, df: DataFrame, name: str) -> tuple[DataFrame, Segment]:
+    def part(self, df: DataFrame, name: str, tracked: Iterable[str] = ()) -> tuple[DataFrame, Segment]:
         """A small result that several branches read, written once and deleted when the step ends."""
-        segment = self.write(df, f"{name}-part")
+        segment = self.write(df, f"{name}-part", tracked)
         self.parts.append(segment.path)
         return self.read(df.schema, [segment]), segment
 
@@ -109,9 +146,10 @@ class Log:
         self.staged: list[Segment] = []
         self.dead: list[tuple[int, str]] = []
         self.commits = 0
+        self.tracked: set[str] = set()
 
     def stage(self, df: DataFrame) -> Segment:
-        segment = self.store.write(df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]), self.name)
+        segment = self.store.write(df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]), self.name, sorted(self.tracked))
         self.staged.append(segment)
         return segment
 
@@ -142,7 +180,7 @@ class Log:
         for tier in sorted(tiers):
             if len(some := tiers[tier]) >= TIER:
                 rest = [s for s in self.segments if s not in some]
-                made = self.store.write(self._merged(some, not rest), self.name)
+                made = self.store.write(self._merged(some, not rest), self.name, sorted(self.tracked))
                 self._bury(some)
                 self.segments = rest + ([made] if made.rows else [])
                 self._bury([] if made.rows else [made])
@@ -170,14 +208,25 @@ class Log:
     def only_inserts(self) -> bool:
         return all(s.least > 0 for s in [*self.segments, *self.staged])
 
-    def old(self) -> DataFrame:
-        return self.store.read(self.schema, self.segments)
+    def at(self, version: str, within: dict[str, Range] | None = None) -> DataFrame:
+        """The rows before or after the step; with ranges of columns at least those within them, without nulls there."""
+        segments = self.segments if version == "old" else [*self.segments, *self.staged]
+        if not within:
+            return self.store.read(self.schema, segments)
+        df = self.store.read(self.schema, [s for s in segments if s.meets(within)])
+        for c, span in within.items():
+            if isinstance(self.schema[c].dataType, T.DateType):
+                if not 1 <= span[0] + EPOCH <= span[1] + EPOCH <= date.max.toordinal():
+                    continue  # not a date that Python has
+                span = [date.fromordinal(x + EPOCH) for x in span]
+            df = df.where(F.col(f"`{c}`").between(*map(F.lit, span)))
+        return df
+
+    def old(self, within: dict[str, Range] | None = None) -> DataFrame:
+        return self.at("old", within)
 
     def new(self) -> DataFrame:
-        return self.store.read(self.schema, [*self.segments, *self.staged])
-
-    def at(self, version: str) -> DataFrame:
-        return self.old() if version == "old" else self.new()
+        return self.at("new")
 
     def delta(self) -> DataFrame | None:
         some = [s for s in self.staged if s.rows]
@@ -193,7 +242,7 @@ class GroupLog(Log):
 
     def __init__(self, store: Store, name: str, schema: T.StructType, keys: list[str]):
         super().__init__(store, name, schema)
-        self.keys = keys
+        self.keys, self.tracked = keys, {k for k in keys if has_range(self.schema[k].dataType)}
 
     def _merged(self, some: list[Segment], whole: bool) -> DataFrame:
         rows = self.store.read(self.schema, some).groupBy(*self.keys).agg(F.max_by(F.struct("state", "was", "seq", WEIGHT), "seq").alias("r")).select(*self.keys, "r.*")

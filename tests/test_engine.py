@@ -1,5 +1,6 @@
 """Step-level scenarios: exact signed changes of views, and the law that content equals recomputation."""
 
+import datetime as dt
 import math
 import os
 import random
@@ -388,7 +389,7 @@ def test_joins_over_joins_follow_the_change(spark):
     program = engine.views["v"].program
     engine.tables["c"].log.stage(z(spark, t, [(1, 4, 0)]).df)
     written = []
-    whole, engine.store.part = engine.store.part, lambda df, name: written.append((df, whole(df, name))) or written[-1][1]
+    whole, engine.store.part = engine.store.part, lambda df, name, tracked=(): written.append((df, whole(df, name, tracked))) or written[-1][1]
     program.delta(engine.views["v"].plan)
     engine.store.part = whole
     b_rows = [df for df, (_, segment) in written if "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()]
@@ -421,6 +422,38 @@ def test_logs_merge_by_size_and_files_go(spark, tmp_path):
     assert engine.snapshot("v").to_dict() == {(1, 1, 1): 1}
 
 
+def test_steps_open_only_files_within_the_range_of_their_keys(spark):
+    """Keys that come with time: a change of the last days leaves segments of the days before alone, in joins, groups and windows."""
+    o, l = "k BIGINT, day DATE, c STRING", "k BIGINT, q INT"
+    engine = Engine(spark)
+    engine.create_table("o", o)
+    engine.create_table("l", l)
+    texts = {
+        "j": "SELECT o.k, day, q FROM o JOIN l ON o.k = l.k WHERE q > 0",
+        "a": "SELECT k, SUM(q) AS s, MAX(q) AS m FROM l GROUP BY k",
+        "d": "SELECT day, COUNT(*) AS n FROM o GROUP BY day",
+        "w": "SELECT k, day, ROW_NUMBER() OVER (PARTITION BY day ORDER BY k) AS r FROM o",
+        "f": "SELECT o.k, l.q FROM o LEFT JOIN l ON o.k = l.k",
+        "n": "SELECT a.k, s, day FROM a JOIN o ON a.k = o.k",
+    }
+    for name, text in texts.items():
+        engine.sql(text, name)
+    day = lambda t: dt.date(2024, 1, 1 + t)
+    for t in range(4):
+        engine.push("o", z(spark, o, [(100 * t + i, day(t), "x") for i in range(5)] + ([(None, None, "x")] if t == 1 else [])))
+        engine.push("l", z(spark, l, [(100 * t + i % 5, i) for i in range(9)] + ([(None, 7)] if t == 2 else []))).step()
+    first = {s.path for log in (*(t.log for t in engine.tables.values()), *(g for v in engine.views.values() if v.program for g in v.program.logs.values())) for s in log.segments[:1]}
+    opened, whole = set(), engine.store.read
+    engine.store.read = lambda schema, segments: opened.update(s.path for s in segments) or whole(schema, segments)
+    engine.push("o", z(spark, o, [(305, day(3), "y")])).push("l", z(spark, l, [(305, 1), (303, 8)], [1, -1])).step()
+    engine.store.read = whole
+    assert opened and not opened & first
+    for rows, weights in (([(None, 7), (0, 0)], [-1, 1]), ([(203, 3), (None, 9)], [1, 1])):
+        engine.push("l", z(spark, l, rows, weights)).push("o", z(spark, o, [(None, day(2), "y"), (7, None, "z")])).step()
+        for name in texts:
+            assert engine.snapshot(name).to_dict() == ZSet(engine._recompute(engine.views[name], "old")).to_dict(), name
+
+
 def test_operators_are_measured_by_what_they_write(spark):
     engine = Engine(spark)
     engine.create_table("t", "a INT, b INT")
