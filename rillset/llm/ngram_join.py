@@ -13,7 +13,9 @@
    partner. Only pairs of different components matter, asked from the smaller one, and only where sizes allow a link.
 4. Bounds. A group's token union bounds its overlap with a query: below 80 % of the query's shingles no member can link,
    and the group stays closed. Groups that qualify are opened and their documents compared exactly.
-Every step is exact for the links it may skip: those within a component that is connected already.
+Every step is exact for the links it may skip: those within a component that is connected already. Shingles are compared by
+hashes of 64 bits: two different ones of a pair of documents agree with a probability of 2 ** -64 for each two, which can
+move a similarity by one shingle and is not looked into further.
 """
 
 from __future__ import annotations

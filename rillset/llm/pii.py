@@ -39,9 +39,9 @@ CONTEXT_CHARS = 40
 MASK_CHUNK = 2048
 CONTEXT = {
     "email": r"mail|contact|write to|kontakt|correo|courriel",
-    "ip": r"\bip\b|address|server|host|adresse|direcci",
+    "ip": r"(?:^|[^a-z0-9_])ip(?:[^a-z0-9_]|$)|address|server|host|adresse|direcci",
     "card": r"card|visa|mastercard|payment|credit|karte|tarjeta|carte",
-    "phone": r"phone|call|mobile|\btel|fax|anruf|tel[eé]f|t[eé]l[eé]ph",
+    "phone": r"phone|call|mobile|(?:^|[^a-z0-9_])tel|fax|anruf|tel[eé]f|t[eé]l[eé]ph",
     "iban": r"iban|account|bank|konto|cuenta|compte",
     "secret": r"key|secret|token|credential|login|auth",
 }
@@ -158,7 +158,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and spans (kind:start:end, comma-joined) of find_pii's rows."""
+    """doc_id, counts of the base kinds, base_sha256, spans (kind:start:end, comma-joined) and their scores of find_pii's rows."""
     label = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
 
@@ -170,6 +170,7 @@ def digest(found: DataFrame) -> DataFrame:
         *map(count, BASE_KINDS),
         F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform("spans", label)).alias("spans"),
+        F.concat_ws(",", F.transform("spans", lambda s: s["score"].cast("string"))).alias("scores"),
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -124,6 +123,9 @@ PLAIN_PATTERNS = {
 
 
 def op2_sql() -> str:
+    from rillset.llm.pii import CONTEXT, CONTEXT_BONUS, CONTEXT_CHARS, SCORES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
     letters = "upper(replace(v, ' ', '')[5:] || replace(v, ' ', '')[:4])"
     checks = {
@@ -140,8 +142,9 @@ def op2_sql() -> str:
     for k, kind in enumerate(names):
         pattern = PLAIN_PATTERNS[kind]
         parts.append(
-            f"SELECT doc_id, {k} AS k, '{kind}' AS kind, s, s + len(v) AS e, v FROM ("
-            f"SELECT doc_id, m[i] AS v, list_sum(list_transform(p[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: len(x))), 0) AS s FROM ("
+            f"SELECT doc_id, {k} AS k, '{kind}' AS kind, s, s + len(v) AS e, v, "
+            f"round({SCORES[kind]}::DOUBLE + CASE WHEN regexp_matches(lower(near), {quoted(CONTEXT[kind])}) THEN {CONTEXT_BONUS}::DOUBLE ELSE 0.0::DOUBLE END, 3) AS score FROM ("
+            f"SELECT doc_id, m[i] AS v, right(p[i], {CONTEXT_CHARS}) || ' ' || left(p[i + 1], {CONTEXT_CHARS}) AS near, list_sum(list_transform(p[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: len(x))), 0) AS s FROM ("
             f"SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM ("
             f"SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM texts WHERE regexp_matches(text, '{pattern}')))) WHERE {checks[kind]}"
         )
@@ -149,9 +152,9 @@ def op2_sql() -> str:
     label = "string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY k, s)"
     return f"""
 WITH texts AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), found AS ({union}),
-g AS (SELECT doc_id, {label} AS spans, {label} FILTER (WHERE k < 4) AS base,
+g AS (SELECT doc_id, {label} AS spans, string_agg(score::VARCHAR, ',' ORDER BY k, s) AS scores, {label} FILTER (WHERE k < 4) AS base,
              {', '.join(f"count(*) FILTER (WHERE kind = '{x}') AS n_{x}" for x in names[:4])} FROM found GROUP BY doc_id)
-SELECT d.doc_id, {', '.join(f'coalesce(n_{x}, 0)::BIGINT AS n_{x}' for x in names[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, {', '.join(f'coalesce(n_{x}, 0)::BIGINT AS n_{x}' for x in names[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 

@@ -23,7 +23,6 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rillset.llm.common import n_parts, select_text, tidied
 from rillset.llm.tokens import WordEncoder, chunks

@@ -62,7 +62,7 @@ def test_ibans_context_and_masks(spark):
     assert masked[5] == "to <IBAN>." and masked[4] == ""
     assert masked[3] == "mail me: <EMAIL> or <PHONE>" and masked[0] == "iban <IBAN> here" and masked[1] == texts[1]
     one = {r.doc_id: r for r in pii.digest(found).collect()}
-    assert one[3].n_email == 1 and one[3].n_phone == 1 and one[3].spans == "email:9:15,phone:19:33"
+    assert one[3].n_email == 1 and one[3].n_phone == 1 and one[3].spans == "email:9:15,phone:19:33" and one[3].scores == "1.0,0.6"
     assert pii.digest(pii.find_pii(empty(spark))).count() == 0
 
 
