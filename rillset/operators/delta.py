@@ -19,6 +19,8 @@ come from running the node itself.
 
 from __future__ import annotations
 
+import functools
+import operator
 import time
 from typing import Any
 
@@ -113,10 +115,7 @@ def negated(df: DataFrame) -> DataFrame:
 
 
 def same_keys(left: str, right: str, n: int) -> Column:
-    condition = F.lit(True)
-    for i in range(n):
-        condition = condition & F.col(f"{left}{i}").eqNullSafe(F.col(f"{right}{i}"))
-    return condition
+    return functools.reduce(operator.and_, [F.col(f"{left}{i}").eqNullSafe(F.col(f"{right}{i}")) for i in range(n)])
 
 
 class Program:
@@ -364,9 +363,7 @@ class Program:
             columns = [F.col(f"k{i}") for i in range(len(keys))]
         else:
             columns = [F.col(f"c{p}") for p in places]
-        condition = F.lit(True)
-        for i, col in enumerate(columns):
-            condition = condition & col.eqNullSafe(F.col(f"t{i}"))
+        condition = functools.reduce(operator.and_, [c.eqNullSafe(F.col(f"t{i}")) for i, c in enumerate(columns)])
         return named.join(touched, condition, "left_semi").select(*df.columns)
 
     def _product(self, node: Any, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -416,7 +413,7 @@ class Program:
             d = self.delta(children[0])
             if d is None:
                 return None
-            d = self._keep(d)
+            d, _ = self.store.part(d, self.name)
             return self._signed(lambda rows: self.c.over(node, [rows]), d)
         if kind == "Join" and self.how(node) in ("Inner", "Cross"):
             parts = []
@@ -485,10 +482,6 @@ class Program:
         flip = d.withColumn(WEIGHT, -F.col(WEIGHT))
         return weighted(run(expand(d, True)), 1).union(weighted(run(expand(flip, True)), -1))
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        """A small result that several branches read: written once."""
-        return self.store.part(df, self.name)[0]
-
     def _keyed(self, node: Any, keys: list[list[Any]] | None) -> DataFrame | None:
         """The node over old and new rows of the touched keys (one list of key expressions per child; None: all rows)."""
         children = self.c.children(node)
