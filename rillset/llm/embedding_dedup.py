@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ from rillset.llm.graph import connected_components
 #: The least number of tables, and the share of pairs at the threshold that may meet in none.
 TABLES, MISSED = 6, 1e-4
 BLOCK = 512
+#: Pairs that a task holds at a time.
+PAIRS = 500_000
 SALTS = 16
 SEED = 20240607
 
@@ -77,12 +80,19 @@ def bucket_codes(x: np.ndarray, tables: int, hashes: int) -> tuple[np.ndarray, n
     return own, probes
 
 
-def _unit(raw: list[bytes], dtype: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1).astype(np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _matrix(raw: pa.Array, dtype: str) -> np.ndarray:
+    """Rows of bytes of one length as rows of numbers."""
+    n, width = len(raw), len(raw[0].as_buffer()) // np.dtype(dtype).itemsize
+    first = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]
+    return np.frombuffer(raw.buffers()[2], dtype, n * width, int(first)).reshape(n, width)
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least row of each row's component."""
     label = np.arange(n)
@@ -164,7 +174,7 @@ def near_duplicate_vectors(
                     part = pa.array(at[k : k + 2048])
                     x = lists.take(part).flatten().to_numpy(zero_copy_only=False).reshape(-1, int(w)).astype(dtype)
                     raw = [r.tobytes() for r in x]
-                    own, probes = bucket_codes(_unit(raw, dtype), tables, hashes)
+                    own, probes = bucket_codes(_unit(x), tables, hashes)
                     codes = np.concatenate([own[:, :, None], probes], axis=2).reshape(len(x), -1)
                     times = codes.shape[1]
                     row = np.repeat(np.arange(len(x)), times)
@@ -183,50 +193,15 @@ def near_duplicate_vectors(
     groups = max(4 * n_parts(spark), -(-n * tables * (1 + hashes) // 50_000))
 
     def compare(table: pa.Table) -> pa.Table:
-        bucket, cell, side = (table.column(c).to_numpy() for c in ("bucket", "cell", "side"))
-        order = np.lexsort((side, cell, bucket))
-        bucket, cell, side = bucket[order], cell[order], side[order]
-        table = table.take(pa.array(order))
-        reps, members = table.column("rep").to_numpy(), table.column("members").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (np.diff(bucket) != 0) | (np.diff(cell) != 0)]))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a, z in zip(starts, [*starts[1:], len(order)]):
-            if z - a > 1:
-                raw = table.column("raw").slice(a, z - a).to_pylist()
-                out += _links_of(raw, reps[a:z], members[a:z], side[a:z], int(bucket[a]))
-        rep, links, root = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), (), ())))
+        sums = []
+        lengths = pc.binary_length(table.column("raw")).to_numpy()
+        for size in np.unique(lengths):
+            part = table.filter(pa.array(lengths == size)).combine_chunks().sort_by([("bucket", "ascending"), ("cell", "ascending"), ("side", "ascending"), ("rep", "ascending")])
+            bucket, cell, side, reps, members = (part.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("bucket", "cell", "side", "rep", "members"))
+            sums.append(_Links(_matrix(pa.concat_arrays(part.column("raw").chunks), dtype), reps, members, threshold, tables, hashes).of(bucket, cell, side))
+        rep, links, root = (np.concatenate(c) if sums else np.zeros(0, np.int64) for c in (zip(*sums) if sums else ((), (), ())))
         return pa.table({"rep": rep.astype(np.int64), "links": links.astype(np.int64), "root": root.astype(np.int64)})
 
-    def _links_of(raw: list[bytes], reps: np.ndarray, members: np.ndarray, side: np.ndarray, bucket: int) -> list:
-        if len({len(x) for x in raw}) > 1:  # two widths under one code: apart
-            size = np.array([len(x) for x in raw])
-            return [y for s in np.unique(size) for y in _links_of([raw[i] for i in np.flatnonzero(size == s)], reps[size == s], members[size == s], side[size == s], bucket)]
-        x = _unit(raw, dtype)
-        cross = side.any()
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(x)),) * 2
-        if not len(left) or not len(right):
-            return []
-        i, j = np.nonzero(x[left] @ x[right].T >= threshold)
-        i, j = left[i], right[j]
-        keep = reps[i] != reps[j] if cross else i < j
-        i, j = i[keep], j[keep]
-        if not len(i):
-            return []
-        used = np.unique(np.concatenate([i, j]))
-        own, probes = bucket_codes(x[used], tables, hashes)
-        a, b = np.searchsorted(used, i), np.searchsorted(used, j)
-        here = np.concatenate([_first_meeting(a[k : k + 100_000], b[k : k + 100_000], own, probes) for k in range(0, len(a), 100_000)]) == bucket
-        a, b = a[here], b[here]
-        links = np.zeros(len(used), np.int64)
-        np.add.at(links, a, members[used][b])
-        np.add.at(links, b, members[used][a])
-        named = reps[used]
-        rank = np.argsort(named, kind="stable")
-        place = np.argsort(rank, kind="stable")
-        root = named[rank][_roots(len(used), place[a], place[b])[place]]
-        some = links > 0
-        return [(named[some], links[some], root[some])]
-
     dealt = placed.withColumn("g", F.pmod(F.xxhash64("bucket", "cell"), F.lit(groups)).cast("int"))
     linked = materialize(dealt.groupBy("g").applyInArrow(compare, "rep long, links long, root long"), "vector-links")
     sums = linked.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -242,6 +217,65 @@ def near_duplicate_vectors(
     return rows.select("vec_id", F.when(named, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
+class _Links:
+    """The links between rows of some buckets: sums of members for each class, and a spanning star of each component."""
+
+    def __init__(self, x: np.ndarray, reps: np.ndarray, members: np.ndarray, threshold: float, tables: int, hashes: int):
+        self.unit, self.threshold, self.tables, self.hashes = _unit(x), threshold, tables, hashes
+        self.named, first, self.row = np.unique(reps, return_index=True, return_inverse=True)
+        self.first, self.members = first, members[first]
+        self.links, self.root = np.zeros(len(first), np.int64), np.arange(len(first))
+        self.coded = np.zeros(len(first), bool)
+        self.own, self.probes = np.zeros((len(first), tables), np.int64), np.zeros((len(first), tables, hashes), np.int64)
+        self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def of(self, bucket: np.ndarray, cell: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, links, root) of the classes that link; rows come sorted by bucket, cell and side."""
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(bucket) != 0) | (np.diff(cell) != 0)]))
+        ends = np.append(starts[1:], len(bucket))
+        several = ends - starts > 1
+        for a, z in zip(starts[several].tolist(), ends[several].tolist()):
+            # a cell between two blocks compares one with the other, any other its rows with each other
+            middle = a + int(np.searchsorted(side[a:z], 1))
+            if middle < z:
+                i, j = np.nonzero(self.unit[a:middle] @ self.unit[middle:z].T >= self.threshold)
+                i, j = self.row[a + i], self.row[middle + j]
+                keep = i != j
+            else:
+                i, j = np.nonzero(self.unit[a:z] @ self.unit[a:z].T >= self.threshold)
+                keep = i < j
+                i, j = self.row[a + i], self.row[a + j]
+            if keep.any():
+                self.pairs.append((i[keep], j[keep], np.full(int(keep.sum()), bucket[a])))
+                self.held += int(keep.sum())
+                if self.held >= PAIRS:
+                    self._count()
+        self._count()
+        some = self.links > 0
+        return self.named[some], self.links[some], self.named[self.root[some]]
+
+    def _count(self) -> None:
+        """Count the pairs at hand, each in the first bucket where its classes meet; a class is hashed once."""
+        if not self.pairs:
+            return
+        a, b, bucket = (np.concatenate(c) for c in zip(*self.pairs))
+        self.pairs, self.held = [], 0
+        fresh = np.zeros(len(self.first), bool)
+        fresh[a] = fresh[b] = True
+        fresh = np.flatnonzero(fresh & ~self.coded)
+        for k in range(0, len(fresh), 2048):
+            part = fresh[k : k + 2048]
+            self.own[part], self.probes[part] = bucket_codes(self.unit[self.first[part]], self.tables, self.hashes)
+        self.coded[fresh] = True
+        here = np.concatenate([_first_meeting(a[k : k + 100_000], b[k : k + 100_000], self.own, self.probes) for k in range(0, len(a), 100_000)]) == bucket
+        a, b = a[here], b[here]
+        self.links += np.bincount(a, weights=self.members[b], minlength=len(self.first)).astype(np.int64)
+        self.links += np.bincount(b, weights=self.members[a], minlength=len(self.first)).astype(np.int64)
+        # classes are numbered by their ids, so the least number is the least id
+        self.root = _roots(len(self.first), np.concatenate([a, np.arange(len(self.root))]), np.concatenate([b, self.root]))
+
+
 def _cut_large(placed: DataFrame, large: DataFrame) -> DataFrame:
     """Rows of a large bucket go to the cells (i, j), i <= j, of their block; side tells i's rows from j's (0 where i = j)."""
     salted = placed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from helpers import ODD_TEXTS, components, docs, empty, prose, shingles
 
 from rillset.llm import embedding_dedup, exact_dedup, graph, ngram_join
@@ -141,6 +142,48 @@ def test_recall_of_vectors_at_the_threshold_holds_with_more_hashes(spark):
     assert sum(r.n_links for r in out) == 2 * n and all(r.n_links <= 1 for r in out)
 
 
+@pytest.mark.parametrize("width", [32, 64, 128, 256])
+def test_recall_at_the_threshold_for_every_number_of_hashes(width):
+    rng, n, threshold = np.random.default_rng(77), 200, 0.95
+    a, b = rng.normal(size=(2, n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b *= np.sqrt(1 - threshold**2) / np.linalg.norm(b, axis=1, keepdims=True)
+    for hashes in range(1, 6 if width < 256 else 5):
+        tables = embedding_dedup.tables_for(width, threshold, hashes)
+        x, y = (np.concatenate([own[:, :, None], probes], 2) for own, probes in (embedding_dedup.bucket_codes(v, tables, hashes) for v in (a, threshold * a + b)))
+        assert (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3)).mean() >= 0.99
+
+
+def test_vectors_of_several_widths_families_and_odd_rows(spark, monkeypatch):
+    """Planted families, a hot vector, several widths, nulls and clashing columns, against all pairs; few pairs held at a time."""
+    monkeypatch.setattr(embedding_dedup, "PAIRS", 500)
+    rng, rows = np.random.default_rng(5), []
+    for width in (8, 24):
+        centres = rng.normal(size=(12, width))
+        for i in range(140):
+            rows.append((centres[i % 12] + rng.normal(size=width) * (0.01 if i % 2 else 0.25)).tolist())
+        rows += [[1.0] * width] * 70
+    rows += [None, [], [0.0] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7, [1.0, None] + [1.0] * 6]
+    ids = list(range(100, 100 + len(rows)))
+    table = spark.createDataFrame([(i, v, "x", 5) for i, v in zip(ids, rows)] + [(None, [1.0] * 8, "x", 5)], "vec_id long, embedding array<double>, bucket string, members int").repartition(3)
+    out = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(table, block=40).collect()}
+    sound = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in rows]
+    links = []
+    for i, v in enumerate(rows):
+        for j in range(i):
+            if sound[i] and sound[j] and len(v) == len(rows[j]):
+                x, y = np.array(v), np.array(rows[j])
+                if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95 or v == rows[j]:
+                    links.append((ids[i], ids[j]))
+    want, degree = components(ids, links), {i: 0 for i in ids}
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    assert len(links) > 3000 and len(out) == len(ids) + 1 and out[None].n_links == 0
+    assert all((out[i].n_links, out[i].component_id, out[i].kept) == (degree[i], want[i], want[i] == i) for i in ids)
+
+
 def test_components_of_hubs_and_long_chains(spark):
     """A hub of most edges, chains, null ends: the hub's edges meet by a broadcast, and the result is the same."""
     rng = random.Random(9)
