@@ -42,6 +42,8 @@ CHANCE = 0.01
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_~/\\"
 #: A text of fewer words does not shout.
 LONG = 5
+#: Text that is taken at a time; words, terms and contexts of a part are several times its size.
+PART_BYTES = 1 << 20
 #: Features are rounded to this part of one, so that equal documents can be counted.
 GRID = 50
 
@@ -140,7 +142,7 @@ def mine_terms(labelled: DataFrame) -> tuple[list[str], list[str]]:
 
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, PART_BYTES):
             family = np.where(b.column(2).is_null(), -1, np.unique(pc.fill_null(b.column(2), 0), return_inverse=True)[1])
             terms, clean, toxic, pairs, shared = _counts_of_terms(b.column(1), b.column(0).to_numpy(zero_copy_only=False) == 1, family)
             named, n = pa.array(terms, pa.string()), len(terms)
@@ -374,7 +376,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> T
 
     @tidied
     def cast_votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, PART_BYTES):
             e = voters.evidence(b.column(0))
             votes, x = voters.votes(e).astype(np.int64), np.rint(voters.features(e) * GRID).astype(np.int64)
             x = np.column_stack([x, b.column(1).to_numpy()]) if b.num_columns > 1 else x
@@ -422,7 +424,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, id
 
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, PART_BYTES):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1)) if model else np.zeros(b.num_rows))], ["doc_id", "score"])
 
     scored = select_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -440,7 +442,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, text_c
 
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, PART_BYTES):
             yield b.filter(pa.array(model.score(pc.fill_null(b.column(place), "")) < CUT))
 
     return docs.mapInArrow(run, docs.schema)
