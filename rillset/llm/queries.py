@@ -83,7 +83,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sql() -> str:
-    from rillset.llm.licenses import TEMPLATES, THRESHOLD, anchors_of, bigrams_of, words_of
+    from rillset.llm.licenses import LONG, TEMPLATES, THRESHOLD, anchors_of, bigrams_of, words_of
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, bigrams_of(v)))}], {len(words_of(v)) - 1})" for k, v in TEMPLATES.items())
@@ -102,7 +102,7 @@ pairs AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[
 standing AS (SELECT r, p, license, place, unnest(list_filter(range(1, len(p) + 1), lambda i: p[i] = pair)) AS i FROM pairs, anchor WHERE list_contains(p, pair)),
 starts AS (SELECT DISTINCT r, license, i - place AS s FROM standing),
 inside AS (SELECT s.r, s.license, list_distinct(p.p[greatest(s.s, 1) : s.s + t.size - 1]) AS have, want FROM starts s JOIN pairs p ON s.r = p.r JOIN t ON s.license = t.license),
-d AS (SELECT r, license, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) AS dice FROM b, t
+d AS (SELECT r, license, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) AS dice FROM b, t WHERE len(want) <= {LONG}
       UNION ALL SELECT r, license, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) FROM inside),
 m AS (SELECT r, license, dice, row_number() OVER (PARTITION BY r ORDER BY dice DESC, license) AS k,
              count(*) OVER (PARTITION BY r) AS n FROM d WHERE dice >= {THRESHOLD})

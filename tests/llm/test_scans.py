@@ -100,7 +100,7 @@ def brute_license(text):
     lines = (text or "").split("\n")
     parts = re.split(r"\n[ \t\r]*\n", text or "")
     segments = lines + ([p for p in parts if "\n" in p] if len(parts) > 1 else []) + ([text] if len(lines) > 1 else [])
-    hits = [(dice(s, t), k) for s in segments for k, t in licenses.TEMPLATES.items() if dice(s, t) >= licenses.THRESHOLD]
+    hits = [(dice(s, t), k) for s in segments for k, t in licenses.TEMPLATES.items() if len(licenses.bigrams_of(t)) <= licenses.LONG and dice(s, t) >= licenses.THRESHOLD]
     words = licenses.words_of(text or "")
     for k, t in licenses.TEMPLATES.items():
         size, starts = len(licenses.words_of(t)), set()
