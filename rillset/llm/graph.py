@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from rillset.llm.common import hot_keys, look_up, materialize, release
 
 
+#: Rows that one task takes in its stride; no key of so few is a burden.
+FEW = 1_000_000
+
+
 def _hot(rows: DataFrame, key: str) -> DataFrame | None:
+    if rows.count() <= FEW:
+        return None
     found = materialize(hot_keys(rows, key), "hot-keys")
     if found.limit(1).count():
         return found

@@ -184,8 +184,9 @@ def test_vectors_of_several_widths_families_and_odd_rows(spark, monkeypatch):
     assert all((out[i].n_links, out[i].component_id, out[i].kept) == (degree[i], want[i], want[i] == i) for i in ids)
 
 
-def test_components_of_hubs_and_long_chains(spark):
+def test_components_of_hubs_and_long_chains(spark, monkeypatch):
     """A hub of most edges, chains, null ends: the hub's edges meet by a broadcast, and the result is the same."""
+    monkeypatch.setattr(graph, "FEW", 0)
     rng = random.Random(9)
     links = [(7000, i) for i in range(2000)] + [(i, i + 1) for i in range(3000, 3300)] + [(rng.randrange(4000, 6000), rng.randrange(4000, 6000)) for _ in range(700)]
     rng.shuffle(links)
