@@ -8,7 +8,7 @@
    MOST_ROWS labelled rows outside the held-out fold, where a family of near copies counts as one document.
 3. The label model: given the true class, groups of voters are independent, and voters of one group, those whose votes
    stay correlated once the class is accounted for, have a joint table. EM over the pattern counts of all documents, begun
-   at what the labelled rows say of each voter, estimates accuracies and correlations; a posterior follows from its pattern.
+   at what the labelled rows say of each voter and with these rows in their classes, estimates accuracies and correlations; a posterior follows from its pattern.
 4. A linear classifier (logistic regression) over hit counts and text statistics is trained on the posteriors of at most
    MOST_ROWS distinct rows of votes and features, each weighted by the documents it stands for, and scores every document.
 """
@@ -291,7 +291,7 @@ class LabelModel:
         scale = np.sqrt(np.maximum(np.diag(residual), 1e-9))
         self.correlation = residual / np.outer(scale, scale)
         self.groups = self._grouped(np.abs(self.correlation), correlated)
-        self._fit(patterns, counts, posterior, rounds)
+        self._fit(patterns, counts, posterior, rounds, known)
 
     @staticmethod
     def _grouped(strength: np.ndarray, least: float, most: int = 3) -> list[list[int]]:
@@ -307,7 +307,11 @@ class LabelModel:
     def _codes(self, patterns: np.ndarray, group: list[int]) -> np.ndarray:
         return ((patterns[:, group] + 1) @ (3 ** np.arange(len(group)))).astype(np.int64)
 
-    def _fit(self, patterns: np.ndarray, counts: np.ndarray, posterior: np.ndarray, rounds: int) -> np.ndarray:
+    def _fit(self, patterns: np.ndarray, counts: np.ndarray, posterior: np.ndarray, rounds: int, known: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """EM. Labelled rows keep their class, so that the classes keep their meaning where few voters tell them apart."""
+        if known is not None:
+            patterns, counts = np.concatenate([patterns, known[0]]), np.concatenate([counts, np.ones(len(known[1]))])
+            posterior = np.concatenate([posterior, known[1]])
         codes = [self._codes(patterns, g) for g in self.groups]
         for _ in range(rounds):
             self.prior = float(np.clip((counts * posterior).sum() / max(1, counts.sum()), 1e-4, 0.5))
@@ -316,6 +320,8 @@ class LabelModel:
                 table = np.stack([np.bincount(code, weights=counts * w, minlength=3 ** len(g)) + 0.1 for w in (1 - posterior, posterior)])
                 self.tables.append(np.log(table / table.sum(1, keepdims=True)))
             new = self.posterior(patterns)
+            if known is not None:
+                new[len(new) - len(known[1]) :] = known[1]
             if np.abs(new - posterior).max() < 1e-6:
                 break
             posterior = new
