@@ -3,11 +3,14 @@
 Short templates are compared with a text's lines, its paragraphs of more than one line, and the whole of it. All templates
 are compared with windows of as many words as the template has, wherever one of its anchors stands in the text: the longest
 bigram of each of some equal parts of it. So a notice is found as a paragraph, inside a longer line, wrapped over lines or as
-a section of a longer text, if one of its anchors is left as it was. Words are runs of letters and digits, lower-cased; a
-segment's set of distinct bigrams A is compared with each template's set B by 2 |A and B| / (|A| + |B|). For a coefficient of
-at least t, |A| must lie within t / (2 - t) |B| and (2 - t) / t |B|, so most segments meet no template at all, and bigrams are
-made only for segments whose word count allows one, or for texts that hold a word of an anchor. The templates are literals of
-the plan, few and fixed; one projection over the scan does the work, without a shuffle.
+a section of a longer text. Where no such window matches, all runs of words with as many bigrams as a match can have are
+compared: a notice edited at its anchors, shortened or with words put in is found as well, and every such run of the threshold
+or more shares a bigram's place with a match of its template. Words are runs of letters and digits, lower-cased; a segment's
+set of distinct bigrams A is compared with each template's set B by 2 |A and B| / (|A| + |B|). For a coefficient of at least t,
+|A| must lie within t / (2 - t) |B| and (2 - t) / t |B|, and A and B share the lower of these at least. So most segments meet no
+template at all; bigrams are made only for segments whose word count allows one, or for texts that hold one of a template's
+words without which too few of its bigrams are left. The templates are literals of the plan, few and fixed; projections over
+the scan do the work, without a shuffle.
 """
 
 from __future__ import annotations
@@ -136,6 +139,23 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return max(1, math.ceil(threshold * n / (2 - threshold) - 1e-9)), math.floor((2 - threshold) * n / threshold + 1e-9)
 
 
+def needed_of(text: str, threshold: float) -> list[str]:
+    """Words, long ones first, of which a segment that reaches the threshold has one: the bigrams without them are too few."""
+    left, found = set(bigrams_of(text)), []
+    low = size_bounds(len(left), threshold)[0]
+    for word in sorted(set(words_of(text)), key=lambda w: (-len(w), w)):
+        if len(left) < low:
+            break
+        found.append(word)
+        left = {pair for pair in left if word not in pair.split(" ")}
+    return found
+
+
+def _listed(pairs: list[str]) -> str:
+    """Bigrams, of letters, digits and blanks only, as SQL: one call to the JVM for all of them."""
+    return ", ".join(f"'{pair}'" for pair in pairs)
+
+
 def _words(segment: Column) -> Column:
     return F.filter(F.split(F.lower(segment), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -148,6 +168,7 @@ def _bigrams(words: Column) -> Column:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, license and dice (the best match; null and 0.0 without one), n_matches (segment and template pairs).
 
+    Matches are segments of short templates, windows at anchors, and best runs away from a template's windows, those that overlap as one.
     Of equal coefficients the first name in alphabetical order is given. A null text counts as empty; texts of fewer than two
     words match nothing; repeated rows are scanned each; an empty table gives no rows.
     """
@@ -160,12 +181,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     none = F.array().cast("array<string>")
     kind = "array<struct<dice:double,license:string>>"
     base = select_text(docs, id_col, text_col)
-    anchors = sorted({pair for text in templates.values() for pair, _ in anchors_of(text)})
-    told = sorted({max(pair.split(" "), key=len) for pair in anchors})
+    wants = {k: F.expr(f"array({_listed(v)})") for k, v in sets.items()}
+    known = sorted({pair for v in sets.values() for pair in v})
+    told = sorted({word for text in templates.values() for word in needed_of(text, threshold)})
     raw = base.select("doc_id", "text", F.split(F.lower("text"), "[^a-z0-9]+").alias("raw"))
     split = raw.select(
         "doc_id", "text", F.split("text", "\n").alias("lines"), F.split("text", r"\n[ \t\r]*\n").alias("paragraphs"),
-        # few texts hold a word of an anchor, and only these have windows
+        # few texts hold such a word, and only these have windows
         F.when(F.arrays_overlap("raw", F.array(*map(F.lit, told)) if told else none), F.filter("raw", lambda w: w != "")).otherwise(none).alias("words"),
     )
     segments = F.concat(
@@ -175,35 +197,84 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     )
     pairs = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     worded = split.select("doc_id", F.filter(F.transform(segments, _words), lambda w: F.size(w) - 1 >= low).alias("worded"), F.filter(pairs, lambda p: p.isNotNull()).alias("pairs"))
-    # one pass through the bigrams finds the anchors of all templates
-    standing = F.filter(F.transform("pairs", lambda p, i: F.when(p.isin(anchors), F.struct(p.alias("pair"), i.alias("i")))), lambda h: h.isNotNull())
+    # one pass through the bigrams finds those of all templates
+    standing = F.expr(f"filter(transform(pairs, (p, i) -> CASE WHEN p IN ({_listed(known) or 'NULL'}) THEN named_struct('pair', p, 'i', i) END), h -> h IS NOT NULL)")
     worded = worded.select("doc_id", "worded", "pairs", standing.alias("hits"))
     # a text of k distinct words has k - 1 distinct bigrams at least, so neither bound needs the bigrams themselves
     paired = worded.select("doc_id", "pairs", "hits", F.transform(F.filter("worded", lambda w: F.size(F.array_distinct(w)) - 1 <= high), _bigrams).alias("sets"))
 
     def likeness(have: Column, name: str) -> Column:
         want, (a, b) = sets[name], bounds[name]
-        dice = F.size(F.array_intersect(have, F.array(*map(F.lit, want)))) * 2.0 / (F.size(have) + len(want))
+        dice = F.size(F.array_intersect(have, wants[name])) * 2.0 / (F.size(have) + len(want))
         return F.when(F.size(have).between(a, b), F.struct(dice.alias("dice"), F.lit(name).alias("license")))
 
     def compare(have: Column) -> Column:
         return F.filter(F.array(*[likeness(have, name) for name in short]).cast(kind), lambda x: x.isNotNull() & (x["dice"] >= threshold))
 
+    placed = "array<struct<place:int,match:struct<dice:double,license:string>>>"
+
+    def enough(name: str) -> Column:
+        return F.size(F.array_intersect("known", wants[name])) >= bounds[name][0]
+
     def windows(name: str) -> Column:
-        """Matches of the windows at the template's anchors, each from its first bigram (counted from 1) on."""
+        """Matches of the windows at the template's anchors, each with the place of its first bigram (counted from 1)."""
         size = len(words_of(templates[name])) - 1
         places = {pair: at for pair, at in anchors_of(templates[name])}
         if not places:
-            return F.array().cast(kind)
+            return F.array().cast(placed)
         own = F.filter("hits", lambda h: h["pair"].isin(list(places)))
         begin = lambda h: functools.reduce(lambda other, pair: F.when(h["pair"] == pair, h["i"] - places[pair] + 1).otherwise(other), places, F.lit(0))
         # the column is read twice, so it is not copied into the lambda; what lies before or behind the text is left out
         cut = lambda s: F.slice("pairs", F.greatest(s, F.lit(1)), F.greatest(F.least(s + size, F.size("pairs") + 1) - F.greatest(s, F.lit(1)), F.lit(0)))
-        held = F.transform(F.array_distinct(F.transform(own, begin)), lambda s: F.array_distinct(cut(s)))
-        found = F.transform(held, lambda have: likeness(have, name))
-        return F.filter(found, lambda x: x.isNotNull() & (x["dice"] >= threshold)).cast(kind)
+        held = F.transform(F.array_distinct(F.transform(own, begin)), lambda s: F.struct(s.alias("place"), likeness(F.array_distinct(cut(s)), name).alias("match")))
+        found = F.filter(held, lambda x: x["match"].isNotNull() & (x["match"]["dice"] >= threshold))
+        return F.when(enough(name), found.cast(placed)).otherwise(F.array().cast(placed))
+
+    def spots(k: int, name: str) -> Column:
+        """Places of the template's bigrams outside of its windows that match."""
+        size = len(words_of(templates[name])) - 1
+        covered = f"flatten(transform(windows[{k}], x -> sequence(x.place, x.place + {size - 1})))"
+        own = F.expr(f"array_except(transform(filter(hits, h -> h.pair IN ({_listed(sets[name])})), h -> h.i + 1), {covered})")
+        return F.when(enough(name), own).otherwise(F.array().cast("array<int>"))
 
-    inside = F.when(F.size("hits") > 0, F.concat(*map(windows, templates))).otherwise(F.array().cast(kind))
+    def runs(k: int, name: str) -> Column:
+        """Matches of the runs that share no place with a window that matches: the best from each place of a template's bigram on, overlapping ones as one."""
+        n, (least, most) = len(sets[name]), bounds[name]
+        # a match has `least` of the template's bigrams within `most` places
+        dense = f"filter(transform(spots[{k}], (s, j) -> CASE WHEN get(spots[{k}], j + {least - 1}) < s + {most} THEN s END), s -> s IS NOT NULL)"
+        window = f"coalesce(array_min(transform(filter(windows[{k}], x -> x.place > s), x -> x.place)) - 1, size(pairs))"
+        # a bigram is new in the run from s on if it stood last before s
+        steps = (
+            f"transform(sequence(s, least(s + {most - 1}, size(pairs), {window})), i -> named_struct('i', i, 'new', int(prior[i - 1] < s), "
+            f"'hit', int(prior[i - 1] < s AND pairs[i - 1] IN ({_listed(sets[name])}))))"
+        )
+        dice = f"double(2 * (r.hits + x.hit)) / double(r.size + x.new + {n})"
+        run = (
+            f"aggregate({steps}, named_struct('size', 0, 'hits', 0, 'dice', 0D, 'last', 0), (r, x) -> named_struct('size', r.size + x.new, 'hits', r.hits + x.hit, "
+            f"'dice', greatest(r.dice, {dice}), 'last', CASE WHEN {dice} > r.dice THEN x.i ELSE r.last END))"
+        )
+        ran = f"filter(transform({dense}, s -> named_struct('s', s, 'run', {run})), x -> x.run.dice >= double({threshold!r}))"
+        dices = (
+            f"aggregate({ran}, named_struct('last', 0, 'dice', 0D, 'done', cast(array() AS array<double>)), (r, x) -> named_struct('last', greatest(r.last, x.run.last), "
+            "'dice', CASE WHEN x.s > r.last THEN x.run.dice ELSE greatest(r.dice, x.run.dice) END, "
+            "'done', CASE WHEN x.s > r.last THEN concat(r.done, array(r.dice)) ELSE r.done END), r -> filter(concat(r.done, array(r.dice)), d -> d > 0))"
+        )
+        found = F.transform(F.expr(dices), lambda d: F.struct(d.alias("dice"), F.lit(name).alias("license"))).cast(kind)
+        return F.when(F.col("prior").isNotNull() & F.expr(f"size(spots[{k}]) >= {least}"), found).otherwise(F.array().cast(kind))
+
+    # the last place before it of each bigram, by their order; only for texts whose spots may hold a match
+    stood = (
+        "transform(array_sort(zip_with(ordered, slice(concat(array(cast(NULL AS struct<pair:string,i:int>)), ordered), 1, size(ordered)), "
+        "(x, y) -> named_struct('i', x.i, 'prior', CASE WHEN x.pair = y.pair THEN y.i ELSE 0 END))), x -> x.prior)"
+    )
+    dense = " OR ".join(f"size(spots[{k}]) >= {bounds[name][0]}" for k, name in enumerate(templates)) or "false"
+    some = F.size("hits") > 0
+    seen = paired.select("doc_id", "pairs", "hits", "sets", F.array_distinct(F.transform("hits", lambda h: h["pair"])).alias("known"))
+    shown = seen.select("doc_id", "pairs", "hits", "sets", "known", F.when(some, F.array(*map(windows, templates))).alias("windows"))
+    left = shown.select("doc_id", "pairs", "sets", "windows", F.when(some, F.array(*[spots(k, name) for k, name in enumerate(templates)])).alias("spots"))
+    ordered = left.select("doc_id", "pairs", "sets", "windows", "spots", F.expr(f"CASE WHEN {dense} THEN array_sort(transform(pairs, (p, i) -> named_struct('pair', p, 'i', i + 1))) END AS ordered"))
+    paired = ordered.select("doc_id", "pairs", "sets", "windows", "spots", F.expr(f"CASE WHEN ordered IS NOT NULL THEN {stood} END AS prior"))
+    inside = F.when(F.col("windows").isNotNull(), F.concat(F.transform(F.flatten("windows"), lambda x: x["match"]), *[runs(k, name) for k, name in enumerate(templates)])).otherwise(F.array().cast(kind))
     matches = F.concat(F.coalesce(F.flatten(F.transform("sets", compare)).cast(kind), F.array().cast(kind)), inside)
     best = F.array_sort(F.col("matches"), lambda x, y: F.when(x["dice"] > y["dice"], -1).when(x["dice"] < y["dice"], 1).when(x["license"] < y["license"], -1).when(x["license"] > y["license"], 1).otherwise(0))
     picked = paired.select("doc_id", matches.alias("matches")).select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.get(best, F.lit(0)).alias("best"))

@@ -83,13 +83,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sql() -> str:
-    from rillset.llm.licenses import LONG, TEMPLATES, THRESHOLD, anchors_of, bigrams_of, words_of
+    from rillset.llm.licenses import LONG, TEMPLATES, THRESHOLD, anchors_of, bigrams_of, size_bounds, words_of
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, bigrams_of(v)))}], {len(words_of(v)) - 1})" for k, v in TEMPLATES.items())
+    rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, bigrams_of(v)))}], {len(words_of(v)) - 1}, {', '.join(map(str, size_bounds(len(bigrams_of(v)), THRESHOLD)))})" for k, v in TEMPLATES.items())
     places = ", ".join(f"({quoted(k)}, {quoted(pair)}, {at})" for k, v in TEMPLATES.items() for pair, at in anchors_of(v))
     return f"""
-WITH t(license, want, size) AS (VALUES {rows}), anchor(license, pair, place) AS (VALUES {places}),
+WITH t(license, want, size, least, most) AS (VALUES {rows}), anchor(license, pair, place) AS (VALUES {places}),
 cut AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines,
                string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n') AS paragraphs FROM documents),
 seg AS (SELECT r, unnest(list_concat(lines,
@@ -101,9 +101,19 @@ every AS (SELECT r, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), l
 pairs AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p FROM every WHERE len(w) > 1),
 standing AS (SELECT r, p, license, place, unnest(list_filter(range(1, len(p) + 1), lambda i: p[i] = pair)) AS i FROM pairs, anchor WHERE list_contains(p, pair)),
 starts AS (SELECT DISTINCT r, license, i - place AS s FROM standing),
-inside AS (SELECT s.r, s.license, list_distinct(p.p[greatest(s.s, 1) : s.s + t.size - 1]) AS have, want FROM starts s JOIN pairs p ON s.r = p.r JOIN t ON s.license = t.license),
+inside AS (SELECT s.r, s.license, s.s, s.s + t.size - 1 AS e, list_distinct(p.p[greatest(s.s, 1) : s.s + t.size - 1]) AS have, want FROM starts s JOIN pairs p ON s.r = p.r JOIN t ON s.license = t.license),
+shown AS (SELECT r, license, s, e FROM inside WHERE len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) >= {THRESHOLD}),
+spot AS (SELECT r, license, p, want, most, unnest(list_filter(range(1, len(p) + 1), lambda i: list_contains(want, p[i]))) AS s FROM pairs, t WHERE len(list_intersect(p, want)) >= least),
+bare AS (SELECT *, least(s + most - 1, len(p), coalesce((SELECT min(h.s) - 1 FROM shown h WHERE h.r = spot.r AND h.license = spot.license AND h.s > spot.s), len(p))) AS far
+         FROM spot WHERE NOT EXISTS (SELECT 1 FROM shown h WHERE h.r = spot.r AND h.license = spot.license AND spot.s BETWEEN h.s AND h.e)),
+part AS (SELECT r, license, s, e, list_distinct(p[s : e]) AS have, want FROM (SELECT *, unnest(range(s, far + 1)) AS e FROM bare)),
+run AS (SELECT r, license, s, e, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) AS dice FROM part
+        QUALIFY row_number() OVER (PARTITION BY r, license, s ORDER BY len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) DESC, e) = 1),
+apart AS (SELECT *, s > coalesce(max(e) OVER (PARTITION BY r, license ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new FROM run WHERE dice >= {THRESHOLD}),
+grouped AS (SELECT r, license, dice, sum(new::INT) OVER (PARTITION BY r, license ORDER BY s) AS g FROM apart),
 d AS (SELECT r, license, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) AS dice FROM b, t WHERE len(want) <= {LONG}
-      UNION ALL SELECT r, license, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) FROM inside),
+      UNION ALL SELECT r, license, len(list_intersect(have, want)) * 2.0::DOUBLE / (len(have) + len(want)) FROM inside
+      UNION ALL SELECT r, license, max(dice) FROM grouped GROUP BY r, license, g),
 m AS (SELECT r, license, dice, row_number() OVER (PARTITION BY r ORDER BY dice DESC, license) AS k,
              count(*) OVER (PARTITION BY r) AS n FROM d WHERE dice >= {THRESHOLD})
 SELECT c.doc_id, m.license, coalesce(m.dice, 0.0)::DOUBLE AS dice, coalesce(m.n, 0) AS n_matches

@@ -4,12 +4,14 @@ import random
 import re
 import time
 
+import duckdb
+import pyarrow as pa
 import pytest
 from helpers import ODD_TEXTS, docs, empty
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from rillset.llm import licenses, pii
+from rillset.llm import licenses, pii, queries
 
 #: the base patterns as given, for the re module
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -142,6 +144,57 @@ def test_licenses(spark):
         licenses.scan_licenses(docs(spark, ["a"]), {"x": "one"})
 
 
+def brute_runs(text):
+    """(dice, template) of the runs away from windows at anchors that match: the best from each place on, overlapping ones as one."""
+    words, found = licenses.words_of(text), []
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    for name, t in licenses.TEMPLATES.items():
+        want, size = set(licenses.bigrams_of(t)), len(licenses.words_of(t)) - 1
+        starts = {i - at for pair, at in licenses.anchors_of(t) for i, p in enumerate(pairs) if p == pair}
+        covered = {i for s in starts if dice(" ".join(words[max(0, s) : max(0, s + size + 1)]), t) >= licenses.THRESHOLD for i in range(s, s + size)}
+        last, clusters = -1, []
+        for s in range(len(pairs)):
+            have, best, end = set(), 0.0, s
+            for e in range(s, min(len(pairs), s + int((2 - licenses.THRESHOLD) * len(want) / licenses.THRESHOLD + 1e-9))):
+                if e in covered:
+                    break
+                have.add(pairs[e])
+                d = 2 * len(have & want) / (len(have) + len(want))
+                best, end = (d, e) if d > best else (best, end)
+            if best >= licenses.THRESHOLD and pairs[s] in want:
+                clusters = clusters + [best] if s > last else [*clusters[:-1], max(clusters[-1], best)]
+                last = max(last, end)
+        found += [(d, name) for d in clusters]
+    return found
+
+
+def test_notices_without_their_anchors(spark):
+    """Notices edited at every anchor, shortened, with words put in, alone or beside whole ones: no run of the threshold is left out."""
+    rng = random.Random(5)
+    own = lambda n: " ".join(rng.choice(["foo", "bar", "tool", "reads", "files", "quickly"]) for _ in range(n))
+    texts, names = [], [k for k, t in licenses.TEMPLATES.items() if len(licenses.bigrams_of(t)) > licenses.LONG]
+    for name in names:
+        words = licenses.words_of(licenses.TEMPLATES[name])
+        places = {at for _, at in licenses.anchors_of(licenses.TEMPLATES[name])}
+        edited = " ".join(w + " foo" if i in places else w for i, w in enumerate(words))
+        texts += [f"{own(30)} {edited} {own(40)}", f"{own(30)}\n\n{' '.join(words[: len(words) * 3 // 4])}\n\n{own(60)}"]
+    whole = licenses.TEMPLATES[name]
+    texts += ["Distributed under the MIT License", f"{edited} {own(9)} {whole} {own(50)} {edited}\n{own(5)}", " ".join([edited, own(12)] * 3), f"{edited} {edited}", own(20) + " reserved all rights " * 3]
+    texts += [" ".join(w for w in licenses.TEMPLATES[rng.choice(names)].split(" ") if rng.random() > 0.06) + own(rng.randint(0, 9)) for _ in range(3)]
+    out = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        runs, (license, best, n) = brute_runs(t), brute_license(t)
+        score, name = min([*runs, (best, license or "~")], key=lambda x: (-x[0], x[1]))
+        assert (out[i].license or "~", out[i].n_matches) == (name, n + len(runs)) and out[i].dice == pytest.approx(score)
+    duck = duckdb.connect()
+    duck.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    assert {r[0]: r[1:] for r in duck.sql(queries.oracle_sql()["op1_licenses"]).fetchall()} == {i: (r.license, r.dice, r.n_matches) for i, r in out.items()}
+    assert all(brute_license(texts[2 * k])[0] != name and out[2 * k].license == name for k, name in enumerate(names))
+    assert all(out[2 * k + 1].license is not None for k in range(len(names)))
+    after = 2 * len(names)
+    assert (out[after].license, out[after].n_matches) == ("MIT", 1) and out[after + 1].n_matches == 3 and out[after + 2].n_matches == 3
+
+
 def test_size_bounds_lose_nothing():
     for n in range(1, 60):
         low, high = licenses.size_bounds(n, 0.8)
