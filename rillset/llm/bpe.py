@@ -43,9 +43,19 @@ def _hash_words(words: pa.Array) -> np.ndarray:
 
 
 def _sliced(words: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(slice, positions) of distinct words, in a fixed order."""
-    k = (_hash_words(words) % np.uint64(n)).astype(np.int64)
-    order = np.argsort(k, kind="stable")
+    """(slice, positions) of distinct words, in an order that the words alone decide.
+
+    A block's documents come in another order when it is read again, and its words with them: asked and answered positions
+    agree as they are sorted by hash, words of one hash by their bytes.
+    """
+    h = _hash_words(words)
+    k = (h % np.uint64(n)).astype(np.int64)
+    order = np.lexsort((h, k))
+    again = np.concatenate([[False], h[order][1:] == h[order][:-1], [False]])
+    for a, z in zip(np.flatnonzero(~again[:-1] & again[1:]).tolist(), (np.flatnonzero(again[:-1] & ~again[1:]) + 1).tolist()):
+        some = order[a:z]
+        texts = words.take(pa.array(some)).to_pylist()
+        order[a:z] = some[sorted(range(z - a), key=texts.__getitem__)]
     bounds = np.searchsorted(k[order], np.arange(n + 1))
     for i in range(n):
         if bounds[i + 1] > bounds[i]:

@@ -168,3 +168,20 @@ def test_blocks_follow_the_bytes(spark, monkeypatch):
     assert out == sorted((i, len(ids_of(t or "")), hashlib.sha256(raw(ids_of(t or ""))).hexdigest()) for i, t in [*enumerate(texts), *enumerate(texts[:3])])
     few, many = (sorted((r.doc_id, r.n_shingles, r.tokens) for r in ngram_join.shared_shingles(df, n=k).collect()) for k in (4, n))
     assert few == many
+
+
+def test_blocks_that_are_read_again_in_another_order_give_the_same_ids(spark, monkeypatch):
+    """Parts of a block come as the shuffle brings them, for the question and for the answer; words of one hash as well."""
+    from rillset.llm import blocks
+
+    rng = random.Random(21)
+    alike = ["beginning" + "".join(rng.choice("abc") for _ in range(4)) + "theending" for _ in range(200)]
+    texts = [prose(rng, 40) + " " + " ".join(rng.sample(alike, 20)) for _ in range(200)]
+    whole = blocks.unpack
+
+    def mixed(blobs):
+        return whole(random.sample(list(blobs), len(blobs)))
+
+    monkeypatch.setattr(blocks, "unpack", mixed)
+    out = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in bpe.encode_documents(docs(spark, texts).repartition(20), TOKENIZER).collect()}
+    assert out == {i: (len(ids_of(t)), hashlib.sha256(raw(ids_of(t))).hexdigest()) for i, t in enumerate(texts)}
