@@ -651,7 +651,9 @@ class Program:
         if log.segments:
             old = log.old({k: r for k, r in zip(keys, ranges) if r is not None and k in log.tracked})
             if n:
-                old = old.join(change.select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)]), same_keys("g", "t", n), "left_semi")
+                # distinct, as the rows of one group would all meet in one task
+                touched = change.select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)]).distinct()
+                old = old.join(touched, same_keys("g", "t", n), "left_semi")
             both, last = old.select(*keys, "state", "seq").unionByName(change, allowMissingColumns=True), log.last()
         if anew:
             again = change.where("lost").select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(keys)])
