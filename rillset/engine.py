@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from rillset.functions import scalar
 from rillset.operators.delta import Program, Source, Unsupported, negated
-from rillset.operators.state import Log, Segment, Store, expand
+from rillset.operators.state import Log, Segment, Store, expand, sized
 from rillset.plans.catalyst import Catalyst
 from rillset.plans.report import Metrics, dot
 from rillset.scratch import scratch_root
@@ -285,15 +285,16 @@ class Engine:
         try:
             for key, changes in self.pending.items():
                 self.tables[key].log.stage(changes.df)
-            for view in self.views.values():
-                began = time.perf_counter()
-                staged = self._advance(view)
-                if self.metrics_enabled:
-                    view.metrics.add((time.perf_counter() - began) * 1000, staged.rows if staged else 0)
-            for (kind, key), sink in self.sinks.items():
-                source = self.views[key].source if kind == "view" else self.tables[key]
-                changed = source.log.delta()
-                sink.stage(None if changed is None else ZSet(changed).compact().df, clock)
+            with sized((self.spark, self.session), sum(x.log.count for x in self._sources())):
+                for view in self.views.values():
+                    began = time.perf_counter()
+                    staged = self._advance(view)
+                    if self.metrics_enabled:
+                        view.metrics.add((time.perf_counter() - began) * 1000, staged.rows if staged else 0)
+                for (kind, key), sink in self.sinks.items():
+                    source = self.views[key].source if kind == "view" else self.tables[key]
+                    changed = source.log.delta()
+                    sink.stage(None if changed is None else ZSet(changed).compact().df, clock)
             self._manifest(feed)
         except Exception:
             for part in [*logs, *(v.log for v in self.views.values()), *programs, *self.sinks.values()]:

@@ -16,7 +16,8 @@ GRACE commits later, when results handed out by the last steps have been read.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -29,6 +30,9 @@ TIER = 8
 MERGE_ROWS = 50_000_000
 FILE_ROWS = 4_000_000
 GRACE = 2
+#: Rows that a shuffle partition is to hold, and its compressed bytes up to which small ones are joined.
+PARTITION_ROWS = 500_000
+PARTITION_BYTES = 4 << 20
 EPOCH = date(1970, 1, 1).toordinal()
 
 
@@ -67,6 +71,30 @@ def spanned(segments: list[Segment], column: str, with_null: bool) -> Range | No
     return (min(r[0] for r in sure), max(r[1] for r in sure)) if sure else None
 
 
+def partitions(spark: SparkSession, rows: int) -> int:
+    """Shuffle partitions for so many rows, the session's at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
+
+
+@contextmanager
+def sized(sessions: Iterable[SparkSession], rows: int) -> Iterator[None]:
+    """Shuffles that follow the rows at hand, so that what a task sorts and holds doesn't grow with the tables."""
+    held = []
+    try:
+        for spark in sessions:
+            names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+            few, size = (spark.conf.get(n) for n in names)
+            if (n := partitions(spark, rows)) > int(few):
+                held.append((spark, dict(zip(names, (few, size)))))
+                spark.conf.set(names[0], str(n))
+                spark.conf.set(names[1], str(min(PARTITION_BYTES, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size))))
+        yield
+    finally:
+        for spark, was in held:
+            for name, value in was.items():
+                spark.conf.set(name, value)
+
+
 class Store:
     """Writes segments and small texts below one root folder that driver and executors share."""
 
@@ -208,6 +236,11 @@ class Log:
     def only_inserts(self) -> bool:
         return all(s.least > 0 for s in [*self.segments, *self.staged])
 
+    @property
+    def count(self) -> int:
+        """Rows as they are stored, those of a step at hand included."""
+        return sum(s.rows for s in [*self.segments, *self.staged])
+
     def at(self, version: str, within: dict[str, Range] | None = None) -> DataFrame:
         """The rows before or after the step; with ranges of columns at least those within them, without nulls there."""
         segments = self.segments if version == "old" else [*self.segments, *self.staged]
@@ -234,7 +267,10 @@ class Log:
 
     def rows(self, version: str = "new") -> DataFrame:
         """The content as plain rows, each as often as its weight says."""
-        return expand(self.at(version), self.only_inserts)
+        df = self.at(version)
+        if not self.only_inserts and (n := partitions(self.store.spark, self.count)) > partitions(self.store.spark, 0):
+            df = df.repartition(n, *[F.col(f"`{c}`") for c in self.data.fieldNames()])
+        return expand(df, self.only_inserts)
 
 
 class GroupLog(Log):

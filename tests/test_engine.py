@@ -520,3 +520,22 @@ def test_old_states_meet_each_touched_group_once(spark, monkeypatch):
     engine.push("emp", z(spark, EMP, [(i, "ab"[i % 2], i) for i in range(10, 20)])).step()
     assert seen and all("Aggregate" in (x.nodeName(), x.children().apply(0).nodeName()) for x in seen)
     assert engine.snapshot("v").to_dict() == {("a", 90, 10): 1, ("b", 100, 10): 1}
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """Shuffles of a step, and of reading a view with retractions, have partitions for the rows at hand; the settings stay."""
+    from rillset.operators import state
+
+    monkeypatch.setattr(state, "PARTITION_ROWS", 10)
+    names, seen = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"), []
+    before, engine = [spark.conf.get(n) for n in names], Engine(spark)
+    engine.create_table("emp", EMP)
+    engine.sql("SELECT a.id AS i, b.id AS j FROM emp a LEFT JOIN emp b ON a.id = b.salary", "v")
+    whole = engine.store.write
+    monkeypatch.setattr(engine.store, "write", lambda df, *more: seen.append([df.sparkSession.conf.get(n) for n in names]) or whole(df, *more))
+    rows = [(i, "a", i + 1) for i in range(200)]
+    engine.push("emp", z(spark, EMP, rows)).step()
+    assert [str(20), str(state.PARTITION_BYTES)] in seen and [spark.conf.get(n) for n in names] == before
+    engine.push("emp", z(spark, EMP, rows[:1], [-1])).step()
+    assert engine.rows("v").rdd.getNumPartitions() >= 20
+    assert sorted(map(tuple, engine.rows("v").collect())) == sorted((i, i - 1 if i > 1 else None) for i in range(1, 200))
